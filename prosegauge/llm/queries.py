@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, simhash
+from . import decontaminate, line_dedup, simhash
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,3 +49,35 @@ def op2_simhash_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     found = simhash.near_duplicates(read(spark, sf_dir, "documents"), width=4, distance=4)
     return found.select("doc_id", simhash.hex16(found.fp).alias("fingerprint"), "component_id")
+
+
+@query
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each document that lie inside windows of benchmark items."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.overlaps(docs, read(spark, sf_dir, "benchmark"), width=10)
+    items = F.sha2(F.array_join("hits.items", ","), 256).alias("items_sha256")
+    return found.select("doc_id", "hits.n_words", "hits.n_hit", "hits.n_items", items, (F.col("hits.n_hit") > 0).alias("contaminated"))
+
+
+ORACLE_SQL["op6_decontaminate"] = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+b AS (
+  SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark WHERE item_id IS NOT NULL),
+wins AS (
+  SELECT DISTINCT item, least(10, len(w)) AS n, array_to_string(w[i : i + least(10, len(w)) - 1], ' ') AS win
+  FROM (SELECT item, w, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS i FROM b WHERE len(w) > 0)),
+spots AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d),
+starts AS (
+  SELECT p.doc_id, p.i, s.n, array_to_string(p.w[p.i : p.i + s.n - 1], ' ') AS win
+  FROM spots p, (SELECT DISTINCT n FROM wins) s WHERE p.i + s.n - 1 <= len(p.w)),
+found AS (SELECT s.doc_id, s.i, s.n, w.item FROM starts s JOIN wins w ON s.win = w.win AND s.n = w.n),
+hit AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS pos FROM found) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM found) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(len(d.w), 0) AS n_words, coalesce(h.n_hit, 0) AS n_hit, coalesce(i.n_items, 0) AS n_items,
+       sha256(coalesce(i.items, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit h ON d.doc_id = h.doc_id LEFT JOIN items i ON d.doc_id = i.doc_id
+"""
