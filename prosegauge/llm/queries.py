@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, simhash
+from . import ann, decontaminate, line_dedup, simhash
 from .common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,6 +51,13 @@ def op2_simhash_ball(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex16(found.fp).alias("fingerprint"), "component_id")
 
 
+@query
+def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of every fiftieth one."""
+    rows = ann.usable(read(spark, sf_dir, "embeddings"))
+    return ann.search(ann.build(rows), rows.where("vec_id % 50 = 0"), k=5)
+
+
 @query
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of each document that lie inside windows of benchmark items."""
