@@ -14,11 +14,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .packing import pack, unpack
 from .words import word_tokenizer
 
 #: A chunk ends at so many words or distinct words, a bundle of its documents at so many words.
@@ -27,17 +27,6 @@ _BUNDLES = "chunk long, mark long, doc_ids array<long>, sizes array<int>, places
 _WORDS = "chunk long, mark long, at int, word string"
 
 
-def _pack(places: np.ndarray) -> bytes:
-    """Byte planes compress better than the numbers: the upper ones are nearly all zero."""
-    planes = np.ascontiguousarray(places.astype("<u4").view(np.uint8).reshape(-1, 4).T)
-    return zstandard.compress(planes.tobytes(), 3)
-
-
-def _unpack(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel()
-
-
 def _chunks(batches: Iterator[pd.DataFrame], split: Callable[[str | None], list[str]]):
     """(number, distinct words by falling count, doc_ids, sizes, places) of each chunk of a task's documents."""
     part, seq = TaskContext.get().partitionId(), 0
@@ -100,7 +89,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
             while a < len(ids):
                 b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + BUNDLE, "right")))
                 own = places[ends[a - 1] if a else 0 : ends[b - 1]]
-                yield pd.DataFrame({"chunk": [chunk], "mark": [mark], "doc_ids": [ids[a:b]], "sizes": [sizes[a:b]], "places": [_pack(own)]})
+                yield pd.DataFrame({"chunk": [chunk], "mark": [mark], "doc_ids": [ids[a:b]], "sizes": [sizes[a:b]], "places": [pack(own)]})
                 a = b
 
     @F.pandas_udf("binary")
@@ -120,7 +109,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
         starts = np.r_[0, np.cumsum(n)]
         out_ids, out = [], []
         for doc_ids, sizes, data in zip(bundles["doc_ids"], bundles["sizes"], bundles["places"], strict=True):
-            at = _unpack(data)
+            at = unpack(data)
             k = n[at]
             ends = np.r_[0, np.cumsum(k)]
             ids = flat[np.repeat(starts[at] - ends[:-1], k) + np.arange(ends[-1])].astype(np.int32)

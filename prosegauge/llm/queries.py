@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import zlib
+
+import numpy as np
+import pandas as pd
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, decontaminate, line_dedup, simhash
-from .common import read
+from . import ann, bpe, decontaminate, huffman, line_dedup, simhash
+from .common import fresh_path, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -99,3 +103,17 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = bpe.decode(ids, bpe.vocabulary(spark, path))
     joined = F.array_join(F.col("ids").cast("array<string>"), " ")
     return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op8_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Position, size and checksum of every document's ids, from the files written."""
+    place = fresh_path(spark, "huffman")
+    tokens = huffman.token_ids(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end=2)
+    huffman.write(tokens, place)
+
+    @F.pandas_udf("long")
+    def crc(ids: pd.Series) -> pd.Series:
+        return pd.Series([zlib.crc32(np.asarray(x, "<u4").tobytes()) for x in ids], dtype="int64")
+
+    return huffman.read(spark, place).select("doc_id", "start", F.size("ids").cast("long").alias("n_tokens"), crc("ids").alias("ids_crc32"))

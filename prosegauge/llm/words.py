@@ -13,6 +13,10 @@ from tokenizers import Tokenizer
 _PLAIN = regex.compile(r"[\t\n\r\x20-\x7E\xA1-ɏ]*")
 
 
+#: Words that a process remembers.
+SEEN = 400_000
+
+
 def _byte_letters() -> list[str]:
     """The letter that stands for each byte: itself where printable, else the next one from U+0100."""
     seen = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -38,6 +42,7 @@ class WordTokenizer:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.cut = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))))
         self.letters = _byte_letters()
+        self.seen: dict[str, list[int]] = {}
         self.n_ids = self.tok.get_vocab_size()
 
     def split(self, text: str | None) -> list[str]:
@@ -65,6 +70,19 @@ class WordTokenizer:
             mapped = "".join([self.letters[b] for b in word.encode()])
         return [t.id for t in self.tok.model.tokenize(mapped)]
 
+    def encode(self, text: str | None) -> list[int]:
+        """The ids of a text, through a table of the words seen so far, emptied when it is full."""
+        words = self.split(text)
+        seen, out = self.seen, []
+        for w in words:
+            ids = seen.get(w)
+            if ids is None:
+                if len(seen) >= SEEN:
+                    seen.clear()
+                ids = seen[w] = self.encode_word(w)
+            out += ids
+        return out
+
     def pieces(self) -> list[tuple[int, str]]:
         """(id, piece) of the whole vocabulary, special tokens included."""
         return sorted((i, p) for p, i in self.tok.get_vocab(with_added_tokens=True).items())
