@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, decontaminate, huffman, line_dedup, simhash, token_counts
+from . import ann, bpe, decontaminate, huffman, langid, line_dedup, simhash, token_counts
 from .common import fresh_path, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -119,6 +119,13 @@ def op8_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman.read(spark, place).select("doc_id", "start", F.size("ids").cast("long").alias("n_tokens"), crc("ids").alias("ids_crc32"))
 
 
+@query
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learnt from those that are not held out."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return langid.learn_and_predict(docs).select("doc_id", "held_out", "lang_pred", "score")
+
+
 @query
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes and tokens of every document."""
