@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, decontaminate, huffman, langid, line_dedup, simhash, token_counts, toxicity
+from . import ann, bpe, decontaminate, huffman, langid, licenses, line_dedup, simhash, token_counts, toxicity
 from .common import fresh_path, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,6 +64,14 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+@query
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base phrases and license templates in every document."""
+    found = licenses.scan(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "license.*")
+    joined = {c: F.array_join(c, ",") for c in ("base_labels", "labels")}
+    return found.withColumns(joined).drop("matches")
+
+
 @query
 def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest vectors of every fiftieth one."""
