@@ -1,135 +1,277 @@
 """BPE encoding by a distinct-word table, and decoding by an id-to-piece join.
 
-Each task splits its documents into chunks. A chunk numbers its distinct words
-and keeps every document as a list of those numbers, so that what is shuffled
-are the distinct words of chunks, not all words. Equal words of all chunks meet
-in one place, are encoded once, and their ids go back to the chunks, where each
-document's ids are laid out by position.
+Documents are split into words, every distinct word of the corpus is encoded
+once, and the ids are joined back to the words' places. Tasks count their own
+distinct words before anything is shuffled. For the join, the most frequent
+words go to every task, as many as fit a fixed size; where that is not the
+whole table, the places of the rarer words stay open and meet their ids in a
+shuffle of each chunk's distinct rarer words.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections import Counter
+from collections.abc import Iterator
+from itertools import islice
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
+from .common import settle, small_batches
 from .packing import pack, unpack
-from .words import word_tokenizer
+from .words import WordTokenizer, word_tokenizer
 
-#: A chunk ends at so many words or distinct words, a bundle of its documents at so many words.
-CHUNK_WORDS, CHUNK_DISTINCT, BUNDLE = 4_000_000, 600_000, 500_000
+#: Distinct tokens that a task counts before it passes their words on; words and distinct tokens of a chunk; bytes of the table that every task gets.
+COUNTED, CHUNK_WORDS, DISTINCT, HEAD_BYTES = 200_000, 2_000_000, 100_000, 96 << 20
 _BUNDLES = "chunk long, mark long, doc_ids array<long>, sizes array<int>, places binary"
-_WORDS = "chunk long, mark long, at int, word string"
+_TAIL = "chunk long, mark long, at int, word string"
+_ENCODED = "doc_id long, ids array<int>, decoded string"
 
 
-def _chunks(batches: Iterator[pd.DataFrame], split: Callable[[str | None], list[str]]):
-    """(number, distinct words by falling count, doc_ids, sizes, places) of each chunk of a task's documents."""
-    part, seq = TaskContext.get().partitionId(), 0
-    of: dict[str, int] = {}
-    ids, sizes, places, n = [], [], [], 0
+class Head(NamedTuple):
+    """The sent part of the table: word hashes in order, where each word's ids start, all ids, and whether no word is missing."""
 
-    def close():
-        flat = np.concatenate(places) if places else np.zeros(0, np.int64)
-        order = np.argsort(-np.bincount(flat, minlength=len(of)), kind="stable")
-        rank = np.empty(len(of), np.int64)
-        rank[order] = np.arange(len(of))
-        words = list(of)
-        return (part << 24) + seq, [words[i] for i in order], ids, sizes, rank[flat]
+    hashes: np.ndarray
+    starts: np.ndarray
+    ids: np.ndarray
+    whole: bool
 
-    for pdf in batches:
-        for i, text in zip(pdf["doc_id"].array, pdf["text"], strict=True):
-            words = split(text)
-            places.append(np.fromiter((of.setdefault(w, len(of)) for w in words), np.int64, len(words)))
-            ids.append(None if pd.isna(i) else int(i))
-            sizes.append(len(words))
-            n += len(words)
-            if n >= CHUNK_WORDS or len(of) >= CHUNK_DISTINCT:
-                yield close()
-                seq, of, ids, sizes, places, n = seq + 1, {}, [], [], [], 0
-    if ids:
-        yield close()
 
+def _kind(path: str) -> str:
+    return "<u2" if word_tokenizer(path).n_ids <= 1 << 16 else "<u4"
 
-def _mark(words: list[str]) -> int:
-    digest = hashlib.blake2b("\n".join(words).encode("utf-8", "surrogatepass"), digest_size=8).digest()
-    return int.from_bytes(digest, "little", signed=True)
 
+def word_table(docs: DataFrame, path: str) -> DataFrame:
+    """(word, n, ids binary) of all distinct words of docs(text), each encoded once; in the shared folder."""
 
-def _ids_dtype(n_ids: int) -> str:
-    return "<u2" if n_ids <= 1 << 16 else "<u4"
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tok, seen = word_tokenizer(path), Counter()
 
+        def words() -> pd.DataFrame:
+            own = Counter()
+            for token, n in seen.items():
+                for w in tok.words(token):
+                    own[w] += n
+            seen.clear()
+            return pd.DataFrame({"word": pd.Series([*own], dtype=object), "n": pd.Series([*own.values()], dtype="int64")})
 
-def encode(docs: DataFrame, path: str) -> DataFrame:
+        for pdf in batches:
+            for text in pdf["text"]:
+                seen.update(tok.tokens(text))
+                if len(seen) >= COUNTED:
+                    yield words()
+        yield words()
+
+    kind = _kind(path)
+
+    @F.pandas_udf("binary")
+    def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        encode_word = word_tokenizer(path).encode_word
+        for s in batches:
+            yield pd.Series([np.array(encode_word(w), kind).tobytes() for w in s], dtype=object)
+
+    words = docs.select("text").mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return settle(words.withColumn("ids", encoded("word")), "word-table")
+
+
+def _head(table: DataFrame, kind: str, most: int) -> Head:
+    """The words of at least some count, the smallest under which hashes and ids take at most `most` bytes."""
+    step = np.dtype(kind).itemsize
+    sizes = table.groupBy("n").agg(F.sum(F.length("ids") + 12).alias("bytes")).toPandas().sort_values("n", ascending=False)
+    fits = sizes["bytes"].cumsum() <= most
+    least = int(sizes["n"][fits].min()) if fits.any() else None
+
+    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                sizes = np.array([len(x) // step for x in pdf["ids"]], "<u4")
+                yield pd.DataFrame({"h": [pdf["h"].to_numpy("<i8").tobytes()], "k": [sizes.tobytes()], "ids": [b"".join(pdf["ids"])]})
+
+    own = table.where(F.col("n") >= least) if least is not None else table.where("false")
+    rows = own.select(F.xxhash64("word").alias("h"), "ids").mapInPandas(packed, "h binary, k binary, ids binary").toPandas()
+    h, k, ids = (np.frombuffer(b"".join(rows[c]), t) for c, t in (("h", "<i8"), ("k", "<u4"), ("ids", kind)))
+    del rows
+    starts = np.r_[0, np.cumsum(k, dtype=np.int64)]
+    order = np.argsort(h, kind="stable")
+    twice = np.diff(h[order]) == 0
+    shared = np.zeros(len(h), bool)
+    shared[1:] |= twice
+    shared[:-1] |= twice
+    alone = order[~shared]  # words that share a hash are not sent
+    k = k[alone].astype(np.int64)
+    ends = np.cumsum(k)
+    flat = ids[np.repeat(starts[alone] - ends + k, k) + np.arange(ends[-1] if len(ends) else 0)]
+    return Head(h[alone], np.r_[0, ends].astype(np.int32 if len(flat) < 1 << 31 else np.int64), flat, bool(fits.all()) and len(alone) == len(h))
+
+
+class _Numbers(dict):
+    """Numbers words as they are first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+class _Places:
+    """Splits texts and gives each word its number in the head, or the head's size plus a number of its own."""
+
+    def __init__(self, tok: WordTokenizer, head: Head):
+        self.tok, self.head = tok, head
+        self.clear()
+
+    def clear(self) -> None:
+        self.tokens, self.words, self.tail = _Numbers(), _Numbers(), []
+        self.known = np.zeros(0, np.int64)  # the place of each word
+        self.starts, self.inner = np.zeros(1, np.int64), np.zeros(0, np.int64)  # the words of each token
+
+    def of(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        """(places of all words, words of each text)."""
+        get, flat = self.tokens.__getitem__, []
+        for text in texts:
+            tokens = self.tok.tokens(text)
+            flat.append(np.fromiter(map(get, tokens), np.int64, len(tokens)))
+        number, starts, inner = self.words.__getitem__, [], []
+        for t in islice(self.tokens, len(self.starts) - 1, None):
+            inner += map(number, self.tok.words(t))
+            starts.append(len(inner))
+        self.starts = np.r_[self.starts, self.starts[-1] + np.array(starts, np.int64)]
+        self.inner = np.r_[self.inner, np.array(inner, np.int64)]
+        self.known = np.r_[self.known, self._found([*islice(self.words, len(self.known), None)])]
+        if not flat:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        at = np.concatenate(flat)
+        k = self.starts[at + 1] - self.starts[at]
+        ends = np.r_[0, np.cumsum(k)]
+        words = self.inner[np.repeat(self.starts[at] - ends[:-1], k) + np.arange(ends[-1])]
+        return self.known[words], np.diff(ends[np.cumsum([0, *map(len, flat)])])
+
+    def _found(self, fresh: list[str]) -> np.ndarray:
+        h = np.array([xxh64_intdigest(w.encode(), 42) for w in fresh], np.uint64).view(np.int64)
+        at = np.searchsorted(self.head.hashes, h)
+        found = at < len(self.head.hashes)
+        found[found] = self.head.hashes[at[found]] == h[found]
+        for i in np.flatnonzero(~found):
+            at[i] = len(self.head.hashes) + len(self.tail)
+            self.tail.append(fresh[i])
+        return at
+
+
+def _laid(places: np.ndarray, sizes: np.ndarray, starts: np.ndarray, ids: np.ndarray) -> list[np.ndarray]:
+    """The ids of each text."""
+    k = starts[places + 1].astype(np.int64) - starts[places]
+    ends = np.r_[0, np.cumsum(k)]
+    flat = ids[np.repeat(starts[places] - ends[:-1], k) + np.arange(ends[-1])].astype(np.int32)
+    return np.split(flat, ends[np.cumsum(sizes)][:-1]) if len(sizes) else []
+
+
+def _long(values) -> pd.Series:
+    return pd.Series(pd.array([None if pd.isna(v) else int(v) for v in values], "Int64"))
+
+
+def encode(docs: DataFrame, path: str, head_bytes: int = HEAD_BYTES, pieces: DataFrame | None = None) -> DataFrame:
     """(doc_id, ids array<int>) per row of docs(doc_id, text), as the tokenizers library gives them without added tokens.
 
+    With pieces(id, piece), also a column decoded as decode() makes it, joined
+    in the same pass, which spares a second Python process for each task.
+
     path is the tokenizer's file, found at the same place on every executor.
     Null and empty texts have no ids; rows that repeat stay, and a null doc_id
     stays null; extra columns are left out. docs must give the same rows in the
     same partitions when computed again, as tables read from files do: chunks
-    carry a digest of their words, and differing digests raise an error.
+    carry a digest of their rarer words, and differing digests raise an error.
     """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    small_batches(docs.sparkSession)
+    table = word_table(docs, path)
+    kind = _kind(path)
+    held = docs.sparkSession.sparkContext.broadcast(_head(table, kind, head_bytes))
+    columns = ["doc_id", "ids", "decoded"][: 2 if pieces is None else 3]
+    vocab = _held_pieces(pieces) if pieces is not None else None
 
-    def words_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for chunk, words, *_ in _chunks(batches, word_tokenizer(path).split):
-            order = sorted(range(len(words)), key=words.__getitem__)
-            mark = _mark(words)
-            for i in range(0, len(order), 50_000):
-                own = order[i : i + 50_000]
-                yield pd.DataFrame({"chunk": chunk, "mark": mark, "at": np.array(own, np.int32), "word": [words[j] for j in own]})
-
-    def bundles_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for chunk, words, ids, sizes, places in _chunks(batches, word_tokenizer(path).split):
-            mark, ends = _mark(words), np.cumsum(sizes)
-            a = 0
-            while a < len(ids):
-                b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + BUNDLE, "right")))
-                own = places[ends[a - 1] if a else 0 : ends[b - 1]]
-                yield pd.DataFrame({"chunk": [chunk], "mark": [mark], "doc_ids": [ids[a:b]], "sizes": [sizes[a:b]], "places": [pack(own)]})
-                a = b
+    def rows(doc_ids, ids: list[np.ndarray]) -> pd.DataFrame:
+        return pd.DataFrame({"doc_id": _long(doc_ids), "ids": ids, "decoded": [None if vocab is None else _text(vocab.value, x) for x in ids]})
 
-    @F.pandas_udf("binary")
-    def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        tok = word_tokenizer(path)
-        kind = _ids_dtype(tok.n_ids)
-        for s in batches:
-            yield pd.Series([np.array(tok.encode_word(w), kind).tobytes() for w in s], dtype=object)
+    def direct(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        head = held.value
+        places = _Places(word_tokenizer(path), head)
+        for pdf in batches:
+            for a in range(0, len(pdf), 500):
+                some = pdf.iloc[a : a + 500]
+                at, sizes = places.of(some["text"])
+                if places.tail:
+                    raise RuntimeError("the documents changed between two passes; write them to a table first")
+                yield rows(some["doc_id"], _laid(at, sizes, head.starts, head.ids))
+                if len(places.tokens) >= DISTINCT:
+                    places.clear()
+
+    if held.value.whole:
+        return docs.mapInPandas(direct, _ENCODED).select(*columns)
 
-    def laid_out(bundles: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
-        if len(set(bundles["mark"]) | set(table["mark"])) > 1:
+    def chunks(batches: Iterator[pd.DataFrame]):
+        """(number, digest, rarer words, bundles of documents) of each chunk of a task."""
+        places, part, seq, bundles, n = _Places(word_tokenizer(path), held.value), TaskContext.get().partitionId(), 0, [], 0
+        for pdf in batches:
+            for a in range(0, len(pdf), 500):
+                some = pdf.iloc[a : a + 500]
+                at, sizes = places.of(some["text"])
+                bundles.append(([None if pd.isna(i) else int(i) for i in some["doc_id"]], sizes, at))
+                n += len(at)
+                if n >= CHUNK_WORDS or len(places.tokens) >= DISTINCT:
+                    yield (part << 24) + seq, _digest(places.tail), places.tail, bundles
+                    places.clear()
+                    seq, bundles, n = seq + 1, [], 0
+        if bundles:
+            yield (part << 24) + seq, _digest(places.tail), places.tail, bundles
+
+    def tails(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for chunk, mark, words, _ in chunks(batches):
+            yield pd.DataFrame({"chunk": chunk, "mark": mark, "at": np.arange(len(words), dtype=np.int32), "word": pd.Series(words, dtype=object)})
+
+    def bundled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for chunk, mark, _, bundles in chunks(batches):
+            for ids, sizes, at in bundles:
+                yield pd.DataFrame({"chunk": [chunk], "mark": [mark], "doc_ids": [ids], "sizes": [sizes], "places": [pack(at)]})
+
+    def laid_out(bundles: pd.DataFrame, tail: pd.DataFrame) -> pd.DataFrame:
+        if len(set(bundles["mark"]) | set(tail["mark"])) > 1:
             raise RuntimeError("the documents changed between two passes; write them to a table first")
-        table = table.sort_values("at")
-        kind = _ids_dtype(word_tokenizer(path).n_ids)
-        n = np.array([len(x) for x in table["ids"]], np.int64) // np.dtype(kind).itemsize
-        flat = np.frombuffer(b"".join(table["ids"]), kind)
-        starts = np.r_[0, np.cumsum(n)]
+        head, tail = held.value, tail.sort_values("at")
+        k = np.array([len(x) for x in tail["ids"]], np.int64) // np.dtype(kind).itemsize
+        starts = np.r_[head.starts, head.starts[-1] + np.cumsum(k)].astype(np.int64)
+        ids = np.concatenate([head.ids, np.frombuffer(b"".join(tail["ids"]), kind)])
         out_ids, out = [], []
         for doc_ids, sizes, data in zip(bundles["doc_ids"], bundles["sizes"], bundles["places"], strict=True):
-            at = unpack(data)
-            k = n[at]
-            ends = np.r_[0, np.cumsum(k)]
-            ids = flat[np.repeat(starts[at] - ends[:-1], k) + np.arange(ends[-1])].astype(np.int32)
             out_ids += list(doc_ids)
-            out += np.split(ids, ends[np.cumsum(sizes)][:-1])
-        return pd.DataFrame({"doc_id": pd.array([None if pd.isna(i) else int(i) for i in out_ids], "Int64"), "ids": out})
+            out += _laid(unpack(data), np.asarray(sizes, np.int64), starts, ids)
+        return rows(out_ids, out)
+
+    tail = docs.mapInPandas(tails, _TAIL).join(table.select("word", "ids"), "word").select("chunk", "mark", "at", "ids")
+    return docs.mapInPandas(bundled, _BUNDLES).groupBy("chunk").cogroup(tail.groupBy("chunk")).applyInPandas(laid_out, _ENCODED).select(*columns)
 
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = docs.mapInPandas(words_of, _WORDS).repartition("word")
-    # Both sides of this join are parted by word already: no further shuffle.
-    table = rows.select("word").distinct().withColumn("ids", encoded("word"))
-    back = rows.join(table.hint("merge"), "word").select("chunk", "mark", "at", "ids")
-    return docs.mapInPandas(bundles_of, _BUNDLES).groupBy("chunk").cogroup(back.groupBy("chunk")).applyInPandas(laid_out, "doc_id long, ids array<int>")
 
+def _digest(words: list[str]) -> int:
+    return int.from_bytes(hashlib.blake2b("\n".join(words).encode(), digest_size=8).digest(), "little", signed=True)
 
-def vocabulary(spark, path: str) -> DataFrame:
+
+def vocabulary(spark: SparkSession, path: str) -> DataFrame:
     """(id, piece) of the tokenizer's whole vocabulary."""
     return spark.createDataFrame(word_tokenizer(path).pieces(), "id int, piece string")
 
 
+def _held_pieces(pieces: DataFrame):
+    return pieces.sparkSession.sparkContext.broadcast({r.id: r.piece for r in pieces.toLocalIterator()})
+
+
+def _text(pieces: dict[int, str], ids: np.ndarray) -> str:
+    return " ".join(map(pieces.__getitem__, ids.tolist()))
+
+
 def decode(encoded: DataFrame, pieces: DataFrame) -> DataFrame:
     """encoded with a column decoded: the pieces of its ids (array<int>) joined by blanks.
 
@@ -137,12 +279,11 @@ def decode(encoded: DataFrame, pieces: DataFrame) -> DataFrame:
     task gets whole. No ids give an empty text, null gives null; an unknown id
     raises an error. Extra columns stay, one named decoded is replaced.
     """
-    held = encoded.sparkSession.sparkContext.broadcast({r.id: r.piece for r in pieces.toLocalIterator()})
+    held = _held_pieces(pieces)
 
     @F.pandas_udf("string")
     def text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        piece = held.value.__getitem__
         for s in batches:
-            yield pd.Series([None if ids is None else " ".join(map(piece, ids.tolist())) for ids in s], dtype=object)
+            yield pd.Series([None if ids is None else _text(held.value, ids) for ids in s], dtype=object)
 
     return encoded.withColumn("decoded", text("ids"))

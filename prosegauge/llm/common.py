@@ -39,6 +39,13 @@ def settle(df: DataFrame, name: str = "table", codec: str = "zstd") -> DataFrame
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Have Python workers get at most so many rows at once from now on: documents are large, and a worker holds a whole batch."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > rows or int(spark.conf.get(key)) <= 0:
+        spark.conf.set(key, str(rows))
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z lower-cased, all else kept. lower() does just that where every character is one byte."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

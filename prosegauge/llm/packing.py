@@ -6,12 +6,15 @@ import numpy as np
 import zstandard
 
 
+_SQUEEZE, _UNFOLD = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
 def pack(numbers: np.ndarray) -> bytes:
     """Byte planes compress better than the numbers: the upper ones are nearly all zero."""
     planes = np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T)
-    return zstandard.compress(planes.tobytes(), 3)
+    return _SQUEEZE.compress(planes.tobytes())
 
 
 def unpack(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1)
+    planes = np.frombuffer(_UNFOLD.decompress(data), np.uint8).reshape(4, -1)
     return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)

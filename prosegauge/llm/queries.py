@@ -115,8 +115,7 @@ FROM d LEFT JOIN hit h ON d.doc_id = h.doc_id LEFT JOIN items i ON d.doc_id = i.
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document and the text they decode to."""
     path = public_tokenizers.path("word_bpe_49k.json")
-    ids = bpe.encode(read(spark, sf_dir, "documents"), path)
-    back = bpe.decode(ids, bpe.vocabulary(spark, path))
+    back = bpe.encode(read(spark, sf_dir, "documents"), path, pieces=bpe.vocabulary(spark, path))
     joined = F.array_join(F.col("ids").cast("array<string>"), " ")
     return back.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

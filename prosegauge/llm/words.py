@@ -3,18 +3,22 @@
 from __future__ import annotations
 
 import json
+import re
 from functools import lru_cache
 
-import regex
 from tokenizers import Tokenizer
 
 #: Tab, newlines, printable ASCII and Latin letters to U+024F: here NFC changes
 #: nothing and every Unicode version agrees on case, letters and digits.
-_PLAIN = regex.compile(r"[\t\n\r\x20-\x7E\xA1-ɏ]*")
+#: Only superscript digits and fractions are left out: re takes them for letters.
+_PLAIN = re.compile(r"[\t\n\r\x20-\x7E\xA1-\xB1\xB4-\xB8\xBA\xBB\xBF-ɏ]*")
+#: What re, faster than regex, makes of the supported pattern in that range.
+_SUPPORTED = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_FAST = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
 
 
-#: Words that a process remembers.
-SEEN = 400_000
+#: Tokens after which a process begins a new table of their ids.
+SEEN = 80_000
 
 
 def _byte_letters() -> list[str]:
@@ -38,29 +42,43 @@ class WordTokenizer:
         split = spec["pre_tokenizer"]["pretokenizers"][0]
         if [s["type"] for s in steps] != ["NFC", "Replace", "Lowercase"] or split["behavior"] != "Removed" or not split["invert"]:
             raise ValueError(f"{path} doesn't split its words in the way supported here")
-        self.pattern = regex.compile(split["pattern"]["Regex"])
+        if split["pattern"]["Regex"] != _SUPPORTED:
+            raise ValueError(f"{path} splits by {split['pattern']['Regex']}")
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.cut = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))))
+        self.cut = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))))
         self.letters = _byte_letters()
         self.seen: dict[str, list[int]] = {}
+        self.older: dict[str, list[int]] = {}
         self.n_ids = self.tok.get_vocab_size()
 
     def split(self, text: str | None) -> list[str]:
         """Normalised words and special tokens, in order; none for null and empty texts."""
+        return [w for t in self.tokens(text) for w in self.words(t)]
+
+    def tokens(self, text: str | None) -> list[str]:
+        """Stretches between blanks, none of which a word crosses, lower-cased: what is worth remembering.
+
+        Where a text has to go through the library, its words and special
+        tokens instead, each behind a zero byte, which no stretch begins with.
+        """
         if not text:
             return []
+        if not any(s in text for s in self.special):
+            return text.lower().split() if _PLAIN.fullmatch(text) else self._far(text)
         at, out = 0, []
         for m in self.cut.finditer(text):
-            out += self._plain(text[at : m.start()])
-            out.append(m[0])
+            out += self._far(text[at : m.start()])
+            out.append("\0" + m[0])
             at = m.end()
-        return out + self._plain(text[at:]) if at else self._plain(text)
+        return out + self._far(text[at:])
+
+    def words(self, token: str) -> list[str]:
+        """The words of one of tokens()."""
+        return [token[1:]] if token[0] == "\0" else _FAST.findall(token)
 
-    def _plain(self, text: str) -> list[str]:
-        if _PLAIN.fullmatch(text):
-            return self.pattern.findall(text.lower())
+    def _far(self, text: str) -> list[str]:
         norm = self.tok.normalizer.normalize_str(text)
-        return [norm[s:e] for _, (s, e) in self.tok.pre_tokenizer.pre_tokenize_str(norm)]
+        return ["\0" + norm[s:e] for _, (s, e) in self.tok.pre_tokenizer.pre_tokenize_str(norm)]
 
     def encode_word(self, word: str) -> list[int]:
         if word in self.special:
@@ -71,16 +89,16 @@ class WordTokenizer:
         return [t.id for t in self.tok.model.tokenize(mapped)]
 
     def encode(self, text: str | None) -> list[int]:
-        """The ids of a text, through a table of the words seen so far, emptied when it is full."""
-        words = self.split(text)
-        seen, out = self.seen, []
-        for w in words:
-            ids = seen.get(w)
+        """The ids of a text, through a table of the tokens seen of late: a full one is kept until the next is full."""
+        seen, older, out = self.seen, self.older, []
+        for t in self.tokens(text):
+            ids = seen.get(t)
             if ids is None:
-                if len(seen) >= SEEN:
-                    seen.clear()
-                ids = seen[w] = self.encode_word(w)
+                ids = older.get(t)
+                seen[t] = ids = [i for w in self.words(t) for i in self.encode_word(w)] if ids is None else ids
             out += ids
+        if len(seen) >= SEEN:
+            self.seen, self.older = {}, seen
         return out
 
     def pieces(self) -> list[tuple[int, str]]:
