@@ -51,14 +51,12 @@ def automaton(items: list[tuple[str, str | None]], width: int) -> tuple[ahocoras
 
 def scan(text: str | None, trie: ahocorasick.Automaton, names: list[str]) -> tuple:
     """A row of HITS: words, words inside any window found, items found, and the original spans of the hit words."""
-    spans = [m.span() for m in WORD.finditer(fold(text))] if text else []
-    if not spans:
-        return 0, 0, 0, [], []
-    low = fold(text)
-    flat = f" {' '.join([low[s:e] for s, e in spans])} "
-    found = list(trie.iter(flat)) if len(trie) else []
+    low = fold(text) if text else ""
+    words = WORD.findall(low)
+    found = list(trie.iter(f" {' '.join(words)} ")) if words and len(trie) else []
     if not found:
-        return len(spans), 0, 0, [], []
+        return len(words), 0, 0, [], []
+    spans = [m.span() for m in WORD.finditer(low)]
     sizes = np.fromiter((e - s + 1 for s, e in spans), np.int64, len(spans))
     last = np.searchsorted(np.cumsum(sizes), np.array([at for at, _ in found]), "left")
     edges = np.zeros(len(spans) + 1, np.int64)
@@ -120,6 +118,7 @@ def _joined(out: DataFrame) -> DataFrame:
     def join(texts: pd.Series, parts: pd.Series) -> pd.DataFrame:
         rows = []
         for text, ps in zip(texts, parts, strict=True):
+            low = fold(text) if text else ""
             spans: list[list[int]] = []
             for s, e in sorted((x["start"], x["end"]) for p in ps for x in p["spans"]):
                 if spans and s <= spans[-1][1]:
@@ -129,12 +128,12 @@ def _joined(out: DataFrame) -> DataFrame:
             # Neighbouring hit words of two automata touch only through what lies between words.
             merged: list[list[int]] = []
             for s, e in spans:
-                if merged and not WORD.search(text, merged[-1][1], s):
+                if merged and not WORD.search(low, merged[-1][1], s):
                     merged[-1][1] = e
                 else:
                     merged.append([s, e])
             items = sorted({i for p in ps for i in p["items"]})
-            rows.append((int(ps[0]["n_words"]), sum(len(WORD.findall(text, s, e)) for s, e in merged), len(items), items, [tuple(x) for x in merged]))
+            rows.append((int(ps[0]["n_words"]), sum(len(WORD.findall(low, s, e)) for s, e in merged), len(items), items, [tuple(x) for x in merged]))
         return pd.DataFrame(rows, columns=["n_words", "n_hit", "n_items", "items", "spans"])
 
     return out.withColumn("hits", join("text", "_parts")).drop("_parts")
