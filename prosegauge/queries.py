@@ -60,6 +60,30 @@ ORACLE_SQL["pattern_hits"] = f"WITH seeded AS ({seeded_sql()}), found AS (" + "
 ) + ") SELECT pattern_id, count(*) AS hits, count(DISTINCT doc_id) AS docs, CAST(sum(length(hit)) AS BIGINT) AS n_chars FROM found GROUP BY pattern_id"
 
 
+@query
+def plain_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every match of the plain detectors, overlaps resolved."""
+    return detect.match_rows(detect.scan(documents(spark, sf_dir), PLAIN), ["doc_id"]).drop("item_count")
+
+
+_RAW = " UNION ALL ".join(
+    f"SELECT doc_id, {catalog.ORDINAL[i]} AS o, {_quoted(i)} AS id, regexp_extract_all(t, {_quoted(catalog.compiled(i).re2)}) AS m, string_split_regex(t, {_quoted(catalog.compiled(i).re2)}) AS g FROM cut WHERE regexp_matches(t, {_quoted(catalog.compiled(i).re2)})" for i in PLAIN
+)
+ORACLE_SQL["plain_matches"] = f"""
+WITH seeded AS ({seeded_sql()}), cut AS (SELECT doc_id, text[1:{detect.CAP}] AS t FROM seeded), raw AS ({_RAW}),
+each AS (SELECT doc_id, o, id, m, g, unnest(range(1, len(m) + 1)) AS i FROM raw),
+spans AS (
+  SELECT doc_id, o, id, m[i] AS hit, CAST(list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS s
+  FROM each),
+lists AS (SELECT doc_id, list(struct_pack(s := s, e := s + length(hit), o := o, id := id, hit := hit) ORDER BY s, s + length(hit) DESC, o) AS f FROM spans GROUP BY doc_id),
+kept AS (
+  SELECT doc_id, list_reduce(f, lambda a, x: CASE WHEN x.s >= a.reach THEN struct_pack(reach := x.e, kept := list_append(a.kept, x)) ELSE a END, struct_pack(reach := CAST(-1 AS BIGINT), kept := f[1:0])).kept AS k
+  FROM lists),
+numbered AS (SELECT doc_id, unnest(range(0, len(k))) AS match_id, unnest(k) AS x FROM kept)
+SELECT doc_id, match_id, x.id AS pattern_id, x.s AS start, x.e AS "end", x.hit AS snippet FROM numbered
+"""
+
+
 @query
 def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every match of every default detector, overlaps resolved."""
@@ -278,4 +302,11 @@ def stream_monitor(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def stream_settled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The version that each closed burst of changes settled on."""
-    return _drained(stream.settled(stream.versions(spark, page_versions(spark, sf_dir)), late="0 seconds"), spark).select("page_id", "version_ts", F.char_length("html").alias("n_chars"))
+    rows = _drained(stream.settled(stream.versions(spark, page_versions(spark, sf_dir)), late="0 seconds"), spark)
+    return rows.select("page_id", F.unix_timestamp("version_ts").alias("version_s"), F.char_length("html").alias("n_chars"))
+
+
+ORACLE_SQL["stream_settled"] = """
+WITH versions AS (SELECT page_id, 1700000000 + page_id * 977 % 36000 + 2 AS version_s, length('<body><h1>Moving forward</h1>') + length(html) AS n_chars FROM pages)
+SELECT * FROM versions WHERE version_s + 5 <= (SELECT max(version_s) FROM versions)
+"""

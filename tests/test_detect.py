@@ -165,3 +165,13 @@ def test_hostile_texts_end(unit):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert detect.match_rows(detect.scan(docs), ["doc_id"]).count() == 0
+
+
+def test_a_phrase_as_columns_finds_the_same(spark):
+    from prosegauge.functions.spans import phrase_spans
+
+    own = catalog.compiled("verb-inflation")
+    texts = ["In order to utilize it, prior to that.", "none", "", None, "a number of é things in order  to"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    for r in docs.select("text", phrase_spans(docs.text, own).alias("s")).collect():
+        assert [(x.start, x.end) for x in r.s or []] == [f[:2] for f in finders.find(r.text, ["verb-inflation"])]
