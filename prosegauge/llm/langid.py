@@ -16,7 +16,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 #: Buckets; learning rows of a language in the sample; passes over the sample.
 BUCKETS, SAMPLE, EPOCHS = 1 << 16, 800, 3
@@ -90,11 +89,21 @@ def document_frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
     return int(rows["n"][~real].sum()), out
 
 
+def drawn(keys: DataFrame, label: str, rows: int) -> DataFrame:
+    """About `rows` of keys(h, label) of each label: those whose hash lies below the share that `rows` are of its count.
+
+    Hashes are even, so a label's rows are `rows` give or take a few root
+    deviations, however many it has; all of a label of fewer.
+    """
+    share = keys.groupBy(label).agg((F.lit(float(rows)) / F.count("*")).alias("_share"))
+    at = F.shiftrightunsigned(F.xxhash64("h"), 11) / F.lit(float(1 << 53))
+    return keys.join(F.broadcast(share), label).where(at < F.col("_share")).drop("_share")
+
+
 def sample(learn: DataFrame, rows: int = SAMPLE) -> list[tuple[str, str]]:
-    """At most `rows` different texts of each language, those with the smallest hashes: (lang, text), hashes in order."""
+    """About `rows` different texts of each language, or all it has: (lang, text), in the order of their hashes."""
     keys = learn.select(F.xxhash64("text").alias("h"), "lang").groupBy("h").agg(F.min("lang").alias("lang"))
-    by = Window.partitionBy("lang").orderBy("h")
-    keys = keys.withColumn("r", F.row_number().over(by)).where(F.col("r") <= rows).select("h", F.col("lang").alias("l"))
+    keys = drawn(keys, "lang", rows).select("h", F.col("lang").alias("l"))
     texts = learn.select(F.xxhash64("text").alias("h"), "text").join(F.broadcast(keys), "h").groupBy("h", "l").agg(F.min("text").alias("text"))
     return [(r.l, r.text) for r in sorted(texts.collect(), key=lambda r: r.h)]
 
@@ -114,9 +123,9 @@ def fit(learn: DataFrame, rows: int = SAMPLE) -> Model:
     """A model of learn(text, lang), whose langs are not null. Texts without letters teach nothing; no rows give no languages."""
     n_docs, df = document_frequencies(learn)
     idf = np.log((1 + n_docs) / (1 + df)) + 1
-    drawn = sample(learn, rows)
-    langs = sorted({lang for lang, _ in drawn})
-    xs = [(_features(t, idf), langs.index(lang)) for lang, t in drawn]
+    texts = sample(learn, rows)
+    langs = sorted({lang for lang, _ in texts})
+    xs = [(_features(t, idf), langs.index(lang)) for lang, t in texts]
     xs = [x for x in xs if len(x[0][0])]
     train, check = [x for i, x in enumerate(xs) if i % 5], xs[::5]
     z, n = np.zeros((BUCKETS, len(langs))), np.zeros((BUCKETS, len(langs)))
