@@ -20,10 +20,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import settle
-from .langid import held_out
+from .langid import drawn, held_out
 
 #: Learning rows of each label; documents that a lexicon entry is found in at least; its least cautious log-odds.
 SAMPLE, SUPPORT, LEAST = 10_000, 3, 1.5
@@ -168,7 +167,7 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> DataFrame:
-    """(h, toxic, text): at most `rows` different texts of each label, those of the smallest hashes.
+    """(h, toxic, text): about `rows` different texts of each label, or all it has.
 
     From docs(doc_id, text) and labels(doc_id, toxic) that are not held out; a
     text labelled both ways is toxic; null labels and texts teach nothing.
@@ -176,8 +175,7 @@ def sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> DataFrame:
     own = docs.where(~held_out(F.col("doc_id")) & F.col("text").isNotNull())
     marked = own.select("doc_id", F.xxhash64("text").alias("h")).join(labels.where("toxic IS NOT NULL").select("doc_id", "toxic"), "doc_id")
     keys = marked.groupBy("h").agg(F.max("toxic").alias("toxic"))
-    by = Window.partitionBy("toxic").orderBy("h")
-    keys = keys.withColumn("r", F.row_number().over(by)).where(F.col("r") <= rows).select("h", "toxic")
+    keys = drawn(keys, "toxic", rows)
     texts = own.select(F.xxhash64("text").alias("h"), "text").join(F.broadcast(keys), "h")
     return texts.groupBy("h", "toxic").agg(F.min("text").alias("text"))
 
@@ -199,8 +197,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> Model:
     clean rows every score is the share of toxic ones (0 if there are none).
     """
     counts = char_counts(docs)
-    drawn = settle(sample(docs, labels, rows).withColumn("half", F.pmod("h", F.lit(2)).cast("int")), "toxic-sample")
-    sizes = {(r.half, r.toxic): r.n for r in drawn.groupBy("half", "toxic").agg(F.count("*").alias("n")).collect()}
+    texts = settle(sample(docs, labels, rows).withColumn("half", F.pmod("h", F.lit(2)).cast("int")), "toxic-sample")
+    sizes = {(r.half, r.toxic): r.n for r in texts.groupBy("half", "toxic").agg(F.count("*").alias("n")).collect()}
     tox, clean = (sum(n for (_, y), n in sizes.items() if (y == 1) == side) for side in (True, False))
     if not tox or not clean:
         base = tox / max(1, tox + clean)
@@ -214,7 +212,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> Model:
                 n.update((f, half, y == 1) for f in {f for w in restored_words(text, lm) for f in word_features(w)})
         yield pd.DataFrame([(f, h, k * y, k * (1 - y)) for (f, h, y), k in n.items()], columns=["feature", "half", "toxic", "clean"])
 
-    spread = drawn.repartition("h").mapInPandas(tally, "feature string, half int, toxic long, clean long")
+    spread = texts.repartition("h").mapInPandas(tally, "feature string, half int, toxic long, clean long")
     table = spread.groupBy("feature").agg(*[F.sum(F.when(F.col("half") == h, F.col(y)).otherwise(0)).alias(f"{y}{h}") for h in (0, 1) for y in ("toxic", "clean")])
     table = table.where(F.col("toxic0") + F.col("toxic1") >= SUPPORT).toPandas()
 
@@ -230,7 +228,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> Model:
             x = [_summary(own[h].hits(t)) for t, h in zip(pdf["text"], pdf["half"], strict=True)]
             yield pd.DataFrame({"x": x, "toxic": pdf["toxic"]})
 
-    seen = drawn.repartition("h").mapInPandas(summed, "x array<double>, toxic int").toPandas()
+    seen = texts.repartition("h").mapInPandas(summed, "x array<double>, toxic int").toPandas()
     x = np.stack(seen["x"].to_numpy())
     return Model(counts, lexicon((0, 1)), _logistic(x, (seen["toxic"] == 1).to_numpy(float)))
 
