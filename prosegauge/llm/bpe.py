@@ -24,14 +24,13 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from .common import settle, small_batches
-from .packing import pack, unpack
+from .packing import pack, planes, unpack
 from .words import WordTokenizer, word_tokenizer
 
 #: Distinct tokens that a task counts before it passes their words on; words and distinct tokens of a chunk; bytes of the table that every task gets.
 COUNTED, CHUNK_WORDS, DISTINCT, HEAD_BYTES = 200_000, 2_000_000, 100_000, 96 << 20
 _BUNDLES = "chunk long, mark long, doc_ids array<long>, sizes array<int>, places binary"
 _TAIL = "chunk long, mark long, at int, word string"
-_ENCODED = "doc_id long, ids array<int>, decoded string"
 
 
 class Head(NamedTuple):
@@ -174,11 +173,12 @@ def _long(values) -> pd.Series:
     return pd.Series(pd.array([None if pd.isna(v) else int(v) for v in values], "Int64"))
 
 
-def encode(docs: DataFrame, path: str, head_bytes: int = HEAD_BYTES, pieces: DataFrame | None = None) -> DataFrame:
+def encode(docs: DataFrame, path: str, head_bytes: int = HEAD_BYTES, pieces: DataFrame | None = None, packed_end: int | None = None) -> DataFrame:
     """(doc_id, ids array<int>) per row of docs(doc_id, text), as the tokenizers library gives them without added tokens.
 
     With pieces(id, piece), also a column decoded as decode() makes it, joined
-    in the same pass, which spares a second Python process for each task.
+    in the same pass, which spares a second Python process for each task. With
+    packed_end, ids are planes() of the ids and this one after them.
 
     path is the tokenizer's file, found at the same place on every executor.
     Null and empty texts have no ids; rows that repeat stay, and a null doc_id
@@ -191,11 +191,12 @@ def encode(docs: DataFrame, path: str, head_bytes: int = HEAD_BYTES, pieces: Dat
     table = word_table(docs, path)
     kind = _kind(path)
     held = docs.sparkSession.sparkContext.broadcast(_head(table, kind, head_bytes))
-    columns = ["doc_id", "ids", "decoded"][: 2 if pieces is None else 3]
+    schema = "doc_id long, ids " + ("array<int>" if packed_end is None else "binary") + ("" if pieces is None else ", decoded string")
     vocab = _held_pieces(pieces) if pieces is not None else None
 
     def rows(doc_ids, ids: list[np.ndarray]) -> pd.DataFrame:
-        return pd.DataFrame({"doc_id": _long(doc_ids), "ids": ids, "decoded": [None if vocab is None else _text(vocab.value, x) for x in ids]})
+        out = pd.DataFrame({"doc_id": _long(doc_ids), "ids": ids if packed_end is None else [planes(np.append(x, packed_end)) for x in ids]})
+        return out if vocab is None else out.assign(decoded=[_text(vocab.value, x) for x in ids])
 
     def direct(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         head = held.value
@@ -211,7 +212,7 @@ def encode(docs: DataFrame, path: str, head_bytes: int = HEAD_BYTES, pieces: Dat
                     places.clear()
 
     if held.value.whole:
-        return docs.mapInPandas(direct, _ENCODED).select(*columns)
+        return docs.mapInPandas(direct, schema)
 
     def chunks(batches: Iterator[pd.DataFrame]):
         """(number, digest, rarer words, bundles of documents) of each chunk of a task."""
@@ -252,7 +253,7 @@ def encode(docs: DataFrame, path: str, head_bytes: int = HEAD_BYTES, pieces: Dat
         return rows(out_ids, out)
 
     tail = docs.mapInPandas(tails, _TAIL).join(table.select("word", "ids"), "word").select("chunk", "mark", "at", "ids")
-    return docs.mapInPandas(bundled, _BUNDLES).groupBy("chunk").cogroup(tail.groupBy("chunk")).applyInPandas(laid_out, _ENCODED).select(*columns)
+    return docs.mapInPandas(bundled, _BUNDLES).groupBy("chunk").cogroup(tail.groupBy("chunk")).applyInPandas(laid_out, schema)
 
 
 def _digest(words: list[str]) -> int:

@@ -9,6 +9,7 @@ tables: codes(id, length), blocks(...) and parts(part, base).
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,11 +19,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import settle
-from .packing import pack, unpack
+from . import bpe
+from .common import settle, small_batches
+from .packing import from_planes, planes
 
 #: Longest code, ids between checkpoints, ids after which a block ends, ids at most in one.
 LONGEST, CHECK, FULL, MOST = 18, 256, 1 << 15, 1 << 17
+#: Ids below this are counted and looked up by plain arrays.
+DENSE = 1 << 21
 _BLOCKS = "part int, block int, before long, n_ids long, docs array<struct<doc_id:long,at:long,n:int,piece:int,pieces:int>>, checks binary, bits binary"
 _PIECES = "part int, at long, doc_id long, piece int, pieces int, ids array<int>"
 
@@ -63,6 +67,10 @@ class Code:
         first = np.r_[0, np.cumsum(spans)[:-1]] if len(order) else np.zeros(0, np.int64)
         self.codes = first >> (longest - self.lengths)
         self.by_id = np.argsort(self.ids, kind="stable")
+        self.at = None
+        if len(self.ids) and self.ids.max() < DENSE:
+            self.at = np.zeros(self.ids.max() + 1, np.int64)
+            self.at[self.ids] = np.arange(len(self.ids))
         self.symbol = np.zeros(1 << longest, np.int32)
         self.length = np.ones(1 << longest, np.uint8)
         self.symbol[: spans.sum()] = np.repeat(self.ids, spans)
@@ -72,7 +80,7 @@ class Code:
         """(bits, checkpoints) of ids that all have codes."""
         if not len(ids):
             return b"", b""
-        at = self.by_id[np.searchsorted(self.ids[self.by_id], ids)]
+        at = self.by_id[np.searchsorted(self.ids[self.by_id], ids)] if self.at is None else self.at[ids]
         size = self.lengths[at].astype(np.uint64)
         ends = np.cumsum(size)
         starts = ends - size
@@ -108,11 +116,11 @@ class Code:
 
 
 def packed(docs_ids: DataFrame) -> DataFrame:
-    """(doc_id, ids binary) of (doc_id, ids array<int>): ids as compressed byte planes, for shuffles."""
+    """(doc_id, ids binary) of (doc_id, ids array<int>): ids as byte planes."""
 
     @F.pandas_udf("binary")
     def of(s: pd.Series) -> pd.Series:
-        return pd.Series([pack(np.asarray([] if x is None else x, np.int64)) for x in s], dtype=object)
+        return pd.Series([planes(np.asarray([] if x is None else x, np.int64)) for x in s], dtype=object)
 
     return docs_ids.select(F.col("doc_id").cast("long").alias("doc_id"), of("ids").alias("ids"))
 
@@ -128,13 +136,16 @@ def write(tokens: DataFrame, path: str, longest: int = LONGEST) -> None:
     spark = tokens.sparkSession
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total: dict[int, int] = {}
+        low, high = np.zeros(DENSE, np.int64), Counter()
         for pdf in batches:
-            if len(pdf):
-                ids, n = np.unique(np.concatenate([unpack(x) for x in pdf["ids"]]), return_counts=True)
-                for i, k in zip(ids.tolist(), n.tolist(), strict=True):
-                    total[i] = total.get(i, 0) + k
-        yield pd.DataFrame({"id": np.array([*total], np.int64), "n": np.array([*total.values()], np.int64)})
+            for a in range(0, len(pdf), 500):
+                ids = np.concatenate([from_planes(x) for x in pdf["ids"].iloc[a : a + 500]])
+                dense = ids < DENSE
+                n = np.bincount(ids[dense])
+                low[: len(n)] += n
+                high.update(ids[~dense].tolist())
+        own = np.flatnonzero(low)
+        yield pd.DataFrame({"id": np.r_[own, np.array([*high], np.int64)], "n": np.r_[low[own], np.array([*high.values()], np.int64)]})
 
     counts = tokens.select("ids").mapInPandas(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).limit((1 << longest) + 1).toPandas().sort_values("id")
     ids, lengths = counts["id"].to_numpy(np.int64), code_lengths(counts["n"].to_numpy(np.int64), longest)
@@ -154,18 +165,18 @@ def write(tokens: DataFrame, path: str, longest: int = LONGEST) -> None:
 
         for pdf in batches:
             for doc_id, data in zip(pdf["doc_id"].array, pdf["ids"], strict=True):
-                ids = unpack(data)
+                ids = from_planes(data)
                 doc_id = None if pd.isna(doc_id) else int(doc_id)
                 pieces = max(1, -(-len(ids) // MOST))
                 at = before + size
                 for k in range(pieces):
                     piece = ids[k * MOST : (k + 1) * MOST]
                     if docs and (pieces > 1 or size + len(piece) > MOST):
-                        yield close()
+                        yield close()  # a piece of a huge document has its block to itself
                     docs.append({"doc_id": doc_id, "at": at, "n": len(piece), "piece": k, "pieces": pieces})
                     own.append(piece)
                     size += len(piece)
-                    if size >= FULL or len(docs) >= FULL:
+                    if pieces > 1 or size >= FULL or len(docs) >= FULL:
                         yield close()
         if docs:
             yield close()
@@ -180,6 +191,7 @@ def write(tokens: DataFrame, path: str, longest: int = LONGEST) -> None:
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, ids array<int>) of a folder that write() made; start counts the ids of all documents before."""
+    small_batches(spark)
     codes = spark.read.parquet(f"{path}/codes").orderBy("id").toPandas()
     held = spark.sparkContext.broadcast((codes["id"].to_numpy(np.int64), codes["length"].to_numpy(np.int64), int(max(LONGEST, codes["length"].max() if len(codes) else 0))))
 
@@ -198,23 +210,15 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 out = pd.DataFrame(rows, columns=["part", "at", "doc_id", "piece", "pieces", "ids"])
                 yield out.assign(doc_id=out["doc_id"].astype("Int64"))
 
-    rows = spark.read.parquet(f"{path}/blocks").mapInPandas(pieces, _PIECES)
-    whole = rows.where("pieces = 1").select("part", "at", "doc_id", "ids")
-    # Only documents of several blocks are put together; a block of one is never shared.
-    cut = rows.where("pieces > 1").groupBy("part", "at", "doc_id").agg(F.array_sort(F.collect_list(F.struct("piece", "ids"))).alias("p"))
-    joined = whole.unionByName(cut.select("part", "at", "doc_id", F.flatten("p.ids").alias("ids")))
+    blocks, cut = spark.read.parquet(f"{path}/blocks"), F.col("docs")[0]["pieces"] > 1
+    whole = blocks.where(~cut).mapInPandas(pieces, _PIECES).select("part", "at", "doc_id", "ids")
+    # Only documents of several blocks are put together.
+    apart = blocks.where(cut).mapInPandas(pieces, _PIECES).groupBy("part", "at", "doc_id").agg(F.array_sort(F.collect_list(F.struct("piece", "ids"))).alias("p"))
+    joined = whole.unionByName(apart.select("part", "at", "doc_id", F.flatten("p.ids").alias("ids")))
     parts = spark.read.parquet(f"{path}/parts")
     return joined.join(F.broadcast(parts), "part").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "ids")
 
 
 def token_ids(docs: DataFrame, path: str, end: int) -> DataFrame:
     """(doc_id, ids binary) packed and settled: the tokenizer's ids of each whole text, and the end id."""
-    from .words import word_tokenizer
-
-    @F.pandas_udf("binary")
-    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        tok = word_tokenizer(path)
-        for s in batches:
-            yield pd.Series([pack(np.array([*tok.encode(t), end], np.int64)) for t in s], dtype=object)
-
-    return settle(docs.select(F.col("doc_id").cast("long").alias("doc_id"), of("text").alias("ids")), "token-ids", codec="none")
+    return settle(bpe.encode(docs, path, packed_end=end), "token-ids")

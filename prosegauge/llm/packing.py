@@ -9,12 +9,19 @@ import zstandard
 _SQUEEZE, _UNFOLD = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
 
+def planes(numbers: np.ndarray) -> bytes:
+    """All lowest bytes, then all second ones and so on: what tables and shuffles compress better than the numbers."""
+    return numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
 def pack(numbers: np.ndarray) -> bytes:
-    """Byte planes compress better than the numbers: the upper ones are nearly all zero."""
-    planes = np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T)
-    return _SQUEEZE.compress(planes.tobytes())
+    """planes(), compressed."""
+    return _SQUEEZE.compress(planes(numbers))
 
 
 def unpack(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(_UNFOLD.decompress(data), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel().astype(np.int64)
+    return from_planes(_UNFOLD.decompress(data)).astype(np.int64)

@@ -17,10 +17,6 @@ _SUPPORTED = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _FAST = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
 
 
-#: Tokens after which a process begins a new table of their ids.
-SEEN = 80_000
-
-
 def _byte_letters() -> list[str]:
     """The letter that stands for each byte: itself where printable, else the next one from U+0100."""
     seen = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -47,8 +43,6 @@ class WordTokenizer:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.cut = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))))
         self.letters = _byte_letters()
-        self.seen: dict[str, list[int]] = {}
-        self.older: dict[str, list[int]] = {}
         self.n_ids = self.tok.get_vocab_size()
 
     def split(self, text: str | None) -> list[str]:
@@ -88,19 +82,6 @@ class WordTokenizer:
             mapped = "".join([self.letters[b] for b in word.encode()])
         return [t.id for t in self.tok.model.tokenize(mapped)]
 
-    def encode(self, text: str | None) -> list[int]:
-        """The ids of a text, through a table of the tokens seen of late: a full one is kept until the next is full."""
-        seen, older, out = self.seen, self.older, []
-        for t in self.tokens(text):
-            ids = seen.get(t)
-            if ids is None:
-                ids = older.get(t)
-                seen[t] = ids = [i for w in self.words(t) for i in self.encode_word(w)] if ids is None else ids
-            out += ids
-        if len(seen) >= SEEN:
-            self.seen, self.older = {}, seen
-        return out
-
     def pieces(self) -> list[tuple[int, str]]:
         """(id, piece) of the whole vocabulary, special tokens included."""
         return sorted((i, p) for p, i in self.tok.get_vocab(with_added_tokens=True).items())
