@@ -21,9 +21,9 @@ from pyspark.sql.window import Window
 from .common import BROADCAST_BYTES, settle
 
 #: Vectors planned for a block; lines; share of windows that a vector must fall into.
-BLOCK, LINES, SHARE = 8192, 48, 0.5
-#: Radii, as distances between vectors of length one: from FIRST by factors of WIDEN to beyond 2.
-FIRST, WIDEN = 0.1, 1.3
+BLOCK, LINES, SHARE = 8192, 48, 0.56
+#: Radii of the windows, as distances between vectors of length one; the last is beyond the largest.
+RADII = 0.2 * 1.2 ** np.arange(14)
 INDEX = "block int, ids binary, vecs binary, places binary, values binary"
 FOUND = "query_id long, vec_id long, score double"
 
@@ -80,6 +80,7 @@ class _Block:
         self.members = np.split(ids[order], np.cumsum(np.bincount(of))[:-1])
         self.vecs, self.dim = vecs[first], dim
         self.norms = np.sqrt((self.vecs * self.vecs).sum(axis=1))
+        self.units = _unit(self.vecs).astype(np.float32)
         places = np.frombuffer(row.places, "<i4").reshape(lines, -1)
         values = np.frombuffer(row.values, np.float32).reshape(lines, -1)
         heads = np.zeros(len(ids), bool)
@@ -91,31 +92,31 @@ class _Block:
     def near(self, q: np.ndarray, lie: np.ndarray, own: int, k: int, best: list, share: float) -> list:
         """The k best (-score, id) among best and this block, by the method above."""
         lines, n = self.places.shape
-        seen = np.zeros(n, bool)
-        norm, radius = np.sqrt((q * q).sum()), FIRST
-        best = list(best)
-        while True:
-            last = radius > 2
-            low = [np.searchsorted(v, x - radius) for v, x in zip(self.values, lie, strict=True)]
-            high = [np.searchsorted(v, x + radius, "right") for v, x in zip(self.values, lie, strict=True)]
-            hits = np.bincount(np.concatenate([p[a:b] for p, a, b in zip(self.places, low, high, strict=True)]), minlength=n)
-            new = np.flatnonzero(~seen if last else (hits >= share * lines) & ~seen)
+        norm = np.sqrt((q * q).sum())
+        short = (q / norm).astype(np.float32)
+        hits, seen, best = np.zeros(n, np.int64), np.zeros(n, bool), list(best)
+        edges = np.array([v.searchsorted(np.r_[x - RADII, x + RADII]) for v, x in zip(self.values, lie, strict=True)])
+        low, high = edges[:, : len(RADII)].T.tolist(), edges[:, len(RADII) :].T.tolist()
+        inner = (low[0], low[0])
+        for radius, lo, hi in zip(RADII, low, high, strict=True):
+            # Only what the wider windows have more than the ones before.
+            rings = [p[a:b] for p, a, b in zip(self.places, lo, inner[0], strict=True)] + [p[a:b] for p, a, b in zip(self.places, inner[1], hi, strict=True)]
+            inner = (lo, hi)
+            hits += np.bincount(np.concatenate(rings), minlength=n)
+            new = np.flatnonzero(~seen if radius > 2 else (hits >= share * lines) & ~seen)
             seen[new] = True
             if len(new):
-                scores = (self.vecs[new] * q).sum(axis=1) / (self.norms[new] * norm)
-                if len(new) > 4 * k:
-                    worth = np.argpartition(-scores, k + 1)[: k + 2]
-                    worth = np.flatnonzero(scores >= scores[worth].min())
-                else:
-                    worth = range(len(new))
-                for i in worth:
-                    others = self.members[new[i]]
-                    best += [(-float(scores[i]), int(x)) for x in others[: k + 1] if x != own]
+                near = self.units[new] @ short
+                floor = np.partition(near, -k - 1)[-k - 1] if len(near) > k + 1 else -2
+                floor = max(floor, -best[-1][0] if len(best) == k else -2) - 1e-4  # what single precision can't tell apart stays
+                for i in new[near >= floor]:
+                    score = float((self.vecs[i] * q).sum() / (self.norms[i] * norm))
+                    best += [(-score, int(x)) for x in self.members[i][: k + 1] if x != own]
                 best = sorted(best)[:k]
             # Distance d between vectors of length one has cosine 1 - d * d / 2.
-            if last or len(best) == k and -best[-1][0] >= 1 - radius * radius / 2:
-                return best
-            radius *= WIDEN
+            if len(best) == k and -best[-1][0] >= 1 - radius * radius / 2:
+                break
+        return best
 
 
 def search(index: DataFrame, queries: DataFrame, k: int = 5, lines: int = LINES, share: float = SHARE) -> DataFrame:
