@@ -12,9 +12,10 @@ import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 from typing import NamedTuple
 
-from prosegauge.functions.phrases import JAVA_BLANK, with_blanks
+from prosegauge.functions.phrases import JAVA_BLANK, phrase, with_blanks
 from prosegauge.operators.catalog import CHAIN_HEADS, CHAIN_PARTS, DETECTORS, ORDINAL, anchors, compiled
 
 #: Openers that no run of alike sentences is counted for, and what a full stop after is no sentence's end.
@@ -52,7 +53,7 @@ class Sentence(NamedTuple):
 def _runs(items: Iterable[Sentence], linked: Callable[[Sentence, Sentence], bool], least: int) -> Iterator[tuple[Sentence, Sentence, int]]:
     """(first, last, how many) of the longest runs of at least `least` in which each is linked to the next."""
     run: list[Sentence] = []
-    for item in [*items, None]:
+    for item in chain(items, [None]):
         if run and (item is None or not linked(run[-1], item)):
             if len(run) >= least:
                 yield run[0], run[-1], len(run)
@@ -75,6 +76,92 @@ def _phrases(pattern_id: str, text: str) -> Iterator[tuple]:
         yield *m.span(), None
 
 
+class _Ahead:
+    """The first match from a place on, for places that never go back: each part of the text is searched once."""
+
+    def __init__(self, regex: re.Pattern, text: str):
+        self.regex, self.text, self.last, self.more = regex, text, None, True
+
+    def at(self, pos: int) -> re.Match | None:
+        if self.more and (self.last is None or self.last.start() < pos):
+            self.last = self.regex.search(self.text, pos)
+            self.more = self.last is not None
+        return self.last
+
+
+@lru_cache(maxsize=8)
+def _far_parts(pattern_id: str) -> tuple[list[tuple[re.Pattern, re.Pattern, re.Pattern]], re.Pattern | None]:
+    """(head, tail, what may not lie between) of each phrase with an unbounded gap, and a regex of the others."""
+    d, parts, near = DETECTORS[ORDINAL[pattern_id]], [], []
+    for spec in d.specs:
+        gap = re.search(r"\[\^([^\]]+)\]\*\?", spec)
+        if gap:
+            ends = f"{spec[: gap.start()]}>", f"<{spec[gap.end() :]}"
+            parts.append((*(python_regex(phrase(x, fold=d.fold).java) for x in ends), re.compile(f"[{gap[1]}]")))
+        else:
+            near.append(spec)
+    return parts, python_regex(phrase(*near, fold=d.fold).java) if near else None
+
+
+def _far(pattern_id: str, text: str) -> Iterator[tuple]:
+    """What the phrases' regex finds, in linear time: a sentence's end and the next tail are looked up once, not for each head."""
+    parts, near = _far_parts(pattern_id)
+
+    def gapped(head: re.Pattern, tail: re.Pattern, stop: re.Pattern) -> Callable[[int], tuple[int, int] | None]:
+        heads, tails, stops = (_Ahead(r, text) for r in (head, tail, stop))
+
+        def search(pos: int) -> tuple[int, int] | None:
+            while (h := heads.at(pos)) and (t := tails.at(h.end())):
+                if not (s := stops.at(h.end())) or t.start() <= s.start():
+                    return h.start(), t.end()
+                pos = h.start() + 1
+            return None
+
+        return search
+
+    searches = [gapped(*p) for p in parts]
+    if near:
+        searches.append(lambda pos: m.span() if (m := near.search(text, pos)) else None)
+    pos, found = 0, [(-1, -1)] * len(searches)
+    while True:
+        found = [search(pos) if own and own[0] < pos else own for search, own in zip(searches, found, strict=True)]
+        first = min((x for x in found if x), key=lambda x: x[0], default=None)
+        if not first:
+            return
+        yield *first, None
+        pos = first[1]
+
+
+@lru_cache(maxsize=1)
+def _again_parts(pattern_id: str) -> tuple[list[re.Pattern], list[re.Pattern], re.Pattern]:
+    """Heads and tails, with and without an adverb, that capture the verb; what may not lie between."""
+    d = DETECTORS[ORDINAL[pattern_id]]
+    gap = re.search(r"\[\^([^\]]+)\]\*\?", d.specs[0])
+    head, tail = f"{d.specs[0][: gap.start()]}>", f"<{d.specs[0][gap.end() :]}".replace(r"<\1>", r"<(\w+)>")
+    adverb = re.compile(r"\[((?:\w+ \|)+\w+) \]")
+    both = [[python_regex(phrase(adverb.sub(x, part), fold=d.fold).java) for x in (lambda m: f"({m[1].replace(' ', '')}) ", "")] for part in (head, tail)]
+    return *both, re.compile(f"[{gap[1]}]")
+
+
+def _again(pattern_id: str, text: str) -> Iterator[tuple]:
+    """What the phrase's regex finds, in linear time: the verb's next place after a stop is looked up, not searched for each head."""
+    heads, tails, stop = _again_parts(pattern_id)
+    first = sorted(((m.start(), i, m.end(), m[1].lower()) for i, r in enumerate(heads) for m in r.finditer(text)))
+    if not first:
+        return
+    places: dict[str, list[tuple[int, int]]] = {}
+    for m in sorted((m for r in tails for m in r.finditer(text)), key=lambda m: m.start()):
+        places.setdefault(m[1].lower(), []).append(m.span())
+    stops, pos = _Ahead(stop, text), 0
+    for start, _, end, verb in first:
+        own = places.get(verb, [])
+        i = bisect_left(own, (end,))
+        s = stops.at(end)
+        if start >= pos and i < len(own) and (not s or own[i][0] <= s.start()):
+            pos = own[i][1]
+            yield start, pos, None
+
+
 def _chain(pattern_id: str, text: str) -> Iterator[tuple]:
     parts, head = (re.compile(with_blanks(r), re.IGNORECASE) for r in (CHAIN_PARTS, CHAIN_HEADS[pattern_id]))
     for m in _regex(pattern_id).finditer(text):
@@ -123,7 +210,7 @@ def _staccato(_: str, text: str) -> Iterator[tuple]:
         yield *_trimmed(text, a.start, b.end), n
 
 
-_KINDS = {"phrase": _phrases, "chain": _chain, "questions": _questions, "echo": _echo, "anaphora": _anaphora, "staccato": _staccato}
+_KINDS = {"phrase": _phrases, "far": _far, "again": _again, "chain": _chain, "questions": _questions, "echo": _echo, "anaphora": _anaphora, "staccato": _staccato}
 
 
 def find(text: str | None, pattern_ids: Iterable[str]) -> list[Find]:
@@ -154,12 +241,19 @@ _STOPS, _CLOSERS = "\n.!?…", "\"'”’)]»"
 _AFTER = re.compile(rf"[^{_STOPS}]*(?:[.!?…][{re.escape(_CLOSERS)}]*)?")
 
 
-def sentence_bounds(text: str, start: int, end: int) -> tuple[int, int]:
-    """The sentence around a match: from after the stop before it, blanks skipped, through the first stop from its end on."""
-    left = max(text.rfind(c, 0, start) for c in _STOPS) + 1
+def _stops(text: str) -> list[int]:
+    return [m.start() for m in _fixed(f"[{_STOPS}]").finditer(text)]
+
+
+def sentence_bounds(text: str, start: int, end: int, stops: list[int] | None = None) -> tuple[int, int]:
+    """The sentence around a match: from after the stop before it, blanks skipped, through the first stop from its end on. `stops`: their places, if known."""
+    stops = _stops(text) if stops is None else stops
+    at = bisect_left(stops, start)
+    left = stops[at - 1] + 1 if at else 0
     while left < start and text[left] in _BLANKS:
         left += 1
-    return left, _AFTER.match(text, end).end()
+    at = bisect_left(stops, end)
+    return left, _AFTER.match(text, stops[at] if at < len(stops) else len(text)).end()
 
 
 def merged(spans: Iterable[tuple[int, int]], joined: Callable[[int, int], bool]) -> list[tuple[int, int, int]]:
@@ -175,7 +269,8 @@ def merged(spans: Iterable[tuple[int, int]], joined: Callable[[int, int], bool])
 
 def regions(text: str, matches: Iterable[tuple[int, int]]) -> list[tuple[int, int, int]]:
     """Sentences around matches in order, those that touch or overlap as one: (start, end, matches)."""
-    return merged((sentence_bounds(text, s, e) for s, e in matches), lambda s, last: s <= last)
+    stops = _stops(text)
+    return merged((sentence_bounds(text, s, e, stops) for s, e in matches), lambda s, last: s <= last)
 
 
 def windows(text: str, regions_: Iterable[tuple[int, int, int]], words: int = 12) -> list[tuple[int, int, int]]:

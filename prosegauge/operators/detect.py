@@ -16,7 +16,7 @@ from prosegauge.functions import finders
 
 from .catalog import DETECTORS, ORDINAL, catalog
 
-#: Characters of a text that are scanned; words to either side of a context.
+#: Characters of a text that the SQL of the plain detectors reads (scans read whole texts); words to either side of a context.
 CAP, CONTEXT_WORDS = 500_000, 12
 FOUND = "array<struct<start:int,end:int,item_count:int,ordinal:int>>"
 _NAMES = ["start", "end", "item_count", "ordinal"]
@@ -43,16 +43,16 @@ def _finder(pattern_ids: Iterable[str], overlaps: bool):
     return found
 
 
-def scan(docs: DataFrame, pattern_ids: Iterable[str] | None = None, cap: int = CAP, overlaps: bool = False) -> DataFrame:
-    """docs with found (FOUND), truncated and n_matches. Only the first `cap` characters are scanned.
+def scan(docs: DataFrame, pattern_ids: Iterable[str] | None = None, cap: int | None = None, overlaps: bool = False) -> DataFrame:
+    """docs with found (FOUND), truncated and n_matches. Whole texts are scanned, or only their first `cap` characters.
 
     overlaps: every detector's finds as they are; otherwise they are resolved,
     earliest and longest first. Null and empty texts find nothing. Extra columns
     stay; those three are replaced.
     """
     found = _finder(default_ids() if pattern_ids is None else pattern_ids, overlaps)
-    out = docs.withColumn("found", found(F.substring("text", 1, cap)))
-    return out.withColumn("truncated", F.coalesce(F.char_length("text") > cap, F.lit(False))).withColumn("n_matches", F.size("found"))
+    out = docs.withColumn("found", found(F.col("text") if cap is None else F.substring("text", 1, cap)))
+    return out.withColumn("truncated", F.lit(False) if cap is None else F.coalesce(F.char_length("text") > cap, F.lit(False))).withColumn("n_matches", F.size("found"))
 
 
 def match_rows(scanned: DataFrame, keys: list[str]) -> DataFrame:

@@ -155,6 +155,34 @@ def test_cap(spark):
     assert r.truncated and r.n_matches == 0
 
 
+def test_whole_texts_are_scanned(spark):
+    text = "word " * 120_000 + "It just works."
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    scanned = detect.scan(docs)
+    m = detect.match_rows(scanned, ["doc_id"]).collect()
+    assert [(r.pattern_id, r.start) for r in m] == [("fits-in-your-head", 600_000)] and not scanned.first().truncated
+    assert detect.contexts(scanned, ["doc_id"]).first()["end"] == len(text)
+
+
+@pytest.mark.parametrize("pattern_id", ["is-real", "dont-verb-it", "not-just"])
+def test_far_finders_find_what_the_regex_finds(pattern_id):
+    words = ["is", "real", "the", "a", "and", "not", "it", "estate", "don't", "do not", "do", "just", "of", "but", "also", "only", ",", ".", "\n", "Verb", "is real", "and it", "don't do it", ", do it", ". just do it", "not just"]
+    rng, n = random.Random(7), 0
+    for _ in range(4000):
+        text = "".join(rng.choice(words) + rng.choice(["", " ", " ", " "]) for _ in range(rng.randint(4, 40)))
+        spans = [m.span() for m in finders._regex(pattern_id).finditer(text)]
+        assert [f[:2] for f in finders.find(text, [pattern_id])] == spans
+        n += len(spans)
+    assert n > 20
+
+
+@pytest.mark.parametrize(("unit", "pattern_id"), [("is real ", "is-real"), ("don't do it ", "dont-verb-it"), ("not only ", "not-just")])
+def test_sentences_without_end_are_searched_once(unit, pattern_id):
+    text, began = "But and. " + unit * 100_000, time.time()  # the anchors are there, the ends are not
+    finders.find(text, [pattern_id])
+    assert time.time() - began < 10
+
+
 @pytest.mark.parametrize("unit", ["a ", "no ", "word, ", "it is a real ", "perhaps x "])
 def test_hostile_texts_end(unit):
     text, began = (unit * (200_000 // len(unit))), time.time()
