@@ -256,3 +256,25 @@ def test_license_template_markup():
     words = lambda t: t.split()
     for text, ok in (("use by is granted", 1), ("use and copy by any one are granted", 1), ("use and by is granted", 0), ("use by a b c is granted", 0), ("use by x is", 0)):
         assert (licenses.accepts(a, words(text), 0) is not None) == bool(ok)
+
+
+def test_pipeline_near_duplicates_reach_0_8(spark):
+    import corpus_pipeline
+    from prosegauge.llm.near_copies import shingles, similarity
+
+    rng = np.random.default_rng(5)
+    rows, close = [], 0
+    for i in range(60):
+        words = [f"w{x}" for x in rng.integers(0, 5000, 300)]
+        other = list(words)
+        for at in rng.choice(290, 4 if i % 2 else 14, replace=False):
+            other[at] = "edited"
+        a, b = " ".join(words), " ".join(other)
+        rows += [(2 * i, a), (2 * i + 1, b)]
+        close += similarity(shingles(a), shingles(b)) >= 0.8
+    assert 20 <= close <= 40
+    docs = spark.createDataFrame([*rows, (500, rows[0][1]), (501, ""), (502, None), (503, "two words")], "doc_id long, text string")
+    left = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()}
+    for (x, a), (y, b) in zip(rows[::2], rows[1::2], strict=True):
+        assert x in left and (y in left) == (similarity(shingles(a), shingles(b)) < 0.8)
+    assert 500 not in left and {501, 503} <= left and 502 not in left
