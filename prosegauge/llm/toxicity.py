@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import BLANKS, settle
 from .langid import drawn, held_out
 
 #: Learning rows of each label; documents that a lexicon entry is found in at least; its least cautious log-odds.
@@ -32,9 +32,12 @@ LOOKS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb",
 #: Costs, in nats: reading a sign as a letter, dropping a sign, shortening a pair or a longer run of a letter.
 READ, DROP, PAIR, RUN = 1.0, 3.0, 4.0, 0.5
 _LETTERS = re.compile(r"[^\W\d_]+")
-_SPACED = re.compile(r"(?<!\w)[^\W_]([ ._*\-])[^\W_](?:\1[^\W_])+(?!\w)")
 _SIGNS = re.escape("".join(LOOKS))
-_DISGUISED = re.compile(rf"[^\W\d_][{_SIGNS}]|[{_SIGNS}][^\W\d_]|([^\W\d_])\1\1")
+_ITEM = r"[^\W_](?![^\W_])"
+_SPACED = re.compile(rf"(?<![^\W_])(?:[{_SIGNS}][\W_]+)?{_ITEM}(?:[\W_]+{_ITEM})+(?:[\W_]+[{_SIGNS}](?![^\W_]))?")
+_DISGUISED = re.compile(rf"[^\W\d_][{_SIGNS}]|[{_SIGNS}][^\W\d_]|([^\W\d_])\1")
+_INSIDE = re.compile(r"[^\W_][\W_]+[^\W_]")
+_ENDS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
 _LATTICE = re.compile(rf"[\w{_SIGNS}]+")
 _CODES = 28  # word edge, a to z, any other letter
 
@@ -53,6 +56,7 @@ class CharModel:
         p2 = (bi + 5 * p1) / (bi.sum(axis=1, keepdims=True) + 5)
         p3 = (tri + 5 * p2[None]) / (tri.sum(axis=2, keepdims=True) + 5)
         self.cost = (-np.log(p3)).tolist()
+        self.memo: dict[str, str] = {}
 
     def step(self, state: tuple[int, int], letters: str) -> tuple[float, tuple[int, int]]:
         cost, (a, b) = 0.0, state
@@ -63,23 +67,56 @@ class CharModel:
         return cost, (a, b)
 
     def restore(self, sign: str) -> str:
-        """The likeliest letters behind a disguised, lower-cased word; `sign` may hold single separators."""
-        best = {(0, 0): (0.0, "")}
+        """What _restore finds, kept for a bounded number of short words and runs."""
+        found = self.memo.get(sign)
+        if found is None:
+            found = self._restore(sign)
+            if len(sign) <= 32:
+                if len(self.memo) >= MEMO:
+                    self.memo.clear()
+                self.memo[sign] = found
+        return found
+
+    def _restore(self, sign: str) -> str:
+        """The likeliest letters behind a disguised, lower-cased word or run; words are parted by a blank where it holds separators.
+
+        Signs and blanks that are no look-alikes are separators, and so is a sign
+        that stands in each gap between the letters.
+        """
+        between = re.findall(r"(?<=[^\W_])[\W_]+(?=[^\W_])", sign)
+        parting = set.intersection(*map(set, between)) if len(between) > 1 and len(between) == sum(c.isalnum() for c in sign) - 1 else set()
+        best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
         for m in re.finditer(r"(.)\1*", sign, re.DOTALL):
             c, n = m[1], len(m[0])
             if c.isalpha():
                 options = [(c, 0.0)] if n == 1 else [(c * 2, 0.0), (c, PAIR)] if n == 2 else [(c, RUN), (c * 2, RUN)]
+            elif c in LOOKS:
+                options = [("", 0.0 if c in parting else DROP)] + [(x * n, READ * n) for x in LOOKS[c] if n <= 2]
+                options += [(" ", 0.0)] if c in parting else []
             else:
-                options = [("", DROP if c in LOOKS else 0.0)] + [(x * n, READ * n) for x in LOOKS.get(c, "") if n <= 2]
-            new: dict[tuple[int, int], tuple[float, str]] = {}
+                options = [("", 0.0), (" ", 0.0)]
+            if len(best) == 1 and len(options) == 1 and options[0][0] == c:  # nothing to choose
+                (state, (cost, text)), = best.items()
+                more, to = self.step(state, c)
+                best = {to: (cost + more, (text, c))}
+                continue
+            new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
             for state, (cost, text) in best.items():
                 for letters, price in options:
-                    more, to = self.step(state, letters)
+                    if letters == " ":
+                        more, to = (self.cost[state[0]][state[1]][0], (0, 0)) if state != (0, 0) else (0.0, state)
+                    else:
+                        more, to = self.step(state, letters)
                     total = cost + price + more
                     if to not in new or total < new[to][0]:
-                        new[to] = (total, text + letters)
+                        new[to] = (total, (text, letters) if letters else text)
             best = new
-        return min((cost + self.cost[a][b][0], text) for (a, b), (cost, text) in best.items())[1]
+        _, _, at = min((cost + (self.cost[a][b][0] if b else 0.0), (a, b), text) for (a, b), (cost, text) in best.items())
+        out = []
+        while at:
+            at, letters = at
+            out.append(letters)
+        return "".join(reversed(out)).strip()
 
 
 def char_counts(docs: DataFrame) -> np.ndarray:
@@ -104,13 +141,22 @@ def char_counts(docs: DataFrame) -> np.ndarray:
 
 
 def token_words(token: str, lm: CharModel) -> list[str]:
-    """Letter runs of a lower-cased token, and its restored form if it may be disguised."""
+    """Letter runs of a lower-cased token, and its restored words if it may be disguised: by signs, doubled letters or separators inside."""
     words = _LETTERS.findall(token)
     if _DISGUISED.search(token):
-        words += [lm.restore(x) for x in _LATTICE.findall(token) if _DISGUISED.search(x)]
+        words += [w for x in _LATTICE.findall(token) if _DISGUISED.search(x) for w in lm.restore(x).split()]
+    if words and _INSIDE.search(token):
+        words += lm.restore(token.strip(_ENDS)).split()
     return words
 
 
+def run_words(run: str, lm: CharModel) -> list[str]:
+    """Restored words of a run of single letters and signs, with and without the signs at its ends."""
+    if not _LETTERS.search(run):
+        return []
+    return [w for x in {run, run.strip(_ENDS + BLANKS)} for w in lm.restore(x).split()]
+
+
 def word_features(word: str) -> list[str]:
     """A word, and its start of four and of five letters if it is longer."""
     return [word, *(f"{word[:k]}~" for k in (4, 5) if len(word) > k)]
@@ -122,7 +168,11 @@ def restored_words(text: str | None, lm: CharModel) -> set[str]:
         return set()
     low = text.lower()
     found = {w for t in set(low.split()) for w in token_words(t, lm)}
-    return found | {lm.restore(m[0]) for m in _SPACED.finditer(low)}
+    return found | {w for m in _SPACED.finditer(low) for w in run_words(m[0], lm)}
+
+
+def _squeezed(word: str) -> str:
+    return re.sub(r"(.)\1+", r"\1", word)
 
 
 class Model(NamedTuple):
@@ -135,6 +185,13 @@ class Scorer:
     def __init__(self, model: Model):
         self.lm, self.lexicon, self.weights = CharModel(model.counts), model.lexicon, model.weights
         self.memo: dict[str, float] = {}
+        self.whole = {_squeezed(f) for f in self.lexicon if not f.endswith("~")}
+        self.starts = {_squeezed(f[:-1]) for f in self.lexicon if f.endswith("~")}
+
+    def _known(self, word: str) -> bool:
+        """Some form of a word of letters, with repeats shortened or not, may be in the lexicon: both are compared without repeats."""
+        own = _squeezed(word)
+        return own in self.whole or any(own[:k] in self.starts for k in range(1, 6))
 
     def _of(self, words: list[str]) -> float:
         return max((self.lexicon.get(f, 0.0) for w in words for f in word_features(w)), default=0.0)
@@ -149,10 +206,11 @@ class Scorer:
             if w is None:
                 if len(memo) >= MEMO:
                     memo.clear()
-                w = memo[t] = self._of(token_words(t, self.lm))
+                # a token of letters alone is restored only if that can find an entry
+                w = memo[t] = self._of(token_words(t, self.lm)) if not t.isalpha() or self._known(t) else 0.0
             if w:
                 out.append(w)
-        return out + [w for m in _SPACED.finditer(low) if (w := self._of([self.lm.restore(m[0])]))]
+        return out + [w for m in _SPACED.finditer(low) if (w := self._of(run_words(m[0], self.lm)))]
 
     def score(self, text: str | None) -> float:
         return float(_sigmoid(_summary(self.hits(text)) @ self.weights))

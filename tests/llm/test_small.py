@@ -242,6 +242,20 @@ def test_toxicity(spark, docs, none):
     assert toxicity.score(none, toxicity.fit(none, marks.where("false"))).count() == 0
 
 
+@pytest.mark.parametrize("disguise", [
+    "you are a i d i o t", "y o u i d i o t", "! d ! o t", "id.iot", "mo-ron", "i/d/i/o/t", "i  d  i  o  t", "i\nd\ni\no\nt", "i. d- i  o\tt", "iddiot", "i*d*i*o*t", "1 d 1 0 t", "i d i o t !", "m o r 0 n",
+])
+def test_toxicity_restores(disguise):
+    text = "you are a kind person and that is a good word to say to the others in town, you idiot, you moron " * 40
+    x = np.array([0, 0, *(toxicity._code(c) if c.isalpha() else 0 for c in text), 0])
+    counts = np.zeros(28**3, np.int64)
+    for a, b, c in zip(x, x[1:], x[2:], strict=False):
+        counts[((a if b else 0) * 28 + b) * 28 + c] += 1
+    scorer = toxicity.Scorer(toxicity.Model(counts, {"idiot": 3.0, "moron": 3.0}, np.zeros(4)))
+    assert scorer.hits(f"that is {disguise} to say")
+    assert not scorer.hits("that is a good word to say, a b c and/or 1 2 3")
+
+
 def test_licenses(spark, docs, none):
     rows = [(1, "This small thing is licensed under the Apache License, Version 2.0."), (2, "Under the MIT License. MIT license"), (3, "Licensed under CC BY-NC 4.0."), (4, None), (5, "licensed under the apache style license")]
     got = {r.doc_id: r.license for r in licenses.scan(spark.createDataFrame(rows, DOCS)).collect()}
