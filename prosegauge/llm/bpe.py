@@ -11,25 +11,25 @@ shuffle of each chunk's distinct rarer words.
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from collections.abc import Iterator
-from itertools import islice
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from .common import settle, small_batches
-from .packing import pack, planes, unpack
-from .words import WordTokenizer, word_tokenizer
+from .packing import binaries, pack, unpack
+from .words import Chunk, per_document, spread, word_tokenizer
 
-#: Distinct tokens that a task counts before it passes their words on; words and distinct tokens of a chunk; bytes of the table that every task gets.
-COUNTED, CHUNK_WORDS, DISTINCT, HEAD_BYTES = 200_000, 2_000_000, 100_000, 96 << 20
-_BUNDLES = "chunk long, mark long, doc_ids array<long>, sizes array<int>, places binary"
+#: Bytes of the table that every task gets.
+HEAD_BYTES = 96 << 20
+_BUNDLES = "chunk long, mark long, doc_ids array<long>, sizes array<long>, places binary"
 _TAIL = "chunk long, mark long, at int, word string"
 
 
@@ -47,41 +47,34 @@ def _kind(path: str) -> str:
 
 
 def word_table(docs: DataFrame, path: str) -> DataFrame:
-    """(word, n, ids binary) of all distinct words of docs(text), each encoded once; in the shared folder."""
+    """(word, n, ids binary) of all distinct words of docs(doc_id, text), each encoded once; in the shared folder."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tok, seen = word_tokenizer(path), Counter()
-
-        def words() -> pd.DataFrame:
-            own = Counter()
-            for token, n in seen.items():
-                for w in tok.words(token):
-                    own[w] += n
-            seen.clear()
-            return pd.DataFrame({"word": pd.Series([*own], dtype=object), "n": pd.Series([*own.values()], dtype="int64")})
-
-        for pdf in batches:
-            for text in pdf["text"]:
-                seen.update(tok.tokens(text))
-                if len(seen) >= COUNTED:
-                    yield words()
-        yield words()
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for c in word_tokenizer(path).chunks(batches):
+            of_stretch = np.bincount(c.places, minlength=len(c.starts) - 1)
+            n = np.bincount(c.inner, np.repeat(of_stretch, np.diff(c.starts)), len(c.words))
+            yield pa.RecordBatch.from_arrays([c.words, pa.array(n.astype(np.int64))], ["word", "n"])
 
     kind = _kind(path)
 
     @F.pandas_udf("binary")
     def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encode_word = word_tokenizer(path).encode_word
         for s in batches:
-            yield pd.Series([np.array(encode_word(w), kind).tobytes() for w in s], dtype=object)
+            starts, ids = word_tokenizer(path).encode_words(pa.array(s, pa.string()))
+            yield pd.Series(binaries(ids.astype(kind), starts).to_pandas(), dtype=object)
 
-    words = docs.select("text").mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    words = docs.select("doc_id", "text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     return settle(words.withColumn("ids", encoded("word")), "word-table")
 
 
 def _head(table: DataFrame, kind: str, most: int) -> Head:
-    """The words of at least some count, the smallest under which hashes and ids take at most `most` bytes."""
+    """The words of at least some count, the smallest under which hashes and ids take at most `most` bytes.
+
+    Words whose hash another word of the table has are not sent: they are found by themselves.
+    """
     step = np.dtype(kind).itemsize
+    table = table.withColumn("h", F.xxhash64("word"))
+    twice = [r.h for r in table.groupBy("h").count().where("count > 1").select("h").toLocalIterator()]  # 64 bits: hardly ever any
     sizes = table.groupBy("n").agg(F.sum(F.length("ids") + 12).alias("bytes")).toPandas().sort_values("n", ascending=False)
     fits = sizes["bytes"].cumsum() <= most
     least = int(sizes["n"][fits].min()) if fits.any() else None
@@ -93,92 +86,32 @@ def _head(table: DataFrame, kind: str, most: int) -> Head:
                 yield pd.DataFrame({"h": [pdf["h"].to_numpy("<i8").tobytes()], "k": [sizes.tobytes()], "ids": [b"".join(pdf["ids"])]})
 
     own = table.where(F.col("n") >= least) if least is not None else table.where("false")
-    rows = own.select(F.xxhash64("word").alias("h"), "ids").mapInPandas(packed, "h binary, k binary, ids binary").toPandas()
+    rows = own.select("h", "ids").mapInPandas(packed, "h binary, k binary, ids binary").toPandas()
     h, k, ids = (np.frombuffer(b"".join(rows[c]), t) for c, t in (("h", "<i8"), ("k", "<u4"), ("ids", kind)))
     del rows
     starts = np.r_[0, np.cumsum(k, dtype=np.int64)]
     order = np.argsort(h, kind="stable")
-    twice = np.diff(h[order]) == 0
-    shared = np.zeros(len(h), bool)
-    shared[1:] |= twice
-    shared[:-1] |= twice
-    alone = order[~shared]  # words that share a hash are not sent
-    k = k[alone].astype(np.int64)
-    ends = np.cumsum(k)
-    flat = ids[np.repeat(starts[alone] - ends + k, k) + np.arange(ends[-1] if len(ends) else 0)]
-    return Head(h[alone], np.r_[0, ends].astype(np.int32 if len(flat) < 1 << 31 else np.int64), flat, bool(fits.all()) and len(alone) == len(h))
-
-
-class _Numbers(dict):
-    """Numbers words as they are first asked for."""
-
-    def __missing__(self, word: str) -> int:
-        self[word] = n = len(self)
-        return n
-
-
-class _Places:
-    """Splits texts and gives each word its number in the head, or the head's size plus a number of its own."""
-
-    def __init__(self, tok: WordTokenizer, head: Head):
-        self.tok, self.head = tok, head
-        self.clear()
-
-    def clear(self) -> None:
-        self.tokens, self.words, self.tail = _Numbers(), _Numbers(), []
-        self.known = np.zeros(0, np.int64)  # the place of each word
-        self.starts, self.inner = np.zeros(1, np.int64), np.zeros(0, np.int64)  # the words of each token
-
-    def of(self, texts) -> tuple[np.ndarray, np.ndarray]:
-        """(places of all words, words of each text)."""
-        get, flat = self.tokens.__getitem__, []
-        for text in texts:
-            tokens = self.tok.tokens(text)
-            flat.append(np.fromiter(map(get, tokens), np.int64, len(tokens)))
-        number, starts, inner = self.words.__getitem__, [], []
-        for t in islice(self.tokens, len(self.starts) - 1, None):
-            inner += map(number, self.tok.words(t))
-            starts.append(len(inner))
-        self.starts = np.r_[self.starts, self.starts[-1] + np.array(starts, np.int64)]
-        self.inner = np.r_[self.inner, np.array(inner, np.int64)]
-        self.known = np.r_[self.known, self._found([*islice(self.words, len(self.known), None)])]
-        if not flat:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        at = np.concatenate(flat)
-        k = self.starts[at + 1] - self.starts[at]
-        ends = np.r_[0, np.cumsum(k)]
-        words = self.inner[np.repeat(self.starts[at] - ends[:-1], k) + np.arange(ends[-1])]
-        return self.known[words], np.diff(ends[np.cumsum([0, *map(len, flat)])])
-
-    def _found(self, fresh: list[str]) -> np.ndarray:
-        h = np.array([xxh64_intdigest(w.encode(), 42) for w in fresh], np.uint64).view(np.int64)
-        at = np.searchsorted(self.head.hashes, h)
-        found = at < len(self.head.hashes)
-        found[found] = self.head.hashes[at[found]] == h[found]
-        for i in np.flatnonzero(~found):
-            at[i] = len(self.head.hashes) + len(self.tail)
-            self.tail.append(fresh[i])
-        return at
-
-
-def _laid(places: np.ndarray, sizes: np.ndarray, starts: np.ndarray, ids: np.ndarray) -> list[np.ndarray]:
-    """The ids of each text."""
-    k = starts[places + 1].astype(np.int64) - starts[places]
-    ends = np.r_[0, np.cumsum(k)]
-    flat = ids[np.repeat(starts[places] - ends[:-1], k) + np.arange(ends[-1])].astype(np.int32)
-    return np.split(flat, ends[np.cumsum(sizes)][:-1]) if len(sizes) else []
-
-
-def _long(values) -> pd.Series:
-    return pd.Series(pd.array([None if pd.isna(v) else int(v) for v in values], "Int64"))
-
-
-def encode(docs: DataFrame, path: str, head_bytes: int = HEAD_BYTES, pieces: DataFrame | None = None, packed_end: int | None = None) -> DataFrame:
+    alone = order[~np.isin(h[order], np.array(twice, np.int64))] if twice else order
+    flat, k = spread(starts, ids, alone)
+    return Head(h[alone], np.r_[0, np.cumsum(k)].astype(np.int32 if len(flat) < 1 << 31 else np.int64), flat, bool(fits.all()) and len(alone) == len(h))
+
+
+def _found(head: Head, words: pa.StringArray) -> tuple[np.ndarray, list[str]]:
+    """Each word's place in the head, or the head's size plus its number among those that aren't there; and these."""
+    words = words.to_numpy(zero_copy_only=False)
+    h = np.fromiter((xxh64_intdigest(w, 42) for w in words), np.uint64, len(words)).view(np.int64)
+    at = np.searchsorted(head.hashes, h)
+    there = at < len(head.hashes)
+    there[there] = head.hashes[at[there]] == h[there]
+    at[~there] = len(head.hashes) + np.arange((~there).sum())
+    return at, words[~there].tolist()
+
+
+def encode(docs: DataFrame, path: str, head_bytes: int = HEAD_BYTES, pieces: DataFrame | None = None) -> DataFrame:
     """(doc_id, ids array<int>) per row of docs(doc_id, text), as the tokenizers library gives them without added tokens.
 
     With pieces(id, piece), also a column decoded as decode() makes it, joined
-    in the same pass, which spares a second Python process for each task. With
-    packed_end, ids are planes() of the ids and this one after them.
+    in the same pass, which spares a second Python process for each task.
 
     path is the tokenizer's file, found at the same place on every executor.
     Null and empty texts have no ids; rows that repeat stay, and a null doc_id
@@ -191,69 +124,68 @@ def encode(docs: DataFrame, path: str, head_bytes: int = HEAD_BYTES, pieces: Dat
     table = word_table(docs, path)
     kind = _kind(path)
     held = docs.sparkSession.sparkContext.broadcast(_head(table, kind, head_bytes))
-    schema = "doc_id long, ids " + ("array<int>" if packed_end is None else "binary") + ("" if pieces is None else ", decoded string")
+    schema = "doc_id long, ids array<int>" + ("" if pieces is None else ", decoded string")
     vocab = _held_pieces(pieces) if pieces is not None else None
 
-    def rows(doc_ids, ids: list[np.ndarray]) -> pd.DataFrame:
-        out = pd.DataFrame({"doc_id": _long(doc_ids), "ids": ids if packed_end is None else [planes(np.append(x, packed_end)) for x in ids]})
-        return out if vocab is None else out.assign(decoded=[_text(vocab.value, x) for x in ids])
+    def rows(doc_ids: pa.Array, ids: np.ndarray, k: np.ndarray) -> pa.RecordBatch:
+        lists = pa.ListArray.from_arrays(np.r_[0, np.cumsum(k)].astype(np.int32), ids.astype(np.int32))
+        out = {"doc_id": doc_ids, "ids": lists}
+        return pa.RecordBatch.from_pydict(out if vocab is None else out | {"decoded": _texts(vocab.value, lists)})
 
-    def direct(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def direct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head = held.value
-        places = _Places(word_tokenizer(path), head)
-        for pdf in batches:
-            for a in range(0, len(pdf), 500):
-                some = pdf.iloc[a : a + 500]
-                at, sizes = places.of(some["text"])
-                if places.tail:
-                    raise RuntimeError("the documents changed between two passes; write them to a table first")
-                yield rows(some["doc_id"], _laid(at, sizes, head.starts, head.ids))
-                if len(places.tokens) >= DISTINCT:
-                    places.clear()
+        for c in word_tokenizer(path).chunks(batches):
+            at, tail = _found(head, c.words)
+            if tail:
+                raise RuntimeError("the documents changed between two passes; write them to a table first")
+            starts, ids = stretch_ids(c, *spread(head.starts, head.ids, at))
+            for doc_ids, sizes, places in c.slices():
+                own, k = spread(starts, ids, places)
+                yield rows(doc_ids, own, per_document(sizes, k))
 
     if held.value.whole:
-        return docs.mapInPandas(direct, schema)
-
-    def chunks(batches: Iterator[pd.DataFrame]):
-        """(number, digest, rarer words, bundles of documents) of each chunk of a task."""
-        places, part, seq, bundles, n = _Places(word_tokenizer(path), held.value), TaskContext.get().partitionId(), 0, [], 0
-        for pdf in batches:
-            for a in range(0, len(pdf), 500):
-                some = pdf.iloc[a : a + 500]
-                at, sizes = places.of(some["text"])
-                bundles.append(([None if pd.isna(i) else int(i) for i in some["doc_id"]], sizes, at))
-                n += len(at)
-                if n >= CHUNK_WORDS or len(places.tokens) >= DISTINCT:
-                    yield (part << 24) + seq, _digest(places.tail), places.tail, bundles
-                    places.clear()
-                    seq, bundles, n = seq + 1, [], 0
-        if bundles:
-            yield (part << 24) + seq, _digest(places.tail), places.tail, bundles
-
-    def tails(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for chunk, mark, words, _ in chunks(batches):
-            yield pd.DataFrame({"chunk": chunk, "mark": mark, "at": np.arange(len(words), dtype=np.int32), "word": pd.Series(words, dtype=object)})
-
-    def bundled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for chunk, mark, _, bundles in chunks(batches):
-            for ids, sizes, at in bundles:
-                yield pd.DataFrame({"chunk": [chunk], "mark": [mark], "doc_ids": [ids], "sizes": [sizes], "places": [pack(at)]})
-
-    def laid_out(bundles: pd.DataFrame, tail: pd.DataFrame) -> pd.DataFrame:
-        if len(set(bundles["mark"]) | set(tail["mark"])) > 1:
+        return docs.mapInArrow(direct, schema)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, list[str], np.ndarray, Chunk]]:
+        """(number, digest, rarer words, places of all words, chunk) of each chunk of a task."""
+        part = TaskContext.get().partitionId()
+        for seq, c in enumerate(word_tokenizer(path).chunks(batches)):
+            at, tail = _found(held.value, c.words)
+            yield (part << 24) + seq, _digest(tail), tail, at, c
+
+    def tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk, mark, words, _, _ in cut(batches):
+            n = len(words)
+            yield pa.RecordBatch.from_arrays([pa.repeat(chunk, n), pa.repeat(mark, n), pa.array(np.arange(n, dtype=np.int32)), pa.array(words, pa.string())], ["chunk", "mark", "at", "word"])
+
+    def bundled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk, mark, _, at, c in cut(batches):
+            for doc_ids, sizes, places in c.slices():
+                own, k = spread(c.starts, at[c.inner], places)
+                row = {"chunk": chunk, "mark": mark, "doc_ids": doc_ids.to_pylist(), "sizes": per_document(sizes, k).tolist(), "places": pack(own)}
+                yield pa.RecordBatch.from_pylist([row], pa.schema([("chunk", pa.int64()), ("mark", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("places", pa.binary())]))
+
+    def laid_out(bundles: pa.Table, tail: pa.Table) -> pa.Table:
+        if len({*bundles["mark"].to_pylist(), *tail["mark"].to_pylist()}) > 1:
             raise RuntimeError("the documents changed between two passes; write them to a table first")
-        head, tail = held.value, tail.sort_values("at")
-        k = np.array([len(x) for x in tail["ids"]], np.int64) // np.dtype(kind).itemsize
+        head, own = held.value, tail.sort_by("at")["ids"].to_pylist()
+        k = np.array([len(x) for x in own], np.int64) // np.dtype(kind).itemsize
         starts = np.r_[head.starts, head.starts[-1] + np.cumsum(k)].astype(np.int64)
-        ids = np.concatenate([head.ids, np.frombuffer(b"".join(tail["ids"]), kind)])
-        out_ids, out = [], []
-        for doc_ids, sizes, data in zip(bundles["doc_ids"], bundles["sizes"], bundles["places"], strict=True):
-            out_ids += list(doc_ids)
-            out += _laid(unpack(data), np.asarray(sizes, np.int64), starts, ids)
-        return rows(out_ids, out)
+        ids = np.concatenate([head.ids, np.frombuffer(b"".join(own), kind)])
+        out = []
+        for r in bundles.to_pylist():
+            flat, k = spread(starts, ids, unpack(r["places"]))
+            out.append(rows(pa.array(r["doc_ids"], pa.int64()), flat, per_document(np.array(r["sizes"], np.int64), k)))
+        return pa.Table.from_batches(out)
+
+    tail = docs.mapInArrow(tails, _TAIL).join(table.select("word", "ids"), "word").select("chunk", "mark", "at", "ids")
+    return docs.mapInArrow(bundled, _BUNDLES).groupBy("chunk").cogroup(tail.groupBy("chunk")).applyInArrow(laid_out, schema)
+
 
-    tail = docs.mapInPandas(tails, _TAIL).join(table.select("word", "ids"), "word").select("chunk", "mark", "at", "ids")
-    return docs.mapInPandas(bundled, _BUNDLES).groupBy("chunk").cogroup(tail.groupBy("chunk")).applyInPandas(laid_out, schema)
+def stretch_ids(c: Chunk, word_ids: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ids) of a chunk's stretches, from all ids of its words and how many each has."""
+    ids, n = spread(np.r_[0, np.cumsum(k)], word_ids, c.inner)
+    return np.r_[0, np.cumsum(per_document(np.diff(c.starts), n))], ids
 
 
 def _digest(words: list[str]) -> int:
@@ -266,11 +198,19 @@ def vocabulary(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _held_pieces(pieces: DataFrame):
-    return pieces.sparkSession.sparkContext.broadcast({r.id: r.piece for r in pieces.toLocalIterator()})
+    """The pieces by id, for every task: a vocabulary bounds them."""
+    rows = sorted((r.id, r.piece) for r in pieces.toLocalIterator())
+    table: list[str | None] = [None] * (rows[-1][0] + 1 if rows else 0)
+    for i, piece in rows:
+        table[i] = piece
+    return pieces.sparkSession.sparkContext.broadcast(table)
 
 
-def _text(pieces: dict[int, str], ids: np.ndarray) -> str:
-    return " ".join(map(pieces.__getitem__, ids.tolist()))
+def _texts(pieces: list[str | None], ids: pa.ListArray) -> pa.StringArray:
+    found = pa.array(pieces, pa.string()).take(ids.values)
+    if found.null_count:
+        raise ValueError("an id without a piece")
+    return pc.binary_join(pa.ListArray.from_arrays(ids.offsets, found), " ")
 
 
 def decode(encoded: DataFrame, pieces: DataFrame) -> DataFrame:
@@ -285,6 +225,11 @@ def decode(encoded: DataFrame, pieces: DataFrame) -> DataFrame:
     @F.pandas_udf("string")
     def text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
-            yield pd.Series([None if ids is None else _text(held.value, ids) for ids in s], dtype=object)
+            there = s.notna().to_numpy()
+            own = s[there].tolist()
+            flat = np.concatenate([np.zeros(0, np.int32), *own]).astype(np.int32)
+            out = pd.Series([None] * len(s), dtype=object)
+            out[there] = _texts(held.value, pa.ListArray.from_arrays(np.cumsum([0, *map(len, own)]).astype(np.int32), flat)).to_numpy(zero_copy_only=False)
+            yield out
 
     return encoded.withColumn("decoded", text("ids"))

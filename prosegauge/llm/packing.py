@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import zstandard
 
-
 _SQUEEZE, _UNFOLD = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
 
@@ -25,3 +25,18 @@ def pack(numbers: np.ndarray) -> bytes:
 
 def unpack(data: bytes) -> np.ndarray:
     return from_planes(_UNFOLD.decompress(data)).astype(np.int64)
+
+
+def binaries(numbers: np.ndarray, starts: np.ndarray) -> pa.BinaryArray:
+    """numbers[starts[i]:starts[i + 1]] for each i, as their bytes."""
+    offsets = (starts * numbers.itemsize).astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(starts) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(numbers))])
+
+
+def numbers(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, numbers): what binaries() was given; a null counts as empty."""
+    column = column.fill_null(b"") if column.null_count else column
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) if len(column) else np.zeros(1, np.int64)
+    data = column.buffers()[2] if len(column) else None
+    own = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]].view(kind) if data and offsets[-1] > offsets[0] else np.zeros(0, kind)
+    return (offsets - offsets[0]) // np.dtype(kind).itemsize, own

@@ -4,10 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import zlib
-
-import numpy as np
-import pandas as pd
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -127,11 +123,8 @@ def op8_huffman(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = huffman.token_ids(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end=2)
     huffman.write(tokens, place)
 
-    @F.pandas_udf("long")
-    def crc(ids: pd.Series) -> pd.Series:
-        return pd.Series([zlib.crc32(np.asarray(x, "<u4").tobytes()) for x in ids], dtype="int64")
-
-    return huffman.read(spark, place).select("doc_id", "start", F.size("ids").cast("long").alias("n_tokens"), crc("ids").alias("ids_crc32"))
+    back = huffman.read(spark, place, packed_ids=True)
+    return back.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
 @query
