@@ -14,10 +14,13 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +29,8 @@ from .langid import drawn, held_out
 
 #: Learning rows of each label; documents that a lexicon entry is found in at least; its least cautious log-odds.
 SAMPLE, SUPPORT, LEAST = 10_000, 3, 1.5
-MEMO = 300_000
+#: Tokens and runs that a worker remembers; characters that are split at once.
+MEMO, LOT = 300_000, 8 << 20
 #: The letters that each sign can stand for.
 LOOKS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "*": "aeiou"}
 #: Costs, in nats: reading a sign as a letter, dropping a sign, shortening a pair or a longer run of a letter.
@@ -38,6 +42,8 @@ _SPACED = re.compile(rf"(?<![^\W_])(?:[{_SIGNS}][\W_]+)?{_ITEM}(?:[\W_]+{_ITEM})
 _DISGUISED = re.compile(rf"[^\W\d_][{_SIGNS}]|[{_SIGNS}][^\W\d_]|([^\W\d_])\1")
 _INSIDE = re.compile(r"[^\W_][\W_]+[^\W_]")
 _ENDS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
+#: Letters between signs that are no look-alikes: nothing to restore but doubled letters.
+_ALONE = rf"^[{re.escape(''.join(c for c in _ENDS if c not in LOOKS))}]*(?P<w>[a-z]+)[{re.escape(''.join(c for c in _ENDS if c not in LOOKS))}]*$"
 _LATTICE = re.compile(rf"[\w{_SIGNS}]+")
 _CODES = 28  # word edge, a to z, any other letter
 
@@ -46,6 +52,12 @@ def _code(c: str) -> int:
     return ord(c) - 96 if "a" <= c <= "z" else 27
 
 
+@lru_cache(maxsize=1)
+def _codes() -> np.ndarray:
+    """The code of every code point's lower-case letter; 0 for what is no letter."""
+    return np.array([_code(chr(c).lower()[0]) if chr(c).isalpha() else 0 for c in range(0x110000)], np.int64)
+
+
 class CharModel:
     """-log P(letter | two before), interpolated, from trigram counts."""
 
@@ -57,6 +69,7 @@ class CharModel:
         p3 = (tri + 5 * p2[None]) / (tri.sum(axis=2, keepdims=True) + 5)
         self.cost = (-np.log(p3)).tolist()
         self.memo: dict[str, str] = {}
+        self.features: dict[str, tuple[str, ...]] = {}
 
     def step(self, state: tuple[int, int], letters: str) -> tuple[float, tuple[int, int]]:
         cost, (a, b) = 0.0, state
@@ -123,8 +136,7 @@ def char_counts(docs: DataFrame) -> np.ndarray:
     """Letter trigrams within words of all docs(text), one partly aggregated sum of a fixed number of cells."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        codes = np.array([_code(chr(c).lower()[0]) if chr(c).isalpha() else 0 for c in range(0x110000)], np.int64)
-        total = np.zeros(_CODES**3, np.int64)
+        codes, total = _codes(), np.zeros(_CODES**3, np.int64)
         for pdf in batches:
             for text in pdf["text"]:
                 if text:
@@ -162,19 +174,51 @@ def word_features(word: str) -> list[str]:
     return [word, *(f"{word[:k]}~" for k in (4, 5) if len(word) > k)]
 
 
-def restored_words(text: str | None, lm: CharModel) -> set[str]:
-    """All plain and restored words of a whole text; none for null or empty."""
-    if not text:
-        return set()
-    low = text.lower()
-    found = {w for t in set(low.split()) for w in token_words(t, lm)}
-    return found | {w for m in _SPACED.finditer(low) for w in run_words(m[0], lm)}
+def lots(texts: list[str | None]) -> Iterator[tuple[list[str], np.ndarray, pa.Array]]:
+    """(lower-cased texts, (text, token) pairs, distinct tokens) of some texts at once, of about LOT characters or one text; each token of the lot is looked at once, however many texts hold it."""
+    own: list[str] = []
+    size = 0
+
+    def split() -> tuple[list[str], np.ndarray, pa.Array]:
+        parts = pc.utf8_split_whitespace(pa.array(own, pa.large_string()))
+        coded = parts.flatten().dictionary_encode()
+        of, code = np.repeat(np.arange(len(own)), np.diff(parts.offsets.to_numpy())), coded.indices.to_numpy().astype(np.int64)
+        return own, np.stack([of, code]), coded.dictionary
+
+    for i, text in enumerate(texts):
+        own.append((text or "").lower())
+        size += len(own[-1])
+        if size >= LOT or i + 1 == len(texts):
+            yield split()
+            own, size = [], 0
+
+
+def text_features(texts: list[str | None], lm: CharModel) -> Iterator[set[str]]:
+    """The features of all plain and restored words of each whole text; none for null or empty."""
+    for lows, (of, code), tokens in lots(texts):
+        own = []
+        for t in tokens.to_pylist():
+            f = lm.features.get(t)
+            if f is None:
+                if len(lm.features) >= MEMO:
+                    lm.features.clear()
+                f = lm.features[t] = tuple({f for w in token_words(t, lm) for f in word_features(w)})
+            own.append(f)
+        ends = np.searchsorted(of, np.arange(len(lows) + 1))
+        for low, a, b in zip(lows, ends[:-1], ends[1:], strict=True):
+            found = {f for c in set(code[a:b].tolist()) for f in own[c]}
+            yield found | {f for m in _SPACED.finditer(low) for w in run_words(m[0], lm) for f in word_features(w)}
 
 
 def _squeezed(word: str) -> str:
     return re.sub(r"(.)\1+", r"\1", word)
 
 
+def _key(word: str) -> int:
+    """The first eight bytes as a number."""
+    return int.from_bytes(word.encode()[:8], "little")
+
+
 class Model(NamedTuple):
     counts: np.ndarray
     lexicon: dict[str, float]
@@ -187,6 +231,28 @@ class Scorer:
         self.memo: dict[str, float] = {}
         self.whole = {_squeezed(f) for f in self.lexicon if not f.endswith("~")}
         self.starts = {_squeezed(f[:-1]) for f in self.lexicon if f.endswith("~")}
+        self.whole_keys = np.array([_key(w) for w in self.whole], np.uint64)
+        self.start_keys = {k: np.array([_key(w) for w in self.starts if len(w) == k], np.uint64) for k in range(1, 6)}
+
+    def _worth(self, tokens: pa.Array) -> np.ndarray:
+        """Tokens that may have a weight: all but those of letters alone, and signs around them, that _known() rules out; by the first letters of all at once."""
+        word = pc.struct_field(pc.extract_regex(tokens, _ALONE), "w")
+        other = pc.is_null(word).to_numpy(zero_copy_only=False)
+        word = pc.cast(word.fill_null(""), pa.large_string())
+        ends = np.frombuffer(word.buffers()[1], np.int64)[word.offset : word.offset + len(word) + 1] if len(word) else np.zeros(1, np.int64)
+        data = np.frombuffer(word.buffers()[2] or b"", np.uint8)
+        fresh = np.r_[True, data[1:] != data[:-1]][: len(data)]
+        fresh[ends[:-1][ends[:-1] < len(data)]] = True
+        upto = np.r_[0, np.cumsum(fresh)]
+        first, size, data = upto[ends[:-1]], np.diff(upto[ends]), data[fresh]
+        key = np.zeros(len(word), np.uint64)
+        for k in range(8):
+            own = size > k
+            key[own] |= data[first[own] + k].astype(np.uint64) << np.uint64(8 * k)
+        known = np.isin(key, self.whole_keys)
+        for k, keys in self.start_keys.items():
+            known |= (size >= k) & np.isin(key & np.uint64((1 << 8 * k) - 1), keys)
+        return other | known
 
     def _known(self, word: str) -> bool:
         """Some form of a word of letters, with repeats shortened or not, may be in the lexicon: both are compared without repeats."""
@@ -196,24 +262,27 @@ class Scorer:
     def _of(self, words: list[str]) -> float:
         return max((self.lexicon.get(f, 0.0) for w in words for f in word_features(w)), default=0.0)
 
-    def hits(self, text: str | None) -> list[float]:
-        """The weight of each distinct token, and disguise of several tokens, that the lexicon knows."""
-        if not text:
-            return []
-        low, memo, out = text.lower(), self.memo, []
-        for t in set(low.split()):
-            w = memo.get(t)
-            if w is None:
-                if len(memo) >= MEMO:
-                    memo.clear()
-                # a token of letters alone is restored only if that can find an entry
-                w = memo[t] = self._of(token_words(t, self.lm)) if not t.isalpha() or self._known(t) else 0.0
-            if w:
-                out.append(w)
-        return out + [w for m in _SPACED.finditer(low) if (w := self._of(run_words(m[0], self.lm)))]
-
-    def score(self, text: str | None) -> float:
-        return float(_sigmoid(_summary(self.hits(text)) @ self.weights))
+    def _token(self, t: str) -> float:
+        w = self.memo.get(t)
+        if w is None:
+            if len(self.memo) >= MEMO:
+                self.memo.clear()
+            # a token of letters alone is restored only if that can find an entry
+            w = self.memo[t] = self._of(token_words(t, self.lm)) if not t.isalpha() or self._known(t) else 0.0
+        return w
+
+    def hits(self, texts: list[str | None]) -> Iterator[list[float]]:
+        """For each text the weight of each distinct token, and disguise of several tokens, that the lexicon knows."""
+        for lows, pairs, tokens in lots(texts):
+            weights, worth = np.zeros(len(tokens)), self._worth(tokens)
+            weights[worth] = [self._token(t) for t in tokens.filter(pa.array(worth)).to_pylist()]
+            of, code = np.unique(pairs[:, weights[pairs[1]] > 0], axis=1)
+            own = np.split(weights[code], np.searchsorted(of, np.arange(1, len(lows))))
+            for low, w in zip(lows, own, strict=True):
+                yield w.tolist() + [x for m in _SPACED.finditer(low) if (x := self._of(run_words(m[0], self.lm)))]
+
+    def scores(self, texts: list[str | None]) -> np.ndarray:
+        return _sigmoid(np.array([_summary(h) for h in self.hits(texts)]).reshape(len(texts), 4) @ self.weights)
 
 
 def _summary(hits: list[float]) -> np.ndarray:
@@ -266,8 +335,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> Model:
     def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lm, n = CharModel(held.value), Counter()
         for pdf in batches:
-            for text, half, y in zip(pdf["text"], pdf["half"], pdf["toxic"], strict=True):
-                n.update((f, half, y == 1) for f in {f for w in restored_words(text, lm) for f in word_features(w)})
+            for features, half, y in zip(text_features(pdf["text"].tolist(), lm), pdf["half"], pdf["toxic"], strict=True):
+                n.update((f, half, y == 1) for f in features)
         yield pd.DataFrame([(f, h, k * y, k * (1 - y)) for (f, h, y), k in n.items()], columns=["feature", "half", "toxic", "clean"])
 
     spread = texts.repartition("h").mapInPandas(tally, "feature string, half int, toxic long, clean long")
@@ -283,8 +352,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> Model:
     def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = {h: Scorer(Model(other.value[0], lex, np.zeros(4))) for h, lex in other.value[1].items()}
         for pdf in batches:
-            x = [_summary(own[h].hits(t)) for t, h in zip(pdf["text"], pdf["half"], strict=True)]
-            yield pd.DataFrame({"x": x, "toxic": pdf["toxic"]})
+            for h, some in pdf.groupby("half"):
+                yield pd.DataFrame({"x": [_summary(x) for x in own[h].hits(some["text"].tolist())], "toxic": some["toxic"]})
 
     seen = texts.repartition("h").mapInPandas(summed, "x array<double>, toxic int").toPandas()
     x = np.stack(seen["x"].to_numpy())
@@ -313,6 +382,6 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = Scorer(held.value)
         for s in batches:
-            yield pd.Series([own.score(t) for t in s], dtype="float64")
+            yield pd.Series(own.scores(s.tolist()), dtype="float64")
 
     return docs.withColumn("score", of("text"))

@@ -252,8 +252,19 @@ def test_toxicity_restores(disguise):
     for a, b, c in zip(x, x[1:], x[2:], strict=False):
         counts[((a if b else 0) * 28 + b) * 28 + c] += 1
     scorer = toxicity.Scorer(toxicity.Model(counts, {"idiot": 3.0, "moron": 3.0}, np.zeros(4)))
-    assert scorer.hits(f"that is {disguise} to say")
-    assert not scorer.hits("that is a good word to say, a b c and/or 1 2 3")
+    found = list(scorer.hits([f"that is {disguise} to say", None, "that is a good word to say, a b c and/or 1 2 3"]))
+    assert found[0] and not found[1] and not found[2]
+
+
+def test_toxicity_rules_out_only_words_without_weight():
+    """What the first letters of all tokens at once rule out has no weight one by one."""
+    scorer = toxicity.Scorer(toxicity.Model(np.ones(28**3, np.int64), {"idiot": 3.0, "abcdefghijk": 1.0, "moro~": 2.0, "stup~": 1.0, "été": 1.0}, np.zeros(4)))
+    rng = random.Random(11)
+    tokens = ["idiot", "iddiiot,", "(idiots)", "moron", "mooron.", "moro", "abcdefghijk", "abcdefghzzz", "stuppid", "été", "id1ot", "a", "!", "idiot!"]
+    tokens += ["".join(rng.choice("abidiomrstup.,!1é") for _ in range(rng.randrange(1, 9))) for _ in range(3000)]
+    worth = scorer._worth(toxicity.pa.array(tokens))
+    assert worth[:2].all() and not worth[11]
+    assert not any(scorer._of(toxicity.token_words(t, scorer.lm)) for t, w in zip(tokens, worth, strict=True) if not w)
 
 
 def test_licenses(spark, docs, none):
