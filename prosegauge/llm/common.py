@@ -14,6 +14,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLANKS = " \t\n\x0b\x0c\r"
 #: What may be sent to every executor; a larger side takes a shuffle instead.
 BROADCAST_BYTES = 64 << 20
+#: Parts that the rows of one key are dealt into where they ask a table.
+SALTS = 256
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -51,6 +53,29 @@ def lower_ascii(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """Each name with as many underscores before it as it takes to be no column, in upper or lower case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def lookup(rows: DataFrame, key: str, table: DataFrame, how: str = "left", by: list[str] | None = None) -> DataFrame:
+    """rows joined with table(key, ...), which has each key once, by how (left or inner); a key that very many rows share is no single task's.
+
+    Rows are dealt by their key and a salt taken from `by` (the whole row where
+    it isn't given), which tells rows of one key apart. The table's row goes only to the (key, salt) pairs that occur: at most SALTS of a key.
+    """
+    (salt,) = unused(rows.columns + table.columns, "salt")
+    rows = rows.withColumn(salt, F.pmod(F.xxhash64(*(by or rows.columns)), F.lit(SALTS)).cast("int"))
+    asked = rows.select(key, salt).where(F.col(key).isNotNull()).distinct().join(table, key)
+    return rows.join(asked, [key, salt], how).drop(salt)
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 

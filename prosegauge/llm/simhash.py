@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import settle
+from .common import lookup, settle
 from .components import components
 
 #: Variants that one cell is planned to hold, and that one sort may hold.
@@ -167,8 +167,8 @@ def near_duplicates(docs: DataFrame, width: int = 4, distance: int = 4) -> DataF
     marked = settle(fingerprints(docs, width), "fingerprints")
     heads = settle(marked.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("id")), "heads")
     found = components(settle(ball_links(heads, distance), "links"))
-    of = heads.join(found, heads.id == found.node, "left").select(F.col("fp").alias("f"), F.coalesce("root", "id").alias("component_id"))
-    return marked.join(of, marked.fp == of.f, "left").select("doc_id", "fp", "component_id")
+    of = heads.join(found, heads.id == found.node, "left").select("fp", F.coalesce("root", "id").alias("component_id"))
+    return lookup(marked, "fp", of).select("doc_id", "fp", "component_id")
 
 
 def hex16(fp: Column) -> Column:
