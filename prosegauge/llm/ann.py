@@ -5,7 +5,8 @@ of `lines` random directions, its projections in sorted order. A query opens a
 window around its own projection on every line; a vector that falls into enough
 windows is verified by its exact cosine. Windows widen step by step (virtual
 rehashing: the sorted arrays stay as they are) until the k nearest verified lie
-within the radius that the windows stand for.
+within the radius that the windows stand for. Queries come in lots of bounded
+size; a task takes one block and one lot at a time.
 """
 
 from __future__ import annotations
@@ -18,13 +19,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import BROADCAST_BYTES, settle
+from .common import settle
 
 #: Vectors planned for a block; lines; share of windows that a vector must fall into.
 BLOCK, LINES, SHARE = 8192, 48, 0.56
+#: Queries planned for a lot: an eighth of them, but at least and at most so many.
+LOT = (512, 8192)
 #: Radii of the windows, as distances between vectors of length one; the last is beyond the largest.
 RADII = 0.2 * 1.2 ** np.arange(14)
-INDEX = "block int, ids binary, vecs binary, places binary, values binary"
+INDEX = "dim int, block int, ids binary, vecs binary, places binary, values binary"
 FOUND = "query_id long, vec_id long, score double"
 
 
@@ -33,47 +36,54 @@ def directions(dim: int, lines: int = LINES) -> np.ndarray:
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """vec_id and embedding of the rows that take part: no nulls, all components finite, not all zero, of the commonest length.
+    """vec_id and embedding of the rows that take part: no nulls, all components finite, not all zero.
 
-    Of equally common lengths the smallest counts.
+    Of rows that share a vec_id the smallest vector counts. Vectors of another
+    length than a query's have no cosine with it and are never found for it.
     """
     v = F.col("embedding")
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     rows = vectors.select("vec_id", v.cast("array<double>").alias("embedding")).where(F.col("vec_id").isNotNull() & v.isNotNull() & fine & F.exists(v, lambda x: x != 0))
-    sizes = rows.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    return rows.where(F.size("embedding") == (sizes[0].n if sizes else 0))
+    return rows.groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(x, np.float64) for x in column])
 
 
+def _scaled(m: np.ndarray) -> np.ndarray:
+    """Vectors times powers of two, so that their largest components are near one: cosines stay as they are, and no square is too large or small."""
+    _, e = np.frexp(np.abs(m).max(axis=1, keepdims=True))
+    return np.ldexp(np.ldexp(m, -(e // 2)), -(e - e // 2))
+
+
 def _unit(m: np.ndarray) -> np.ndarray:
-    big = m / np.abs(m).max(axis=1, keepdims=True)
-    return big / np.sqrt((big * big).sum(axis=1, keepdims=True))
+    """Scaled vectors as vectors of length one."""
+    return m / np.sqrt((m * m).sum(axis=1, keepdims=True))
 
 
 def build(vectors: DataFrame, lines: int = LINES, block: int = BLOCK) -> DataFrame:
-    """The index (INDEX) of usable vectors, one row a block, in the shared folder. Rows that repeat a vec_id count once."""
+    """The index (INDEX) of usable vectors, one row a block of one length of vectors, in the shared folder."""
+    vectors = vectors.withColumn("dim", F.size("embedding"))
     n = vectors.count()
 
     def sort_block(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(raw=[np.asarray(x, np.float64).tobytes() for x in pdf["embedding"]]).sort_values(["vec_id", "raw"]).drop_duplicates("vec_id")
-        vecs = _matrix(pdf["embedding"])
+        pdf = pdf.sort_values("vec_id")
+        vecs = _scaled(_matrix(pdf["embedding"]))
         lie = (_unit(vecs) @ directions(vecs.shape[1], lines).T).T.astype(np.float32)
         places = np.argsort(lie, axis=1, kind="stable").astype("<i4")
         values = np.take_along_axis(lie, places.astype(np.int64), axis=1)
-        return pd.DataFrame({"block": [int(pdf["block"].iloc[0])], "ids": [pdf["vec_id"].to_numpy("<i8").tobytes()], "vecs": [vecs.tobytes()], "places": [places.tobytes()], "values": [values.tobytes()]})
+        return pd.DataFrame({"dim": [vecs.shape[1]], "block": [int(pdf["block"].iloc[0])], "ids": [pdf["vec_id"].to_numpy("<i8").tobytes()], "vecs": [vecs.tobytes()], "places": [places.tobytes()], "values": [values.tobytes()]})
 
     dealt = vectors.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(max(1, -(-n // block)))).cast("int"))
-    return settle(dealt.groupBy("block").applyInPandas(sort_block, INDEX), "ann-index")
+    return settle(dealt.groupBy("dim", "block").applyInPandas(sort_block, INDEX), "ann-index")
 
 
 class _Block:
     """One row of the index. Equal vectors are held once, with their ids in order."""
 
-    def __init__(self, row, dim: int, lines: int):
-        ids, vecs = np.frombuffer(row.ids, "<i8"), np.frombuffer(row.vecs, np.float64).reshape(-1, dim)
+    def __init__(self, row: pd.Series, dim: int, lines: int):
+        ids, vecs = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["vecs"], np.float64).reshape(-1, dim)
         raw = np.ascontiguousarray(vecs).view(np.dtype((np.void, 8 * dim))).ravel()
         _, first, of = np.unique(raw, return_index=True, return_inverse=True)
         order = np.argsort(of, kind="stable")
@@ -81,20 +91,20 @@ class _Block:
         self.vecs, self.dim = vecs[first], dim
         self.norms = np.sqrt((self.vecs * self.vecs).sum(axis=1))
         self.units = _unit(self.vecs).astype(np.float32)
-        places = np.frombuffer(row.places, "<i4").reshape(lines, -1)
-        values = np.frombuffer(row.values, np.float32).reshape(lines, -1)
+        places = np.frombuffer(row["places"], "<i4").reshape(lines, -1)
+        values = np.frombuffer(row["values"], np.float32).reshape(lines, -1)
         heads = np.zeros(len(ids), bool)
         heads[first] = True
         keep = heads[places]
         self.places = of[places[keep]].reshape(lines, -1)
         self.values = values[keep].reshape(lines, -1)
 
-    def near(self, q: np.ndarray, lie: np.ndarray, own: int, k: int, best: list, share: float) -> list:
-        """The k best (-score, id) among best and this block, by the method above."""
+    def near(self, q: np.ndarray, lie: np.ndarray, own: int, k: int, share: float) -> list:
+        """The k best (-score, id) of this block, by the method above."""
         lines, n = self.places.shape
         norm = np.sqrt((q * q).sum())
         short = (q / norm).astype(np.float32)
-        hits, seen, best = np.zeros(n, np.int64), np.zeros(n, bool), list(best)
+        hits, seen, best = np.zeros(n, np.int64), np.zeros(n, bool), []
         edges = np.array([v.searchsorted(np.r_[x - RADII, x + RADII]) for v, x in zip(self.values, lie, strict=True)])
         low, high = edges[:, : len(RADII)].T.tolist(), edges[:, len(RADII) :].T.tolist()
         inner = (low[0], low[0])
@@ -122,35 +132,31 @@ class _Block:
 def search(index: DataFrame, queries: DataFrame, k: int = 5, lines: int = LINES, share: float = SHARE) -> DataFrame:
     """(query_id, rank, vec_id, score): for each usable query(vec_id, embedding) its k nearest found in the index but itself.
 
-    Queries are sent to the blocks in lots of bounded size, each lot passing
-    over the index once; a task keeps k rows a query over all its blocks. Equal
-    scores go to the smaller vec_id. An empty index or no queries give no rows.
+    Each lot of queries meets each block once, as one row of packed vectors each,
+    and k rows a query and block come out. Equal scores go to the smaller
+    vec_id. An empty index or no queries give no rows.
     """
-    sc = index.sparkSession.sparkContext
-    lots, size = [], 0
-    found = index.sparkSession.createDataFrame([], FOUND)
-    for r in queries.dropDuplicates(["vec_id"]).toLocalIterator():
-        lots.append((r.vec_id, r.embedding))
-        size += 8 * len(r.embedding)
-        if size > BROADCAST_BYTES // 4:
-            found, lots, size = found.unionByName(_pass(index, sc.broadcast(lots), k, lines, share)), [], 0
-    if lots:
-        found = found.unionByName(_pass(index, sc.broadcast(lots), k, lines, share))
+    n, n_blocks = queries.count(), (index.agg(F.max("block")).first()[0] or 0) + 1
+    n_lots = max(1, -(-n // min(LOT[1], max(LOT[0], n // 8))))
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"dim": [int(pdf["dim"].iloc[0])], "lot": [int(pdf["lot"].iloc[0])], "ids": [pdf["vec_id"].to_numpy("<i8").tobytes()], "vecs": [_scaled(_matrix(pdf["embedding"])).tobytes()]})
+
+    dealt = queries.select("vec_id", "embedding", F.size("embedding").alias("dim"), F.pmod(F.xxhash64("vec_id"), F.lit(n_lots)).cast("int").alias("lot"))
+    lots = dealt.groupBy("dim", "lot").applyInPandas(pack, "dim int, lot int, ids binary, vecs binary")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    def near(block: pd.DataFrame, lot: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(block) and len(lot):
+            dim = int(block["dim"].iloc[0])
+            own, vecs = _Block(block.iloc[0], dim, lines), np.frombuffer(lot["vecs"].iloc[0], np.float64).reshape(-1, dim)
+            lie = _unit(vecs) @ directions(dim, lines).T
+            for i, q, x in zip(np.frombuffer(lot["ids"].iloc[0], "<i8").tolist(), vecs, lie, strict=True):
+                out += [(i, j, -s) for s, j in own.near(q, x, i, k, share)]
+        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+
+    sides = index.withColumn("lot", every(n_lots)), lots.withColumn("block", every(n_blocks))
+    found = sides[0].groupBy("dim", "block", "lot").cogroup(sides[1].groupBy("dim", "block", "lot")).applyInPandas(near, FOUND)
     by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-
-def _pass(index: DataFrame, held, k: int, lines: int, share: float) -> DataFrame:
-    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids = [i for i, _ in held.value]
-        vecs = np.array([v for _, v in held.value])
-        lie = _unit(vecs) @ directions(vecs.shape[1], lines).T
-        best: list[list] = [[] for _ in ids]
-        for pdf in batches:
-            for row in pdf.itertuples():
-                block = _Block(row, vecs.shape[1], lines)
-                for j, own in enumerate(ids):
-                    best[j] = block.near(vecs[j], lie[j], own, k, best[j], share)
-        yield pd.DataFrame([(own, i, -s) for own, b in zip(ids, best, strict=True) for s, i in b], columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-
-    return index.mapInPandas(near, FOUND)
