@@ -20,7 +20,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, union_all
+from .common import lookup, settle, small_batches, union_all, unused
 
 #: Characters of a chunk, and of the first overlap.
 CHUNK, OVERLAP = 32_768, 512
@@ -95,7 +95,7 @@ def counter(path: str) -> PieceCounter:
 
 
 def _long_counts(long: DataFrame, path: str, chunk: int, overlap: int) -> DataFrame:
-    """(key, n_tokens) per different text of long(key, text, size); n_tokens is null where some overlap has no boundary."""
+    """(key, n_tokens) per row of long(key, text), keys all different; n_tokens is null where some overlap has no boundary."""
 
     @F.pandas_udf(_CHUNK_ROW)
     def row(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
@@ -104,13 +104,19 @@ def _long_counts(long: DataFrame, path: str, chunk: int, overlap: int) -> DataFr
             rows = [own.chunk_row(t, overlap, f, e) for t, f, e in zip(texts, firsts, lasts, strict=True)]
             yield pd.DataFrame(rows, columns=["left", "right", "n"]).astype("Int64")
 
-    # The last chunk is at least an overlap long, so that its left boundary can lie anywhere in it.
-    last = F.greatest(F.lit(0), F.floor((F.col("size") - overlap - 1) / chunk)).cast("int")
-    rows = long.withColumn("last", last).select("key", "text", "size", "last", F.explode(F.sequence(F.lit(0), "last")).alias("i"))
-    part = F.substring(F.col("text"), F.col("i") * chunk + 1, F.when(F.col("i") == F.col("last"), F.col("size")).otherwise(F.lit(chunk + overlap)))
-    rows = rows.select("key", "i", "last", part.alias("part")).repartition("key", "i")
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """A text's chunks, one slice after the other: each part of a text is read once, or twice in an overlap."""
+        for pdf in batches:
+            for key, text in zip(pdf["key"], pdf["text"], strict=True):
+                # The last chunk is at least an overlap long, so that its left boundary can lie anywhere in it.
+                last = max(0, (len(text) - overlap - 1) // chunk)
+                for a in range(0, last + 1, 64):
+                    own = range(a, min(last + 1, a + 64))
+                    parts = [text[i * chunk :] if i == last else text[i * chunk : (i + 1) * chunk + overlap] for i in own]
+                    yield pd.DataFrame({"key": key, "i": [*own], "last": last, "part": parts})
+
+    rows = long.mapInPandas(cut, "key string, i int, last int, part string").repartition("key", "i")
     rows = rows.withColumn("r", row("part", F.col("i") == 0, F.col("i") == F.col("last"))).select("key", "i", "last", "r.*")
-    rows = rows.groupBy("key", "i", "last").agg(F.first("left").alias("left"), F.first("right").alias("right"), F.first("n").alias("n"))
     one = rows.groupBy("key", "last").agg(F.array_sort(F.collect_list(F.struct("i", "left", "right", "n"))).alias("c"))
     agree = F.forall(F.sequence(F.lit(0), F.col("last")), lambda i: F.col("c")[i]["n"].isNotNull() & ((i == 0) | (F.col("c")[F.greatest(i - 1, F.lit(0))]["right"] == F.col("c")[i]["left"])))
     return one.select("key", F.when(agree, F.aggregate("c", F.lit(0).cast("long"), lambda s, x: s + x["n"])).alias("n_tokens"))
@@ -135,7 +141,9 @@ def count_tokens(docs: DataFrame, path: str, chunk: int = CHUNK, overlap: int =
     docs = docs.withColumn("n_bytes", F.octet_length(text).cast("long"))
     short = docs.where(F.char_length(text) <= limit).withColumn("n_tokens", whole(text))
     long = docs.where(F.char_length(text) > limit)
-    todo = long.select(F.sha2("text", 256).alias("key"), "text", F.char_length("text").alias("size"))
+    small_batches(docs.sparkSession)
+    # Each task hands on one of the equal texts that it has.
+    todo = long.groupBy(F.sha2("text", 256).alias("key")).agg(F.min("text").alias("text"))
     done = []
     while True:
         counts = settle(_long_counts(todo, path, chunk, overlap), "chunk-counts")
@@ -146,6 +154,7 @@ def count_tokens(docs: DataFrame, path: str, chunk: int = CHUNK, overlap: int =
         todo = todo.join(failed, "key", "left_semi")
         overlap *= 4
         chunk = max(chunk, 2 * overlap)
-    counts = union_all(done).select(F.col("key").alias("_key"), F.col("n_tokens").alias("_n"))
-    found = long.withColumn("_own", F.sha2("text", 256)).join(counts, F.col("_own") == F.col("_key"), "left")
-    return short.unionByName(found.withColumn("n_tokens", F.col("_n")).select(*short.columns))
+    key, n = unused(short.columns, "key", "n")
+    counts = union_all(done).select(F.col("key").alias(key), F.col("n_tokens").alias(n))
+    found = lookup(long.withColumn(key, F.sha2("text", 256)), key, counts, by=["doc_id"])
+    return short.unionByName(found.withColumn("n_tokens", F.col(n)).select(*short.columns))
