@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import unused
+
 #: Buckets; learning rows of a language in the sample; passes over the sample.
 BUCKETS, SAMPLE, EPOCHS = 1 << 16, 800, 3
 #: FTRL's rate and smoothing, the elastic net's two parts, and the scale of a text's features.
@@ -100,12 +102,24 @@ def drawn(keys: DataFrame, label: str, rows: int) -> DataFrame:
     return keys.join(F.broadcast(share), label).where(at < F.col("_share")).drop("_share")
 
 
-def sample(learn: DataFrame, rows: int = SAMPLE) -> list[tuple[str, str]]:
-    """About `rows` different texts of each language, or all it has: (lang, text), in the order of their hashes."""
+def sample(learn: DataFrame, idf: np.ndarray, rows: int = SAMPLE) -> list[tuple[str, np.ndarray, np.ndarray]]:
+    """About `rows` different texts of each language, or all it has: (lang, buckets, features), in the order of their hashes.
+
+    A text comes to the driver as its features, of which there are BUCKETS at most, however long it is.
+    """
     keys = learn.select(F.xxhash64("text").alias("h"), "lang").groupBy("h").agg(F.min("lang").alias("lang"))
     keys = drawn(keys, "lang", rows).select("h", F.col("lang").alias("l"))
     texts = learn.select(F.xxhash64("text").alias("h"), "text").join(F.broadcast(keys), "h").groupBy("h", "l").agg(F.min("text").alias("text"))
-    return [(r.l, r.text) for r in sorted(texts.collect(), key=lambda r: r.h)]
+    held = learn.sparkSession.sparkContext.broadcast(idf)
+
+    @F.pandas_udf("at binary, x binary")
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for s in batches:
+            own = [_features(t, held.value) for t in s]
+            yield pd.DataFrame([(at.astype("<i4").tobytes(), x.astype("<f8").tobytes()) for at, x in own], columns=["at", "x"])
+
+    found = texts.select("h", "l", of("text").alias("f")).collect()
+    return [(r.l, np.frombuffer(r.f["at"], "<i4"), np.frombuffer(r.f["x"], "<f8")) for r in sorted(found, key=lambda r: r.h)]
 
 
 def _features(text: str, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -123,9 +137,9 @@ def fit(learn: DataFrame, rows: int = SAMPLE) -> Model:
     """A model of learn(text, lang), whose langs are not null. Texts without letters teach nothing; no rows give no languages."""
     n_docs, df = document_frequencies(learn)
     idf = np.log((1 + n_docs) / (1 + df)) + 1
-    texts = sample(learn, rows)
-    langs = sorted({lang for lang, _ in texts})
-    xs = [(_features(t, idf), langs.index(lang)) for lang, t in texts]
+    texts = sample(learn, idf, rows)
+    langs = sorted({lang for lang, _, _ in texts})
+    xs = [((at, x), langs.index(lang)) for lang, at, x in texts]
     xs = [x for x in xs if len(x[0][0])]
     train, check = [x for i, x in enumerate(xs) if i % 5], xs[::5]
     z, n = np.zeros((BUCKETS, len(langs))), np.zeros((BUCKETS, len(langs)))
@@ -188,8 +202,9 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         for s in batches:
             yield pd.DataFrame([classify(t, held.value) for t in s], columns=["lang", "score"])
 
-    out = docs.withColumn("_found", of("text"))
-    return out.withColumn("lang_pred", F.col("_found.lang")).withColumn("score", F.col("_found.score")).drop("_found")
+    (found,) = unused(docs.columns, "found")
+    out = docs.withColumn(found, of("text"))
+    return out.withColumn("lang_pred", F.col(f"{found}.lang")).withColumn("score", F.col(f"{found}.score")).drop(found)
 
 
 def learn_and_predict(docs: DataFrame, rows: int = SAMPLE) -> DataFrame:
