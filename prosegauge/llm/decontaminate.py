@@ -17,7 +17,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES
+from .common import BROADCAST_BYTES, unused
 
 #: A word: letters and digits, and everything beyond ASCII.
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -108,11 +108,12 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_chars
         parts.append(_finder(sc.broadcast((block, width)))("text"))
     if len(parts) == 1:
         return out.withColumn("hits", parts[0])
-    return _joined(out.withColumn("_parts", F.array(*parts)))
+    (name,) = unused(out.columns, "parts")
+    return _joined(out.withColumn(name, F.array(*parts)), name)
 
 
-def _joined(out: DataFrame) -> DataFrame:
-    """One struct of HITS from those of several automata over the same text."""
+def _joined(out: DataFrame, name: str) -> DataFrame:
+    """One struct of HITS from those of several automata over the same text, in the column `name`."""
 
     @F.pandas_udf(HITS)
     def join(texts: pd.Series, parts: pd.Series) -> pd.DataFrame:
@@ -136,4 +137,4 @@ def _joined(out: DataFrame) -> DataFrame:
             rows.append((int(ps[0]["n_words"]), sum(len(WORD.findall(low, s, e)) for s, e in merged), len(items), items, [tuple(x) for x in merged]))
         return pd.DataFrame(rows, columns=["n_words", "n_hit", "n_items", "items", "spans"])
 
-    return out.withColumn("hits", join("text", "_parts")).drop("_parts")
+    return out.withColumn("hits", join("text", name)).drop(name)

@@ -20,7 +20,7 @@ LONG = "a very long line of words that goes on and on " * 3000
 @pytest.fixture(scope="module")
 def docs(spark):
     rows = [(1, "shared line here\nown line of one"), (2, "Shared line here \nshort\n\n"), (3, None), (4, ""), (5, LONG), (2, "Shared line here \nshort\n\n"), (None, "shared line here")]
-    return spark.createDataFrame([(*r, 0, "x", 7) for r in rows], DOCS + ", n_dropped int, hits string, score int")
+    return spark.createDataFrame([(*r, 0, "x", 7, *"abcdef") for r in rows], DOCS + ", n_dropped int, hits string, score int, drops string, kept string, KEY string, parts string, found string, n string")
 
 
 @pytest.fixture(scope="module")
@@ -32,18 +32,21 @@ def test_line_dedup(spark, docs, none):
     got = {(r.doc_id, r.text): (r.n_lines, r.n_dropped) for r in line_dedup.dedup(docs).collect()}
     assert got[1, "shared line here\nown line of one"] == (2, 0) and got[2, "short\n\n"] == (4, 1)
     assert got[3, None] == (1, 0) and got[4, ""] == (1, 0) and got[None, "shared line here"] == (1, 0)
+    assert line_dedup.dedup(docs).columns == [*docs.columns[:2], "n_dropped", *docs.columns[3:], "n_lines"]
     assert line_dedup.dedup(docs).count() == 7 and line_dedup.dedup(none).count() == 0
 
 
-def test_line_dedup_is_reversible(spark):
+def test_line_dedup_is_reversible(spark, monkeypatch):
     rng = random.Random(1)
     rows = [(i, "\n".join(f"line number {rng.randrange(30)}" for _ in range(6))) for i in range(40)]
     one, two = (spark.createDataFrame(r, DOCS) for r in (rows[:25], rows[20:]))
-    index = line_dedup.insert(line_dedup.insert(line_dedup.empty(spark, planned_keys=200_000), one), two)
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 4)  # many shards, and more of them on the way
+    index = line_dedup.insert(line_dedup.insert(line_dedup.empty(spark), one), two)
+    assert index.n_shards > 4
     gone = spark.createDataFrame([(i,) for i in range(0, 40, 3)] + [(99,)], "doc_id long")
     index = line_dedup.delete(index, gone)
     rest = [r for r in rows if r[0] % 3]
-    want = line_dedup.insert(line_dedup.empty(spark, planned_keys=200_000), spark.createDataFrame(rest, DOCS))
+    want = line_dedup.insert(line_dedup.empty(spark), spark.createDataFrame(rest, DOCS))
     table = lambda i: sorted(map(tuple, i.counts.select("key", "n_docs", "owner").collect()))
     assert table(index) == table(want)
     kept = {r.doc_id: r.text for r in line_dedup.drop_repeats(index, spark.createDataFrame(rest, DOCS)).collect()}
@@ -55,6 +58,13 @@ def test_line_dedup_is_reversible(spark):
     assert kept == {i: "\n".join(x for x in t.split("\n") if x not in shared or owner[x] == i) for i, t in rest}
 
 
+    lines = line_dedup._postings(spark.createDataFrame(rest, DOCS), 10)
+    both = [sorted(map(tuple, line_dedup.maybe_shared(index, lines, most).select("key", "doc_id").collect())) for most in (1 << 20, 0)]
+    assert both[0] == both[1]
+    held = {r.key for r in index.counts.where("n_docs > 1").select("key").collect()}
+    assert {k for k, _ in both[0]} >= held and len(both[0]) < lines.count()
+
+
 def test_cuckoo_filter():
     h = np.random.default_rng(0).integers(0, 2**64, 5000, dtype=np.uint64)
     f = line_dedup.CuckooFilter.sized(5000)
@@ -145,6 +155,28 @@ def test_ann_against_brute_force(spark):
         for _, i, s in found:
             assert abs(s - (real[q] @ real[i]) / np.sqrt((real[q] @ real[q]) * (real[i] @ real[i]))) < 1e-12
     assert len(got) == 30 and hit >= 0.9 * 150
+
+
+def test_ann_extreme_and_repeated_vectors(spark):
+    """Components whose squares overflow or vanish score like the same vectors scaled; a repeated vec_id counts with its smallest vector; other lengths don't meet."""
+    rng = np.random.default_rng(12)
+    vecs = [rng.standard_normal(8) for _ in range(40)]
+    size = [1e200, 1e-200, 1.0, 1e300, 1e-300]
+    schema = "vec_id long, embedding array<double>"
+    rows = [(i, (v * size[i % 5]).tolist()) for i, v in enumerate(vecs)]
+    usable = ann.usable(spark.createDataFrame([*rows, (50, [1.0, 2.0]), (60, [2.0, 1.0]), (50, [3.0, 0.0])], schema))
+    got: dict[int, list] = {}
+    for r in ann.search(ann.build(usable), usable.where("vec_id % 10 = 0"), k=5).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    for q in (0, 10, 20, 30):
+        cos = sorted((-(vecs[q] @ v) / np.sqrt((vecs[q] @ vecs[q]) * (v @ v)), i) for i, v in enumerate(vecs) if i != q)
+        assert [i for _, i, _ in sorted(got[q])] == [i for _, i in cos[:5]]
+        assert np.allclose([s for _, _, s in sorted(got[q])], [-c for c, _ in cos[:5]], atol=1e-12)
+    assert got[50] == [(1, 60, pytest.approx(0.8))] and got[60] == [(1, 50, pytest.approx(0.8))]
+
+
+def test_ann_empty(spark):
+    usable = ann.usable(spark.createDataFrame([], "vec_id long, embedding array<double>"))
     assert ann.search(ann.build(usable.where("false")), usable.where("false")).count() == 0
 
 
