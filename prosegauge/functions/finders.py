@@ -15,14 +15,13 @@ from functools import lru_cache
 from itertools import chain
 from typing import NamedTuple
 
-from prosegauge.functions.phrases import JAVA_BLANK, phrase, with_blanks
-from prosegauge.operators.catalog import CHAIN_HEADS, CHAIN_PARTS, DETECTORS, ORDINAL, anchors, compiled
+from prosegauge.functions.phrases import EDGE, JAVA_BLANK, phrase, with_blanks
+from prosegauge.operators.catalog import ALL, CHAIN_HEADS, CHAIN_PARTS, Detector
 
 #: Openers that no run of alike sentences is counted for, and what a full stop after is no sentence's end.
 COMMON_OPENERS = frozenset("i it the a an this that we you they he she there but and so in as if my his her their its these those for at on of to is was".split())
-ABBREVIATIONS = "Dr Mr Mrs Ms Prof Sr Jr St Inc Ltd Co Corp vs etc approx est fig vol".split()
+ABBREVIATIONS = frozenset("dr mr mrs ms prof sr jr st inc ltd co corp vs etc approx est fig vol".split())
 _INK = re.compile(f"[^{JAVA_BLANK[1:-1]}]+")
-_ABBREVIATED = re.compile(rf"(?i)(?:\A|{JAVA_BLANK})(?:(?:{'|'.join(ABBREVIATIONS)})|[A-Za-z])\.{JAVA_BLANK}*\Z")
 _HEAD, _LETTER, _GRAM = re.compile("[A-Za-z'’-]+"), re.compile("[A-Za-z]"), re.compile("[a-z0-9'’-]+")
 _BLANKS = "".join(c for c in map(chr, range(0x10000)) if re.fullmatch(JAVA_BLANK, c))
 
@@ -61,9 +60,9 @@ def _runs(items: Iterable[Sentence], linked: Callable[[Sentence, Sentence], bool
         run.append(item)
 
 
-@lru_cache(maxsize=256)
-def _regex(pattern_id: str) -> re.Pattern:
-    return python_regex(compiled(pattern_id).java)
+@lru_cache(maxsize=4096)
+def _regex(d: Detector, specs: tuple[str, ...]) -> re.Pattern:
+    return python_regex(phrase(*specs, fold=d.fold).java)
 
 
 @lru_cache(maxsize=8)
@@ -71,8 +70,8 @@ def _fixed(regex: str) -> re.Pattern:
     return re.compile(regex)
 
 
-def _phrases(pattern_id: str, text: str) -> Iterator[tuple]:
-    for m in _regex(pattern_id).finditer(text):
+def _phrases(d: Detector, specs: tuple[str, ...], text: str) -> Iterator[tuple]:
+    for m in _regex(d, specs).finditer(text):
         yield *m.span(), None
 
 
@@ -89,12 +88,15 @@ class _Ahead:
         return self.last
 
 
-@lru_cache(maxsize=8)
-def _far_parts(pattern_id: str) -> tuple[list[tuple[re.Pattern, re.Pattern, re.Pattern]], re.Pattern | None]:
+_GAP = re.compile(r"\[\^((?:\\.|[^\]])+)\]\*\?")
+
+
+@lru_cache(maxsize=512)
+def _far_parts(d: Detector, specs: tuple[str, ...]) -> tuple[list[tuple[re.Pattern, re.Pattern, re.Pattern]], re.Pattern | None]:
     """(head, tail, what may not lie between) of each phrase with an unbounded gap, and a regex of the others."""
-    d, parts, near = DETECTORS[ORDINAL[pattern_id]], [], []
-    for spec in d.specs:
-        gap = re.search(r"\[\^([^\]]+)\]\*\?", spec)
+    parts, near = [], []
+    for spec in specs:
+        gap = _GAP.search(spec)
         if gap:
             ends = f"{spec[: gap.start()]}>", f"<{spec[gap.end() :]}"
             parts.append((*(python_regex(phrase(x, fold=d.fold).java) for x in ends), re.compile(f"[{gap[1]}]")))
@@ -103,9 +105,9 @@ def _far_parts(pattern_id: str) -> tuple[list[tuple[re.Pattern, re.Pattern, re.P
     return parts, python_regex(phrase(*near, fold=d.fold).java) if near else None
 
 
-def _far(pattern_id: str, text: str) -> Iterator[tuple]:
+def _far(d: Detector, specs: tuple[str, ...], text: str) -> Iterator[tuple]:
     """What the phrases' regex finds, in linear time: a sentence's end and the next tail are looked up once, not for each head."""
-    parts, near = _far_parts(pattern_id)
+    parts, near = _far_parts(d, specs)
 
     def gapped(head: re.Pattern, tail: re.Pattern, stop: re.Pattern) -> Callable[[int], tuple[int, int] | None]:
         heads, tails, stops = (_Ahead(r, text) for r in (head, tail, stop))
@@ -133,19 +135,18 @@ def _far(pattern_id: str, text: str) -> Iterator[tuple]:
 
 
 @lru_cache(maxsize=1)
-def _again_parts(pattern_id: str) -> tuple[list[re.Pattern], list[re.Pattern], re.Pattern]:
+def _again_parts(d: Detector) -> tuple[list[re.Pattern], list[re.Pattern], re.Pattern]:
     """Heads and tails, with and without an adverb, that capture the verb; what may not lie between."""
-    d = DETECTORS[ORDINAL[pattern_id]]
-    gap = re.search(r"\[\^([^\]]+)\]\*\?", d.specs[0])
+    gap = _GAP.search(d.specs[0])
     head, tail = f"{d.specs[0][: gap.start()]}>", f"<{d.specs[0][gap.end() :]}".replace(r"<\1>", r"<(\w+)>")
     adverb = re.compile(r"\[((?:\w+ \|)+\w+) \]")
     both = [[python_regex(phrase(adverb.sub(x, part), fold=d.fold).java) for x in (lambda m: f"({m[1].replace(' ', '')}) ", "")] for part in (head, tail)]
     return *both, re.compile(f"[{gap[1]}]")
 
 
-def _again(pattern_id: str, text: str) -> Iterator[tuple]:
+def _again(d: Detector, _: tuple[str, ...], text: str) -> Iterator[tuple]:
     """What the phrase's regex finds, in linear time: the verb's next place after a stop is looked up, not searched for each head."""
-    heads, tails, stop = _again_parts(pattern_id)
+    heads, tails, stop = _again_parts(d)
     first = sorted(((m.start(), i, m.end(), m[1].lower()) for i, r in enumerate(heads) for m in r.finditer(text)))
     if not first:
         return
@@ -162,19 +163,35 @@ def _again(pattern_id: str, text: str) -> Iterator[tuple]:
             yield start, pos, None
 
 
-def _chain(pattern_id: str, text: str) -> Iterator[tuple]:
-    parts, head = (re.compile(with_blanks(r), re.IGNORECASE) for r in (CHAIN_PARTS, CHAIN_HEADS[pattern_id]))
-    for m in _regex(pattern_id).finditer(text):
-        yield *_trimmed(text, *m.span(), left=False), sum(bool(head.match(x.lstrip(_BLANKS))) for x in parts.split(m[0]))
+@lru_cache(maxsize=2)
+def _chain_parts(d: Detector) -> tuple[re.Pattern, ...]:
+    head = CHAIN_HEADS[d.pattern_id]
+    return tuple(re.compile(with_blanks(r), re.IGNORECASE | re.ASCII) for r in (EDGE + head, CHAIN_PARTS + head, "[,.;:!?\n–—…]", CHAIN_PARTS, head))
 
 
-def _questions(pattern_id: str, text: str) -> Iterator[tuple]:
-    for m in _regex(pattern_id).finditer(text):
+def _chain(d: Detector, specs: tuple[str, ...], text: str) -> Iterator[tuple]:
+    """Chains are looked for only where a second item's head comes within reach, so that heads without one cost nothing."""
+    heads, joint, stop, parts, head = _chain_parts(d)
+    joints, stops, pos = _Ahead(joint, text), _Ahead(stop, text), 0
+    for h in heads.finditer(text):
+        if h.start() < pos:
+            continue
+        j = joints.at(h.end())
+        if not j:
+            return
+        s = stops.at(h.end())
+        if j.start() - h.end() <= 400 and (not s or s.start() >= j.start() or s.start() < j.end()) and (m := _regex(d, specs).match(text, h.start())):
+            pos = m.end()
+            yield *_trimmed(text, *m.span(), left=False), sum(bool(head.match(x.strip(_BLANKS))) for x in parts.split(m[0]))
+
+
+def _questions(d: Detector, specs: tuple[str, ...], text: str) -> Iterator[tuple]:
+    for m in _regex(d, specs).finditer(text):
         start, _ = _trimmed(text, *m.span())
         yield start, m.end(), m[0].count("?")
 
 
-def _echo(_: str, text: str) -> Iterator[tuple]:
+def _echo(_: Detector, __: tuple[str, ...], text: str) -> Iterator[tuple]:
     """Two or more neighbouring sentences, each sharing four words in a row with the next."""
     def sentences() -> Iterator[Sentence]:
         for m in _fixed(r"[^.!?\n]+[.!?]?").finditer(text):
@@ -186,47 +203,94 @@ def _echo(_: str, text: str) -> Iterator[tuple]:
         yield *_trimmed(text, a.start, b.end, left=False), n
 
 
-def _anaphora(_: str, text: str) -> Iterator[tuple]:
+def _closed(text: str, ends: str, most: int) -> Iterator[tuple[int, int]]:
+    """Spans of 1 to `most` characters other than . ! ? and newlines before a match of `ends`: the nearest ones, where there are more."""
+    last = 0
+    for m in _fixed(ends).finditer(text):
+        stop, end = m.span()
+        start = max(last, stop - most)
+        if (line := text.rfind("\n", start, stop)) >= 0:
+            start = line + 1
+        if start < stop:
+            yield start, end
+        last = end
+
+
+def _anaphora(_: Detector, __: tuple[str, ...], text: str) -> Iterator[tuple]:
     """Three or more sentences in a row that begin with the same uncommon word."""
     def sentences() -> Iterator[Sentence]:
-        for m in _fixed(r"[^.!?\n]{1,400}[.!?]").finditer(text):
-            if head := _HEAD.search(text, *m.span()):
-                yield Sentence(head.start(), m.end(), head[0].lower())
+        for start, end in _closed(text, "[.!?]", 400):
+            if head := _HEAD.search(text, start, end):
+                yield Sentence(head.start(), end, head[0].lower())
 
     for a, b, n in _runs(sentences(), lambda a, b: a.sign == b.sign and b.start - a.end < 4, 3):
         if a.sign not in COMMON_OPENERS:
             yield a.start, b.end, n
 
 
-def _staccato(_: str, text: str) -> Iterator[tuple]:
-    """Three or more sentences in a row of one or two words; abbreviations and signs without letters break a run."""
-    def sentences() -> Iterator[Sentence]:
-        for m in _fixed(r"[^.!?\n]{1,40}[.!?]+").finditer(text):
-            t = m[0]
-            few = (t.count(" ") < 3 or "  " in t or t[0] == " ") and len(_INK.findall(t)) <= 2  # most tokens are ruled out by their plain blanks
-            yield Sentence(*m.span(), few and bool(_LETTER.search(t)) and not _ABBREVIATED.search(t))
+def _fragment(token: str) -> bool:
+    """One or two words with a letter, and no abbreviation or single letter before a final full stop."""
+    if token.count(" ") > 2 and "  " not in token and token[0] != " ":  # most tokens are ruled out by their plain blanks
+        return False
+    words = _INK.findall(token)
+    if not 0 < len(words) <= 2 or not _LETTER.search(token):
+        return False
+    last = words[-1][:-1].lower()
+    return not (words[-1][-1] == "." and (last in ABBREVIATIONS or len(last) == 1 and _LETTER.match(last)))
+
 
-    for a, b, n in _runs(sentences(), lambda a, b: a.sign and b.sign and b.start - a.end <= 3, 3):
+def _staccato(_: Detector, __: tuple[str, ...], text: str) -> Iterator[tuple]:
+    """Three or more sentences in a row of one or two words; abbreviations and signs without letters break a run."""
+    own = (Sentence(a, b, _fragment(text[a:b])) for a, b in _closed(text, "[.!?]+", 40))
+    for a, b, n in _runs(own, lambda a, b: a.sign and b.sign and b.start - a.end <= 3, 3):
         yield *_trimmed(text, a.start, b.end), n
 
 
-_KINDS = {"phrase": _phrases, "far": _far, "again": _again, "chain": _chain, "questions": _questions, "echo": _echo, "anaphora": _anaphora, "staccato": _staccato}
+def _function(d: Detector, _: tuple[str, ...], text: str) -> Iterator[tuple]:
+    yield from d.function(text)
 
 
-def find(text: str | None, pattern_ids: Iterable[str]) -> list[Find]:
-    """All that these detectors find, in the detectors' order, overlaps included. Texts without any of a detector's anchors are not searched by its regex."""
+_KINDS = {"phrase": _phrases, "far": _far, "again": _again, "chain": _chain, "questions": _questions, "echo": _echo, "anaphora": _anaphora, "staccato": _staccato, "function": _function}
+
+
+@lru_cache(maxsize=256)
+def _needs(d: Detector) -> tuple[tuple[str, tuple[str, ...]], ...]:
+    """Each phrase of a detector and the lower-case texts of which its finds hold one; () if none is known."""
+    return tuple((spec, phrase(spec, fold=d.fold).anchors) for spec in d.specs)
+
+
+def find(text: str | None, chosen: Iterable[tuple[int, Detector]]) -> list[Find]:
+    """All that these (ordinal, detector) find, in their order, overlaps included.
+
+    A text is searched only for the phrases of which an anchor occurs in it.
+    """
     if not text:
         return []
-    low, out = text.lower(), []
-    for pattern_id in pattern_ids:
-        d = DETECTORS[ORDINAL[pattern_id]]
-        must = anchors(pattern_id)
-        if must and not any(a in low for a in must) or d.and_one_of and not any(a in low for a in d.and_one_of):
+    low, out, seen = text.lower(), [], {}
+
+    def there(anchors: Iterable[str]) -> bool:
+        for a in anchors:
+            found = seen.get(a)
+            if found is None:
+                found = seen[a] = a in low
+            if found:
+                return True
+        return False
+
+    for ordinal, d in chosen:
+        if d.must_hold and not there(d.must_hold) or d.and_one_of and not there(d.and_one_of):
             continue
-        out += [Find(*found, ORDINAL[pattern_id]) for found in _KINDS[d.kind](pattern_id, text)]
+        specs = tuple([spec for spec, anchors in _needs(d) if not anchors or there(anchors)])
+        if specs or not d.specs:
+            out += [Find(*found, ordinal) for found in _KINDS[d.kind](d, specs, text)]
     return out
 
 
+def find_by_id(text: str | None, pattern_ids: Iterable[str]) -> list[Find]:
+    """find() of built-in detectors."""
+    return find(text, ALL.chosen(pattern_ids))
+
+
 def resolve(found: list[Find]) -> list[Find]:
     """In order of start, then the longest, then the detectors' order; each is kept that begins no earlier than the last kept ended."""
     kept: list[Find] = []
@@ -237,7 +301,7 @@ def resolve(found: list[Find]) -> list[Find]:
 
 
 # Contexts ------------------------------------------------------------------------------------------------------------
-_STOPS, _CLOSERS = "\n.!?…", "\"'”’)]»"
+_STOPS, _CLOSERS = "\n.!?…", "\"'”’)]"
 _AFTER = re.compile(rf"[^{_STOPS}]*(?:[.!?…][{re.escape(_CLOSERS)}]*)?")
 
 

@@ -39,6 +39,35 @@ def with_blanks(raw: str) -> str:
     return "".join(out)
 
 
+# Combinators for what the notation's words can't say. Each gives a raw part.
+def run(low: int, high: int, stops: str, lazy: bool = False) -> str:
+    """low to high characters other than these."""
+    inner = "".join(r"\n" if c == "\n" else re.escape(c) if c in "]\\^-" else c for c in stops)
+    return f"[^{inner}]{{{low},{high}}}{'?' if lazy else ''}"
+
+
+def one_of(*parts: str) -> str:
+    return f"(?:{'|'.join(parts)})"
+
+
+def maybe(*parts: str) -> str:
+    return f"(?:{''.join(parts)})?"
+
+
+def items(item: str, separator: str, least: int) -> str:
+    """least or more items, a separator before each but the first."""
+    return f"{item}(?:{separator}{item}){f'{{{least - 1},}}' if least > 2 else '+'}"
+
+
+def ahead(*parts: str, but: bool = False) -> str:
+    """What must (or, with but, must not) follow, and isn't part of the span."""
+    return f"(?{'!' if but else '='}{''.join(parts)})"
+
+
+BLANK, BLANKS, NO_BLANKS = r"\s", r"\s+", r"\s*"
+WORD_END, WORD_START = "(?![A-Za-z0-9_])", "(?<![A-Za-z0-9_])"
+
+
 def _dialects(raw: str) -> tuple[str, str]:
     """A raw part for Java and Python, and for RE2 with its own word edge."""
     re2 = raw
@@ -104,8 +133,21 @@ def _parse(spec: str) -> _Part:
 
 
 def _edges(spec: str) -> tuple[bool, bool]:
+    """Whether the phrase begins, and ends, with a word character. All alternatives of its first part must agree."""
     plain = re.sub(r"[\[(|)\]]", "", spec)
-    return bool(re.match(r"[A-Za-z0-9_]", plain)), bool(re.search(r"[A-Za-z0-9_]\Z", plain))
+    left = bool(re.match(r"[A-Za-z0-9_]", plain))
+    if spec[:1] == "(":
+        depth, starts, raw = 0, [], False
+        for before, c in zip(spec, spec[1:]):
+            raw = c != ">" and (raw or c == "<")
+            depth += (c in "([") - (c in ")]") if not raw else 0
+            if depth < 0:
+                break
+            if depth == 0 and before in "(|" and c not in "([":
+                starts.append(bool(re.match(r"[A-Za-z0-9_]", c)))
+        if len(set(starts)) > 1:
+            raise ValueError(f"some alternatives begin with a word character and some don't; write them as phrases of their own: {spec}")
+    return left, bool(re.search(r"[A-Za-z0-9_]\Z", plain))
 
 
 def phrase(*specs: str, fold: bool = True) -> Phrase:

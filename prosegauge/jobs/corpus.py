@@ -1,42 +1,65 @@
-"""Corpus roll-ups of matches and grades."""
+"""Corpus roll-ups of matches and grades, and the tables they are written to."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from prosegauge.operators import detect
-from prosegauge.operators.catalog import catalog
+from prosegauge.operators.catalog import ALL, WIKI, Catalogue
 from prosegauge.operators.grade import signal_rows
 
 
-def match_table(docs: DataFrame, pattern_ids: list[str] | None = None) -> DataFrame:
+def match_table(docs: DataFrame, pattern_ids: Iterable[str] | None = None, among: Catalogue = ALL) -> DataFrame:
     """One row a match of docs(doc_id, text, ...), with the catalogue's columns."""
-    return detect.labelled(detect.match_rows(detect.scan(docs, pattern_ids), [c for c in docs.columns if c != "text"]))
+    return detect.labelled(detect.match_rows(detect.scan(docs, pattern_ids, among=among), [c for c in docs.columns if c != "text"], among), among)
+
+
+def words(text: Column) -> Column:
+    """Whitespace-parted words."""
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"\S+"))
 
 
-def counts(docs: DataFrame, by: list[str], pattern_ids: list[str] | None = None) -> DataFrame:
-    """by, group, pattern_id, hits, docs_hit, hits_per_1k_words for every combination of by and every detector, zeros included.
+def _own_counts(among: Catalogue) -> Column:
+    """(ordinal, n) of the detectors that a document's finds are of."""
+    each = F.transform(F.sequence(F.lit(0), F.lit(len(among) - 1)), lambda i: F.struct(i.alias("ordinal"), F.size(F.filter("found", lambda m: m["ordinal"] == i)).alias("n")))
+    return F.filter(each, lambda x: x["n"] > 0)
 
-    Each task first sums its own documents: a pattern that all documents hold is
-    one row a task.
+
+def counts(docs: DataFrame, by: list[str], pattern_ids: Iterable[str] | None = None, among: Catalogue = ALL) -> DataFrame:
+    """by, group, pattern_id, n_docs, n_words, hits, docs_hit, hits_per_1k_words for every combination of by and every detector, zeros included.
+
+    One scan: each task first sums its own documents, so that a pattern that all
+    documents hold is one row a task. A document also hands on its number of words.
     """
-    scanned = detect.scan(docs, pattern_ids)
-    words = scanned.groupBy(*by).agg(F.sum(F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"\S+"))).alias("n_words"), F.count("*").alias("n_docs"))
-    own = F.transform(F.sequence(F.lit(0), F.lit(62)), lambda i: F.size(F.filter("found", lambda m: m["ordinal"] == i)))
-    rows = scanned.select(*by, F.posexplode(own).alias("ordinal", "n")).where("n > 0")
-    sums = rows.groupBy(*by, "ordinal").agg(F.sum("n").alias("hits"), F.count("*").alias("docs_hit"))
-    cat = F.broadcast(catalog(docs.sparkSession))  # 63 rows
-    grid = words.withColumn("ordinal", F.explode(F.sequence(F.lit(0), F.lit(62)))).join(cat, "ordinal")
-    on = [grid[c].eqNullSafe(sums[c]) for c in (*by, "ordinal")]
-    out = grid.join(sums, on, "left").select(*[grid[c] for c in (*by, "group", "pattern_id", "n_docs", "n_words")], F.coalesce("hits", F.lit(0)).alias("hits"), F.coalesce("docs_hit", F.lit(0)).alias("docs_hit"))
+    all_words = F.array(F.struct(F.lit(-1).alias("ordinal"), words(F.col("text")).alias("n")))
+    rows = detect.scan(docs, pattern_ids, among=among).select(*by, F.explode(F.concat(_own_counts(among), all_words)).alias("c"))
+    sums = rows.groupBy(*by, "c.ordinal").agg(F.sum("c.n").alias("n"), F.count("*").alias("docs"))
+    # As many entries as there are detectors, at most.
+    held = sums.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("ordinal", F.struct("n", "docs")))).alias("m"))
+    each = F.array(*[F.struct(F.lit(i).alias("ordinal"), F.lit(d.group).alias("group"), F.lit(d.pattern_id).alias("pattern_id")) for i, d in enumerate(among.detectors)])
+    out = held.select(*by, "m", F.explode(each).alias("d"))
+    total, own = F.col("m")[F.lit(-1)], F.try_element_at("m", F.col("d.ordinal"))
+    out = out.select(*by, "d.group", "d.pattern_id", total["docs"].alias("n_docs"), total["n"].alias("n_words"), F.coalesce(own["n"], F.lit(0)).alias("hits"), F.coalesce(own["docs"], F.lit(0)).alias("docs_hit"))
     return out.withColumn("hits_per_1k_words", F.round(F.when(F.col("n_words") > 0, F.col("hits") * 1000 / F.col("n_words")), 6))
 
 
-def rollup(matches: DataFrame) -> DataFrame:
-    """Hits by group and pattern, with a subtotal for each group and a total: nulls stand for all."""
-    return matches.rollup("group", "pattern_id").agg(F.count("*").alias("hits"), F.approx_count_distinct("doc_id").alias("docs_about"))
+def rollup(scanned: DataFrame, among: Catalogue = ALL) -> DataFrame:
+    """group, pattern_id, hits, docs: hits and documents with a hit by group and pattern, with a subtotal for each group and a total: nulls stand for all.
+
+    Exact: a document is one row for each pattern, each group and the total that it has hits of, and rows are summed up in each task first.
+    """
+    groups, ids = (F.array(*map(F.lit, x)) for x in ([d.group for d in among.detectors], among.ids))
+    own = F.transform(_own_counts(among), lambda x: F.struct(F.get(groups, x["ordinal"]).alias("group"), F.get(ids, x["ordinal"]).alias("pattern_id"), x["n"].alias("n")))
+    sum_of = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + x["n"])
+    none = F.lit(None).cast("string")
+    by_group = F.transform(F.array_distinct(F.transform("own", lambda x: x["group"])), lambda g: F.struct(g.alias("group"), none.alias("pattern_id"), sum_of(F.filter("own", lambda x: x["group"] == g)).alias("n")))
+    total = F.array(F.struct(none.alias("group"), none.alias("pattern_id"), sum_of("own").alias("n")))
+    rows = scanned.where("n_matches > 0").select(own.alias("own")).select(F.explode(F.concat("own", by_group, total)).alias("r"))
+    return rows.groupBy("r.group", "r.pattern_id").agg(F.sum("r.n").alias("hits"), F.count("*").alias("docs"))
 
 
 def top_patterns(counted: DataFrame, by: list[str], k: int = 5) -> DataFrame:
@@ -47,14 +70,14 @@ def top_patterns(counted: DataFrame, by: list[str], k: int = 5) -> DataFrame:
 
 def densest(scanned: DataFrame, k: int = 20) -> DataFrame:
     """The k documents with most matches per thousand words, ties by doc_id."""
-    words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"\S+"))
-    dense = F.round(F.when(words > 0, F.col("n_matches") * 1000 / words), 6)
+    n = words(F.col("text"))
+    dense = F.round(F.when(n > 0, F.col("n_matches") * 1000 / n), 6)
     return scanned.select("doc_id", "n_matches", dense.alias("per_1k_words")).where("per_1k_words IS NOT NULL").orderBy(F.desc("per_1k_words"), "doc_id").limit(k)
 
 
-def group_split(scanned: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, n_tic and n_wiki: a document's matches of either group."""
-    wiki = F.array(*[F.lit(r.ordinal) for r in catalog(scanned.sparkSession).where("is_wiki").select("ordinal").collect()])
+def group_split(scanned: DataFrame, keys: list[str], among: Catalogue = ALL) -> DataFrame:
+    """keys, n_tic and n_wiki: a document's matches of the wiki group, and all others."""
+    wiki = F.array(*[F.lit(i) for i, d in enumerate(among.detectors) if d.group == WIKI])
     n = F.size(F.filter("found", lambda m: F.array_contains(wiki, m["ordinal"])))
     return scanned.select(*keys, (F.size("found") - n).alias("n_tic"), n.alias("n_wiki"))
 
@@ -93,6 +116,16 @@ def by_role(conversations: DataFrame) -> DataFrame:
     return counts(conversations, ["role"], ["chat-boilerplate", "ai-leftovers"]).where("pattern_id IN ('chat-boilerplate', 'ai-leftovers')")
 
 
-def clean(docs: DataFrame, graded: DataFrame, tiers_out: tuple[str, ...] = ("elevated", "high")) -> DataFrame:
-    """docs without those of these tiers."""
-    return docs.join(graded.where(F.col("tier").isin(*tiers_out)).select("doc_id").distinct(), "doc_id", "left_anti")
+def clean(graded: DataFrame, columns: list[str], tiers_out: tuple[str, ...] = ("elevated", "high")) -> DataFrame:
+    """The columns of graded documents but those of these tiers: a filter on the document's own row."""
+    return graded.where(~F.col("tier").isin(*tiers_out)).select(*columns)
+
+
+def write_matches(matches: DataFrame, path: str, by: tuple[str, ...] = ("group", "lang")) -> None:
+    """A match table as Parquet, one folder for each combination of by. Rows aren't dealt by these few values first, so no task gets all of one."""
+    matches.write.partitionBy(*by).parquet(path)
+
+
+def write_grades(graded: DataFrame, path: str, by: tuple[str, ...] = ("tier", "lang")) -> None:
+    """Grades without their texts as Parquet, one folder for each combination of by."""
+    graded.drop("text", "html", "segments").write.partitionBy(*by).parquet(path)

@@ -1,7 +1,9 @@
 """Detectors over a text column, and what is made of their finds.
 
 Finds stay nested on the document's row until they are asked for as rows, so
-that nothing is shuffled for them.
+that nothing is shuffled for them. Finders are marked as not deterministic:
+otherwise the optimiser copies them below each filter on what they find, and
+every text is searched twice.
 """
 
 from __future__ import annotations
@@ -14,16 +16,17 @@ from pyspark.sql import functions as F
 
 from prosegauge.functions import finders
 
-from .catalog import DETECTORS, ORDINAL, catalog
+from .catalog import ALL, Catalogue
 
-#: Characters of a text that the SQL of the plain detectors reads (scans read whole texts); words to either side of a context.
-CAP, CONTEXT_WORDS = 500_000, 12
+#: Words to either side of a context.
+CONTEXT_WORDS = 12
 FOUND = "array<struct<start:int,end:int,item_count:int,ordinal:int>>"
+WINDOWS = "array<struct<start:int,end:int,n_regions:int,n_matches:int>>"
 _NAMES = ["start", "end", "item_count", "ordinal"]
 
 
 def default_ids() -> list[str]:
-    return [d.pattern_id for d in DETECTORS if d.default_on]
+    return ALL.default_ids()
 
 
 def ids_of(enabled: DataFrame) -> list[str]:
@@ -31,48 +34,47 @@ def ids_of(enabled: DataFrame) -> list[str]:
     return [r.pattern_id for r in enabled.select("pattern_id").distinct().collect()]
 
 
-def _finder(pattern_ids: Iterable[str], overlaps: bool):
-    ids = sorted(set(pattern_ids) & set(ORDINAL), key=ORDINAL.__getitem__)
+def nested(found: Iterable[finders.Find]) -> list[dict]:
+    return [dict(zip(_NAMES, f, strict=True)) for f in found]
 
-    @F.pandas_udf(FOUND)
-    def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in batches:
-            each = (finders.find(t, ids) for t in s)
-            yield pd.Series([[dict(zip(_NAMES, f, strict=True)) for f in (x if overlaps else finders.resolve(x))] for x in each], dtype=object)
-
-    return found
 
-
-def scan(docs: DataFrame, pattern_ids: Iterable[str] | None = None, cap: int | None = None, overlaps: bool = False) -> DataFrame:
+def scan(docs: DataFrame, pattern_ids: Iterable[str] | None = None, cap: int | None = None, overlaps: bool = False, among: Catalogue = ALL) -> DataFrame:
     """docs with found (FOUND), truncated and n_matches. Whole texts are scanned, or only their first `cap` characters.
 
     overlaps: every detector's finds as they are; otherwise they are resolved,
-    earliest and longest first. Null and empty texts find nothing. Extra columns
+    earliest and longest first. among: the catalogue, with a user's detectors
+    where there are any. Null and empty texts find nothing. Extra columns
     stay; those three are replaced.
     """
-    found = _finder(default_ids() if pattern_ids is None else pattern_ids, overlaps)
-    out = docs.withColumn("found", found(F.col("text") if cap is None else F.substring("text", 1, cap)))
+    chosen = among.chosen(pattern_ids)
+
+    @F.pandas_udf(FOUND)
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            each = (finders.find(t, chosen) for t in s)
+            yield pd.Series([nested(x if overlaps else finders.resolve(x)) for x in each], dtype=object)
+
+    out = docs.withColumn("found", of.asNondeterministic()(F.col("text") if cap is None else F.substring("text", 1, cap)))
     return out.withColumn("truncated", F.lit(False) if cap is None else F.coalesce(F.char_length("text") > cap, F.lit(False))).withColumn("n_matches", F.size("found"))
 
 
-def match_rows(scanned: DataFrame, keys: list[str]) -> DataFrame:
+def match_rows(scanned: DataFrame, keys: list[str], among: Catalogue = ALL) -> DataFrame:
     """One row a match: keys, match_id (dense, from 0), pattern_id, start, end, item_count, snippet."""
-    names = F.array(*[F.lit(d.pattern_id) for d in DETECTORS])
+    names = F.array(*map(F.lit, among.ids))
     rows = scanned.select(*keys, "text", F.posexplode("found").alias("match_id", "m"))
     return rows.select(*keys, "match_id", F.get(names, F.col("m.ordinal")).alias("pattern_id"), "m.start", "m.end", "m.item_count", F.expr("substring(text, m.start + 1, m.end - m.start)").alias("snippet"))
 
 
-def per_pattern(scanned: DataFrame, keys: list[str]) -> DataFrame:
+def per_pattern(scanned: DataFrame, keys: list[str], among: Catalogue = ALL) -> DataFrame:
     """keys and per_pattern, a map of every detector's id to its number of matches, zeros included."""
-    ids = [d.pattern_id for d in DETECTORS]
-    counts = F.transform(F.sequence(F.lit(0), F.lit(len(ids) - 1)), lambda i: F.size(F.filter("found", lambda m: m["ordinal"] == i)))
-    return scanned.select(*keys, F.map_from_arrays(F.array(*map(F.lit, ids)), counts).alias("per_pattern"))
+    counts = F.transform(F.sequence(F.lit(0), F.lit(len(among) - 1)), lambda i: F.size(F.filter("found", lambda m: m["ordinal"] == i)))
+    return scanned.select(*keys, F.map_from_arrays(F.array(*map(F.lit, among.ids)), counts).alias("per_pattern"))
 
 
-def labelled(matches: DataFrame) -> DataFrame:
-    """match_rows with the catalogue's columns and a label: description, and the count where items are counted."""
-    cat = F.broadcast(catalog(matches.sparkSession))  # 63 rows
-    label = F.concat_ws(" · ", "description", F.when(F.col("item_count").isNotNull(), F.format_string("%d items", "item_count")))
+def labelled(matches: DataFrame, among: Catalogue = ALL) -> DataFrame:
+    """match_rows with the catalogue's columns and a label: the detector's name, and how many of what where something is counted."""
+    cat = F.broadcast(among.table(matches.sparkSession))  # a row a detector
+    label = F.concat_ws(" · ", "name", F.when(F.col("item_count").isNotNull(), F.concat_ws(" ", F.col("item_count").cast("string"), F.col("counted"))))
     return matches.join(cat, "pattern_id").withColumn("label", label)
 
 
@@ -83,28 +85,29 @@ def matches_at(probes: DataFrame, matches: DataFrame, key: str = "doc_id") -> Da
     return p.join(m, on, "left").select("p.*", "m.match_id", "m.pattern_id", "m.start", "m.end")
 
 
-def contexts(scanned: DataFrame, keys: list[str], words: int = CONTEXT_WORDS) -> DataFrame:
+def context_windows(text: str | None, found: list[finders.Find], words: int = CONTEXT_WORDS) -> list[dict]:
+    """The windows around the resolved matches of one text."""
+    own = finders.regions(text, [f[:2] for f in found]) if text and found else []
+    rows, at = [], 0
+    for s, e, n in finders.windows(text, own, words) if own else []:
+        rows.append({"start": s, "end": e, "n_regions": n, "n_matches": sum(x[2] for x in own[at : at + n])})
+        at += n
+    return rows
+
+
+def contexts(docs: DataFrame, keys: list[str], pattern_ids: Iterable[str] | None = None, words: int = CONTEXT_WORDS, among: Catalogue = ALL) -> DataFrame:
     """One row a keyword-in-context extract: keys, window_id, start, end, n_regions, n_matches, context.
 
     A match's sentences are a region, touching regions are one; a window is a
     region with `words` words to either side, and windows that meet, or have no
-    word between them, are one. They are formed on the document's row.
+    word between them, are one. They are formed in the pass that scans the text.
     """
+    chosen = among.chosen(pattern_ids)
+
+    @F.pandas_udf(WINDOWS)
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield pd.Series([context_windows(t, finders.resolve(finders.find(t, chosen)), words) for t in s], dtype=object)
 
-    @F.pandas_udf("array<struct<start:int,end:int,n_regions:int,n_matches:int>>")
-    def of(texts: pd.Series, found: pd.Series) -> pd.Series:
-        out = []
-        for text, matches in zip(texts, found, strict=True):
-            if text is None or not len(matches):
-                out.append([])
-                continue
-            own = finders.regions(text, [(m["start"], m["end"]) for m in matches])
-            rows, at = [], 0
-            for s, e, n in finders.windows(text, own, words):
-                rows.append({"start": s, "end": e, "n_regions": n, "n_matches": sum(x[2] for x in own[at : at + n])})
-                at += n
-            out.append(rows)
-        return pd.Series(out, dtype=object)
-
-    rows = scanned.withColumn("_w", of("text", "found")).select(*keys, "text", F.posexplode("_w").alias("window_id", "w"))
+    rows = docs.select(*keys, "text", F.posexplode(of.asNondeterministic()("text")).alias("window_id", "w"))
     return rows.select(*keys, "window_id", "w.*", F.expr("substring(text, w.start + 1, w.end - w.start)").alias("context"))

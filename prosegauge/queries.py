@@ -11,8 +11,12 @@ from pyspark.sql import functions as F
 
 from prosegauge.jobs import corpus
 from prosegauge.operators import catalog, detect, grade
+from prosegauge.operators.catalog import TIC, Detector
+from prosegauge.operators.page_scan import node_rows, scan_pages
+from prosegauge.oracle import found_ctes, graded_ctes, windows_ctes
 from prosegauge.sources import pages
-from prosegauge.sources.seeds import seeded, seeded_sql
+from prosegauge.sources.seeds import HTML, seeded, seeded_html, seeded_sql
+from prosegauge.sources.tables import table
 from prosegauge.streaming import pages as stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,11 +30,15 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return seeded(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return seeded(table(spark, sf_dir, "documents"))
+
+
+def web_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return seeded_html(table(spark, sf_dir, "pages"))
 
 
 def flat_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return seeded(pages.flatten(spark.read.parquet(f"{sf_dir}/pages.parquet")), "page_id")
+    return seeded(pages.flatten(web_pages(spark, sf_dir)), "page_id")
 
 
 def shared(spark: SparkSession, name: str) -> str:
@@ -42,22 +50,37 @@ def shared(spark: SparkSession, name: str) -> str:
     return f"{place.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+_SEEDED = f"SELECT doc_id AS k, text AS t FROM ({seeded_sql()})"
+_MATCHES = f"WITH {found_ctes(_SEEDED)}"
+_DOCS = f"docs AS (SELECT *, len(regexp_extract_all(text, '\\S+')) AS n_words FROM ({seeded_sql()}))"
+
+
 @query
 def pattern_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each plain detector finds by itself: spans, documents, characters."""
-    found = detect.scan(documents(spark, sf_dir), PLAIN, overlaps=True)
-    names = F.array(*[F.lit(d.pattern_id) for d in catalog.DETECTORS])
-    rows = found.select("doc_id", F.explode("found").alias("m"))
-    return rows.groupBy(F.get(names, F.col("m.ordinal")).alias("pattern_id")).agg(F.count("*").alias("hits"), F.count_distinct("doc_id").alias("docs"), F.sum(F.col("m.end") - F.col("m.start")).alias("n_chars"))
+    return _hits(detect.scan(documents(spark, sf_dir), PLAIN, overlaps=True))
 
 
-def _quoted(text: str) -> str:
-    return "'" + text.replace("'", "''") + "'"
+def _hits(found: DataFrame) -> DataFrame:
+    """By detector, exactly: a document is one row a detector, summed in its task first."""
+    names = F.array(*map(F.lit, catalog.ALL.ids))
+    own = F.transform(F.array_distinct(F.transform("found", lambda m: m["ordinal"])), lambda i: F.struct(i.alias("i"), F.filter("found", lambda m: m["ordinal"] == i).alias("f")))
+    rows = found.select(F.explode(own).alias("d"))
+    chars = F.aggregate("d.f", F.lit(0).cast("long"), lambda a, m: a + m["end"] - m["start"])
+    return rows.groupBy(F.get(names, F.col("d.i")).alias("pattern_id")).agg(F.sum(F.size("d.f")).alias("hits"), F.count("*").alias("docs"), F.sum(chars).alias("n_chars"))
 
 
-ORACLE_SQL["pattern_hits"] = f"WITH seeded AS ({seeded_sql()}), found AS (" + " UNION ALL ".join(
-    f"SELECT {_quoted(i)} AS pattern_id, doc_id, unnest(regexp_extract_all(text[1:{detect.CAP}], {_quoted(catalog.compiled(i).re2)})) AS hit FROM seeded" for i in PLAIN
-) + ") SELECT pattern_id, count(*) AS hits, count(DISTINCT doc_id) AS docs, CAST(sum(length(hit)) AS BIGINT) AS n_chars FROM found GROUP BY pattern_id"
+_HITS = "SELECT pattern_id, count(*) AS hits, count(DISTINCT k) AS docs, CAST(sum(e - s) AS BIGINT) AS n_chars FROM spans JOIN cat USING (o) GROUP BY pattern_id"
+ORACLE_SQL["pattern_hits"] = f"WITH {found_ctes(_SEEDED, PLAIN)} {_HITS}"
+
+
+@query
+def every_pattern_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of all 63 detectors, those that are off by default too."""
+    return _hits(detect.scan(documents(spark, sf_dir), catalog.ALL.ids, overlaps=True))
+
+
+ORACLE_SQL["every_pattern_hits"] = f"WITH {found_ctes(_SEEDED, catalog.ALL.ids)} {_HITS}"
 
 
 @query
@@ -66,28 +89,49 @@ def plain_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.match_rows(detect.scan(documents(spark, sf_dir), PLAIN), ["doc_id"]).drop("item_count")
 
 
-_RAW = " UNION ALL ".join(
-    f"SELECT doc_id, {catalog.ORDINAL[i]} AS o, {_quoted(i)} AS id, regexp_extract_all(t, {_quoted(catalog.compiled(i).re2)}) AS m, string_split_regex(t, {_quoted(catalog.compiled(i).re2)}) AS g FROM cut WHERE regexp_matches(t, {_quoted(catalog.compiled(i).re2)})" for i in PLAIN
-)
-ORACLE_SQL["plain_matches"] = f"""
-WITH seeded AS ({seeded_sql()}), cut AS (SELECT doc_id, text[1:{detect.CAP}] AS t FROM seeded), raw AS ({_RAW}),
-each AS (SELECT doc_id, o, id, m, g, unnest(range(1, len(m) + 1)) AS i FROM raw),
-spans AS (
-  SELECT doc_id, o, id, m[i] AS hit, CAST(list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS s
-  FROM each),
-lists AS (SELECT doc_id, list(struct_pack(s := s, e := s + length(hit), o := o, id := id, hit := hit) ORDER BY s, s + length(hit) DESC, o) AS f FROM spans GROUP BY doc_id),
-kept AS (
-  SELECT doc_id, list_reduce(f, lambda a, x: CASE WHEN x.s >= a.reach THEN struct_pack(reach := x.e, kept := list_append(a.kept, x)) ELSE a END, struct_pack(reach := CAST(-1 AS BIGINT), kept := f[1:0])).kept AS k
-  FROM lists),
-numbered AS (SELECT doc_id, unnest(range(0, len(k))) AS match_id, unnest(k) AS x FROM kept)
-SELECT doc_id, match_id, x.id AS pattern_id, x.s AS start, x.e AS "end", x.hit AS snippet FROM numbered
-"""
+ORACLE_SQL["plain_matches"] = f'WITH {found_ctes(_SEEDED, PLAIN)} SELECT kept.k AS doc_id, match_id, pattern_id, s AS start, e AS "end", substring(t, s + 1, e - s) AS snippet FROM kept JOIN cat USING (o) JOIN src ON kept.k = src.k'
 
 
 @query
 def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every match of every default detector, overlaps resolved."""
-    return corpus.match_table(documents(spark, sf_dir).select("doc_id", "lang", "source", "text")).drop("more_url")
+    """Every match of every default detector, overlaps resolved, with its label."""
+    return corpus.match_table(documents(spark, sf_dir).select("doc_id", "lang", "source", "text")).drop("more_url", "description", "name", "counted", "ordinal")
+
+
+_COUNTED = "CASE pattern_id " + " ".join(f"WHEN '{d.pattern_id}' THEN '{catalog.COUNTED[d.kind]}'" for d in catalog.DETECTORS if d.kind in catalog.COUNTED) + " END"
+_COLUMNS = """pattern_id, s AS start, e AS "end", n AS item_count"""
+ORACLE_SQL["matches"] = f"""{_MATCHES}, {_DOCS}
+SELECT doc_id, lang, source, match_id, {_COLUMNS}, substring(text, s + 1, e - s) AS snippet, grp AS "group", grp = 'wiki' AS is_wiki, pattern_id <> 'colon-triple' AS default_enabled,
+  replace(pattern_id, '-', ' ') || CASE WHEN n IS NULL THEN '' ELSE ' · ' || n || ' ' || {_COUNTED} END AS label
+FROM kept JOIN cat USING (o) JOIN docs ON docs.doc_id = kept.k"""
+
+
+@query
+def disabled_group_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches of what is left when the tics are switched off and colon-triple on: a settings table, taken from the catalogue."""
+    off = catalog.catalog(spark).where(f"group = '{TIC}' AND pattern_id <> 'colon-triple'").select("pattern_id")
+    return detect.match_rows(detect.scan(documents(spark, sf_dir), detect.ids_of(catalog.enabled(spark, off))), ["doc_id"]).drop("snippet")
+
+
+_WIKI_ON = [d.pattern_id for d in catalog.DETECTORS if d.group != TIC or d.pattern_id == "colon-triple"]
+ORACLE_SQL["disabled_group_matches"] = f"WITH {found_ctes(_SEEDED, _WIKI_ON)} SELECT k AS doc_id, match_id, {_COLUMNS} FROM kept JOIN cat USING (o)"
+
+
+@query
+def document_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's number of matches of every detector, zeros included."""
+    maps = detect.per_pattern(detect.scan(documents(spark, sf_dir)), ["doc_id"])
+    return maps.select("doc_id", F.explode("per_pattern").alias("pattern_id", "hits"))
+
+
+ORACLE_SQL["document_patterns"] = f"{_MATCHES} SELECT src.k AS doc_id, pattern_id, CAST(count(kept.k) AS INTEGER) AS hits FROM src CROSS JOIN cat LEFT JOIN kept ON kept.k = src.k AND kept.o = cat.o GROUP BY ALL"
+
+
+def _counts_sql(by: str) -> str:
+    return f"""{_MATCHES}, {_DOCS}, total AS (SELECT {by}, count(*) AS n_docs, CAST(sum(n_words) AS BIGINT) AS n_words FROM docs GROUP BY {by}),
+own AS (SELECT {by}, o, count(*) AS hits, count(DISTINCT doc_id) AS docs_hit FROM kept JOIN docs ON docs.doc_id = kept.k GROUP BY {by}, o),
+counted AS (SELECT total.{by}, grp AS "group", pattern_id, n_docs, n_words, coalesce(hits, 0) AS hits, coalesce(docs_hit, 0) AS docs_hit, round(coalesce(hits, 0) * 1000 / n_words, 6) AS hits_per_1k_words
+  FROM total CROSS JOIN cat LEFT JOIN own ON own.{by} IS NOT DISTINCT FROM total.{by} AND own.o = cat.o)"""
 
 
 @query
@@ -96,10 +140,16 @@ def corpus_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.counts(documents(spark, sf_dir), ["lang"])
 
 
+ORACLE_SQL["corpus_counts"] = f"{_counts_sql('lang')} SELECT * FROM counted"
+
+
 @query
 def pattern_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hits by group and detector with subtotals."""
-    return corpus.rollup(corpus.match_table(documents(spark, sf_dir).select("doc_id", "text")))
+    """Hits and documents with hits by group and detector, with subtotals."""
+    return corpus.rollup(detect.scan(documents(spark, sf_dir)))
+
+
+ORACLE_SQL["pattern_rollup"] = f'{_MATCHES} SELECT grp AS "group", pattern_id, count(*) AS hits, count(DISTINCT k) AS docs FROM kept JOIN cat USING (o) GROUP BY ROLLUP (grp, pattern_id)'
 
 
 @query
@@ -108,12 +158,19 @@ def top_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.top_patterns(corpus.counts(documents(spark, sf_dir), ["source"]), ["source"])
 
 
+ORACLE_SQL["top_patterns"] = f"{_counts_sql('source')}, ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY source ORDER BY hits DESC, pattern_id) AS INTEGER) AS rank FROM counted WHERE hits > 0) SELECT * FROM ranked WHERE rank <= 5"
+
+
 @query
 def densest_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The twenty documents with most matches per thousand words."""
     return corpus.densest(detect.scan(documents(spark, sf_dir)))
 
 
+_PER_DOC = f"{_MATCHES}, {_DOCS}, per AS (SELECT doc_id, n_words, CAST(count(o) AS INTEGER) AS n_matches, CAST(count(*) FILTER (WHERE grp = 'wiki') AS INTEGER) AS n_wiki FROM docs LEFT JOIN (SELECT k, o, grp FROM kept JOIN cat USING (o)) m ON m.k = doc_id GROUP BY doc_id, n_words)"
+ORACLE_SQL["densest_documents"] = f"{_PER_DOC} SELECT doc_id, n_matches, round(n_matches * 1000 / n_words, 6) AS per_1k_words FROM per WHERE n_words > 0 ORDER BY 3 DESC, 1 LIMIT 20"
+
+
 @query
 def group_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's matches of either group, its total, and whether it was cut."""
@@ -121,10 +178,16 @@ def group_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.group_split(found, ["doc_id", "n_matches", "truncated"])
 
 
+ORACLE_SQL["group_split"] = f"{_PER_DOC} SELECT doc_id, n_matches, false AS truncated, n_matches - n_wiki AS n_tic, n_wiki FROM per"
+
+
 @query
 def contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keyword-in-context extracts of all matches."""
-    return detect.contexts(detect.scan(documents(spark, sf_dir)), ["doc_id"])
+    return detect.contexts(documents(spark, sf_dir), ["doc_id"])
+
+
+ORACLE_SQL["contexts"] = f'{_MATCHES}, {windows_ctes()} SELECT k AS doc_id, window_id, s AS start, e AS "end", n_regions, n_matches, text AS context FROM context'
 
 
 @query
@@ -135,46 +198,56 @@ def match_at_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.matches_at(docs.select("doc_id", (F.char_length("text") - 10).alias("pos")), rows)
 
 
-_SIGNAL_KEYS = ["burstiness", "para-uniform", "em-dash", "transitions", "expletives", "rule-of-three", "typography"]
+ORACLE_SQL["match_at_middle"] = f'{_MATCHES}, probes AS (SELECT k AS doc_id, CAST(length(t) - 10 AS INTEGER) AS pos FROM src) SELECT doc_id, pos, match_id, pattern_id, s AS start, e AS "end" FROM probes LEFT JOIN (kept JOIN cat USING (o)) ON k = doc_id AND pos >= s AND pos < e'
+
+
+@query
+def user_detector_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits by language of two detectors that a user adds, a phrase and a function, beside three built-in ones that they compete with."""
+
+    def shouted(text: str):
+        at = 0
+        for word in text.split(" "):
+            if len(word) >= 4 and word.isascii() and word.isalpha() and word.isupper():
+                yield at, at + len(word), None
+            at += len(word) + 1
+
+    own = catalog.ALL.added(Detector("rest-of-it", "own", "the whole idea or list", specs=("the whole (idea|list)",)), Detector("shouted", "own", "words in capitals", "function", function=shouted))
+    counted = corpus.counts(documents(spark, sf_dir), ["lang"], ["whole", "is-the-whole", "rest-of-it", "shouted"], own)
+    return counted.where("group = 'own' OR pattern_id IN ('whole', 'is-the-whole')").select("lang", "pattern_id", "hits", "docs_hit")
+
+
+_LOUD = "list_filter(string_split(t, ' '), lambda w: regexp_full_match(w, '[A-Z]{4,}'))"
+ORACLE_SQL["user_detector_counts"] = f"""WITH {found_ctes(_SEEDED, ["whole", "is-the-whole"])}, {_DOCS},
+own AS (SELECT k, pattern_id, count(*) AS n FROM kept JOIN cat USING (o) GROUP BY ALL
+  UNION ALL SELECT k, 'shouted', len({_LOUD}) FROM src WHERE len({_LOUD}) > 0)
+SELECT l.lang, p.pattern_id, CAST(coalesce(sum(n), 0) AS BIGINT) AS hits, count(own.k) AS docs_hit
+FROM (SELECT DISTINCT lang FROM docs) l CROSS JOIN (VALUES ('whole'), ('is-the-whole'), ('rest-of-it'), ('shouted')) p(pattern_id)
+  LEFT JOIN (own JOIN docs ON docs.doc_id = own.k) ON docs.lang IS NOT DISTINCT FROM l.lang AND own.pattern_id = p.pattern_id GROUP BY ALL"""
+
+
+@query
+def match_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches written in folders by group and language, and what reading them back gives of one group."""
+    path = shared(spark, "matches")
+    corpus.write_matches(corpus.match_table(documents(spark, sf_dir).select("doc_id", "lang", "text")), path)
+    return spark.read.parquet(path).where("group = 'wiki'").groupBy("lang", "pattern_id").agg(F.count("*").alias("hits"))
+
+
+ORACLE_SQL["match_sink"] = f"{_MATCHES}, {_DOCS} SELECT lang, pattern_id, count(*) AS hits FROM kept JOIN cat USING (o) JOIN docs ON docs.doc_id = kept.k WHERE grp = 'wiki' GROUP BY ALL"
+
+_GRADES = f"WITH {graded_ctes(_SEEDED)}"
 
 
 @query
 def signal_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The value, and firing, of the signals that SQL can state, for every eligible document."""
+    """The value, and firing, of every signal of every eligible document."""
     graded = grade.grade(documents(spark, sf_dir))
-    rows = grade.signal_rows(graded, ["doc_id", "n_words", "n_sentences"]).where(F.col("key").isin(_SIGNAL_KEYS))
+    rows = grade.signal_rows(graded, ["doc_id", "n_words", "n_sentences"])
     return rows.select("doc_id", "n_words", "n_sentences", "key", "applicable", "fired", F.round("value", 6).alias("value"))
 
 
-_LIST = ", ".join(_quoted(x) for x in grade.TRANSITIONS)
-ORACLE_SQL["signal_values"] = rf"""
-WITH seeded AS ({seeded_sql()}),
-parts AS (
-  SELECT doc_id, text, len(regexp_extract_all(text, {_quoted(grade.WORD)})) AS n_words,
-    list_filter(list_transform(string_split_regex(regexp_replace(text, '([.!?])\s+', '\1' || chr(10), 'g'), '\n+'), lambda s: regexp_replace(s, '\A\s+|\s+\z', '', 'g')), lambda s: regexp_matches(s, '[A-Za-z0-9]')) AS ss,
-    list_filter(list_transform(string_split_regex(text, '\n+'), lambda p: len(regexp_extract_all(p, {_quoted(grade.WORD)}))), lambda n: n > 0) AS pw
-  FROM seeded),
-sized AS (
-  SELECT *, len(ss) AS n_sentences, list_filter(list_transform(ss, lambda s: len(regexp_extract_all(s, {_quoted(grade.WORD)}))), lambda n: n > 0) AS sw,
-    len(regexp_extract_all(text, '—')) AS dashes,
-    len(list_filter(ss, lambda s: lower(regexp_extract(s, '[A-Za-z]+')) IN ({_LIST}))) AS trans,
-    len(list_filter(ss, lambda s: regexp_matches(s, {_quoted(grade.EXPLETIVE.replace('(?![A-Za-z0-9_])', chr(92) + 'b'))}))) AS expl,
-    len(regexp_extract_all(text, {_quoted(grade.TRIAD.re2)})) AS triads,
-    (CAST(regexp_matches(text, '[‘’“”]') AS INT) + CAST(contains(text, '…') OR contains(text, '...') AS INT) + CAST(contains(text, '—') AS INT)) AS signs
-  FROM parts),
-ok AS (
-  SELECT *, CASE WHEN len(sw) >= 2 THEN list_stddev_pop(sw) / list_avg(sw) END AS scv, CASE WHEN len(pw) >= 2 THEN list_stddev_pop(pw) / list_avg(pw) END AS pcv
-  FROM sized WHERE n_words >= {grade.MIN_WORDS} AND n_sentences >= {grade.MIN_SENTENCES}),
-rows AS (
-  SELECT doc_id, n_words, n_sentences, 'burstiness' AS key, scv IS NOT NULL AND len(sw) >= 5 AS applicable, scv < 0.4 AS f, scv AS value FROM ok
-  UNION ALL SELECT doc_id, n_words, n_sentences, 'para-uniform', pcv IS NOT NULL AND len(pw) >= 4, pcv < 0.4, pcv FROM ok
-  UNION ALL SELECT doc_id, n_words, n_sentences, 'em-dash', true, dashes * 1000.0 / n_words > 10, dashes * 1000.0 / n_words FROM ok
-  UNION ALL SELECT doc_id, n_words, n_sentences, 'transitions', true, trans / n_sentences > 0.1, trans / n_sentences FROM ok
-  UNION ALL SELECT doc_id, n_words, n_sentences, 'expletives', true, expl / n_sentences > 0.1, expl / n_sentences FROM ok
-  UNION ALL SELECT doc_id, n_words, n_sentences, 'rule-of-three', true, triads >= 2 AND triads * 1000.0 / n_words > 5, triads * 1000.0 / n_words FROM ok
-  UNION ALL SELECT doc_id, n_words, n_sentences, 'typography', true, signs >= 3, CAST(signs AS DOUBLE) FROM ok)
-SELECT doc_id, n_words, n_sentences, key, applicable, coalesce(applicable AND f, false) AS fired, round(value, 6) AS value FROM rows
-"""
+ORACLE_SQL["signal_values"] = f"{_GRADES} SELECT k AS doc_id, n_words, n_sentences, key, applicable, fired, round(value, 6) AS value FROM signals JOIN graded USING (k)"
 
 
 @query
@@ -184,55 +257,93 @@ def document_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graded.select("doc_id", "eligible", "n_words", "n_sentences", "applicable_count", "fired_count", "tier", F.col("badge.text").alias("badge"))
 
 
+ORACLE_SQL["document_grades"] = f"{_GRADES} SELECT k AS doc_id, * EXCLUDE (k), CASE WHEN eligible THEN CAST(fired_count AS VARCHAR) END AS badge FROM graded"
+
+
 @query
 def tier_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents by language, source, eligibility and tier."""
     return corpus.tiers(grade.grade(documents(spark, sf_dir)), ["lang", "source"])
 
 
+ORACLE_SQL["tier_histogram"] = f"{_GRADES} SELECT lang, source, eligible, tier, count(*) AS n_docs, CAST(sum(fired_count) AS BIGINT) AS fired FROM graded JOIN documents d ON d.doc_id = k GROUP BY ALL"
+
+
 @query
 def tier_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eligible documents of each source, one column a tier."""
     return corpus.tier_table(grade.grade(documents(spark, sf_dir)), ["source"])
 
 
+ORACLE_SQL["tier_table"] = f"{_GRADES} SELECT source, " + ", ".join(f"count(*) FILTER (WHERE tier = '{t}') AS {t}" for t in ("low", "some", "elevated", "high")) + " FROM graded JOIN documents d ON d.doc_id = k WHERE eligible GROUP BY source"
+
+
 @query
 def signal_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often each signal applies and fires, by language."""
     return corpus.signal_rates(grade.grade(documents(spark, sf_dir)), ["lang"])
 
 
+ORACLE_SQL["signal_rates"] = f"{_GRADES} SELECT lang, key, count(*) AS n_docs, count(*) FILTER (WHERE applicable) AS applicable, count(*) FILTER (WHERE fired) AS fired FROM signals JOIN documents d ON d.doc_id = k GROUP BY ALL"
+
+
 @query
 def signal_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of signals that fire together."""
     return corpus.cofiring(grade.grade(documents(spark, sf_dir)))
 
 
+ORACLE_SQL["signal_pairs"] = f"{_GRADES} SELECT a.key AS key_a, b.key AS key_b, count(*) AS n_docs FROM signals a JOIN signals b ON a.k = b.k AND a.key < b.key WHERE a.fired AND b.fired GROUP BY ALL"
+
+
 @query
 def quality_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled documents by quality and tier, with subtotals."""
     return corpus.by_quality(grade.grade(documents(spark, sf_dir)), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+ORACLE_SQL["quality_cube"] = f"{_GRADES} SELECT quality, tier, count(*) AS n_docs FROM graded JOIN labels l ON l.doc_id = k GROUP BY CUBE (quality, tier)"
+
+
 @query
 def clean_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents but those whose grade is some or more."""
-    docs = documents(spark, sf_dir)
-    return corpus.clean(docs, grade.grade(docs), ("some", "elevated", "high")).select("doc_id", "lang", "source")
+    return corpus.clean(grade.grade(documents(spark, sf_dir)), ["doc_id", "lang", "source"], ("some", "elevated", "high"))
+
+
+ORACLE_SQL["clean_documents"] = f"{_GRADES} SELECT d.doc_id, d.lang, d.source FROM graded JOIN documents d ON d.doc_id = k WHERE tier = 'low'"
+
+
+@query
+def grade_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grades written in folders by tier and language, and what reading them back gives of the tiers above low."""
+    path = shared(spark, "grades")
+    corpus.write_grades(grade.grade(documents(spark, sf_dir).select("doc_id", "lang", "text")), path)
+    return spark.read.parquet(path).where("tier <> 'low'").groupBy("tier", "lang").agg(F.count("*").alias("n_docs"), F.max("fired_count").alias("most"))
+
+
+ORACLE_SQL["grade_sink"] = f"{_GRADES} SELECT tier, lang, count(*) AS n_docs, max(fired_count) AS most FROM graded JOIN documents d ON d.doc_id = k WHERE tier <> 'low' GROUP BY ALL"
 
 
 @query
 def role_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An assistant's manners and leftovers by role, over conversations."""
-    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    return corpus.by_role(seeded(turns, "conv_id"))
+    return corpus.by_role(seeded(table(spark, sf_dir, "conversations"), "conv_id"))
+
+
+ORACLE_SQL["role_hits"] = f"""WITH turns AS (SELECT *, row_number() OVER () AS k FROM ({seeded_sql('conversations', 'conv_id')})),
+{found_ctes('SELECT k, text AS t FROM turns', ['chat-boilerplate', 'ai-leftovers'])},
+total AS (SELECT role, count(*) AS n_docs, CAST(sum(len(regexp_extract_all(text, '\\S+'))) AS BIGINT) AS n_words FROM turns GROUP BY role),
+own AS (SELECT role, o, count(*) AS hits, count(DISTINCT k) AS docs_hit FROM kept JOIN turns USING (k) GROUP BY role, o)
+SELECT total.role, grp AS "group", pattern_id, n_docs, n_words, coalesce(hits, 0) AS hits, coalesce(docs_hit, 0) AS docs_hit, round(coalesce(hits, 0) * 1000 / n_words, 6) AS hits_per_1k_words
+FROM total CROSS JOIN (SELECT * FROM cat WHERE pattern_id IN ('chat-boilerplate', 'ai-leftovers')) cat LEFT JOIN own ON own.role IS NOT DISTINCT FROM total.role AND own.o = cat.o"""
 
 
 @query
 def page_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Origin, scannability and normal form of every page's URL."""
     u = F.col("url")
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", pages.scannable(u).alias("scannable"), pages.origin(u).alias("origin"), pages.normalised(u).alias("normal_url"))
+    return table(spark, sf_dir, "pages").select("page_id", pages.scannable(u).alias("scannable"), pages.origin(u).alias("origin"), pages.normalised(u).alias("normal_url"))
 
 
 ORACLE_SQL["page_urls"] = r"""
@@ -240,7 +351,7 @@ SELECT page_id, coalesce(regexp_matches(url, '(?i)\Ahttps?:'), false) AS scannab
   CASE WHEN regexp_matches(url, '(?i)\Ahttps?://[^/?#]') THEN
     lower(regexp_extract(url, '(?i)\A(https?)://', 1)) || '://' || regexp_replace(lower(regexp_extract(url, '(?i)\Ahttps?://(?:[^/?#@]*@)?([^/?#]+)', 1)), CASE WHEN lower(url) LIKE 'https%' THEN ':443\z' ELSE ':80\z' END, '') END AS origin,
   CASE WHEN regexp_matches(trim(url), '(?i)\Ahttps?://') THEN trim(url)
-       WHEN regexp_matches(trim(url), '(?i)\A[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{2,}(?:[/:?#]\S*)?\z') THEN 'https://' || trim(url) ELSE '' END AS normal_url
+       WHEN regexp_matches(trim(url), '(?i)\A[\w.-]+\.[a-z]{2,}(?:[/:?#]|\z)') THEN 'https://' || trim(url) ELSE '' END AS normal_url
 FROM pages
 """
 
@@ -255,23 +366,42 @@ def origin_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def page_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Size of each page's visible text, its nodes, and its list items."""
-    flat = pages.flatten(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    flat = pages.flatten(web_pages(spark, sf_dir))
     return flat.select("page_id", F.char_length("text").alias("n_chars"), F.size("segments").alias("n_segments"), "li_total", "li_bold")
 
 
 @query
 def page_match_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The text nodes in which each match of a page begins and ends."""
-    flat = pages.flatten(spark.read.parquet(f"{sf_dir}/pages.parquet").where(pages.scannable(F.col("url"))))
-    rows = detect.match_rows(detect.scan(flat), ["page_id"])
-    nodes = pages.segment_rows(flat, ["page_id"])
-    return pages.in_segments(rows, nodes).select("page_id", "match_id", "pattern_id", "start", "end", "first_seg", "first_at", "last_seg", "last_at")
+    own = web_pages(spark, sf_dir).where(pages.scannable(F.col("url")))
+    return node_rows(scan_pages(own), ["page_id"])
+
+
+@query
+def segment_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the third character of every second node of a page lies in its text; -1 for a node that isn't there."""
+    nodes = pages.segment_rows(pages.flatten(web_pages(spark, sf_dir)), ["page_id"])
+    own = table(spark, sf_dir, "pages").select("page_id", F.explode(F.sequence(F.lit(0), F.lit(20), F.lit(2))).alias("seg_idx"), F.lit(3).alias("offset"))
+    return pages.buffer_offsets(own, nodes)
+
+
+@query
+def allowed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a page's origin is allowed: the list has the origins of every third page."""
+    own = table(spark, sf_dir, "pages").select("page_id", "url")
+    listed = own.where("page_id % 3 = 0").select(pages.origin(F.col("url")).alias("origin"))
+    both = [pages.allowed(own, listed, keep).select("page_id", F.lit(keep).alias("allowed")) for keep in (True, False)]
+    return both[0].unionByName(both[1])
+
+
+ORACLE_SQL["allowed_pages"] = f"""WITH own AS ({ORACLE_SQL["page_urls"]})
+SELECT page_id, coalesce(origin IN (SELECT origin FROM own WHERE page_id % 3 = 0 AND origin IS NOT NULL), false) AS allowed FROM own"""
 
 
 def page_versions(spark: SparkSession, sf_dir: str) -> str:
     """A folder of page versions: each page, and two seconds later the page with a heading, spread over ten hours."""
     path = shared(spark, "versions")
-    own = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("page_id") * 977 % 36000).alias("version_ts"), "url", "html")
+    own = web_pages(spark, sf_dir).select("page_id", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("page_id") * 977 % 36000).alias("version_ts"), "url", "html")
     later = own.withColumn("version_ts", F.col("version_ts") + F.expr("INTERVAL 2 SECONDS")).withColumn("html", F.concat(F.lit("<body><h1>Moving forward</h1>"), "html"))
     own.unionByName(later).write.parquet(path)
     return path
@@ -280,10 +410,20 @@ def page_versions(spark: SparkSession, sf_dir: str) -> str:
 @query
 def stream_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest grade of each page, from a stream of its versions written batch by batch."""
-    table = shared(spark, "grades")
-    q = stream.upsert_grades(stream.versions(spark, page_versions(spark, sf_dir)), table, shared(spark, "state"))
+    grades = shared(spark, "grades")
+    q = stream.upsert_grades(stream.versions(spark, page_versions(spark, sf_dir)), grades, shared(spark, "state"))
     q.awaitTermination()
-    return stream.current(spark, table)
+    return stream.current(spark, grades)
+
+
+@query
+def stream_allowed_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of the origins of every third page, with the wiki group switched off by a settings table that each batch reads anew."""
+    grades, settings = shared(spark, "grades"), shared(spark, "settings")
+    catalog.catalog(spark).where("is_wiki").select("pattern_id").write.parquet(settings)
+    listed = table(spark, sf_dir, "pages").where("page_id % 3 = 0").select(pages.origin(F.col("url")).alias("origin")).where("origin IS NOT NULL")
+    stream.upsert_grades(stream.versions(spark, page_versions(spark, sf_dir), maxFilesPerTrigger=2), grades, shared(spark, "state"), listed, settings).awaitTermination()
+    return stream.current(spark, grades)
 
 
 def _drained(frame: DataFrame, spark: SparkSession) -> DataFrame:
@@ -299,6 +439,12 @@ def stream_monitor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _drained(stream.monitor(stream.versions(spark, page_versions(spark, sf_dir)), late="0 seconds"), spark)
 
 
+@query
+def stream_pattern_monitor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits of each detector in windows of ten minutes that the watermark has closed."""
+    return _drained(stream.pattern_monitor(stream.versions(spark, page_versions(spark, sf_dir)), late="0 seconds"), spark)
+
+
 @query
 def stream_settled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The version that each closed burst of changes settled on."""
@@ -306,7 +452,8 @@ def stream_settled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", F.unix_timestamp("version_ts").alias("version_s"), F.char_length("html").alias("n_chars"))
 
 
-ORACLE_SQL["stream_settled"] = """
-WITH versions AS (SELECT page_id, 1700000000 + page_id * 977 % 36000 + 2 AS version_s, length('<body><h1>Moving forward</h1>') + length(html) AS n_chars FROM pages)
+ORACLE_SQL["stream_settled"] = f"""
+WITH seeded AS (SELECT page_id, html, [{", ".join(str(len(x)) for x in HTML)}][page_id % {len(HTML)} + 1] AS added FROM pages),
+versions AS (SELECT page_id, 1700000000 + page_id * 977 % 36000 + 2 AS version_s, length('<body><h1>Moving forward</h1>') + length(html) + added AS n_chars FROM seeded)
 SELECT * FROM versions WHERE version_s + 5 <= (SELECT max(version_s) FROM versions)
 """

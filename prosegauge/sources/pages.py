@@ -9,8 +9,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Elements that end a line, elements that hold no prose, elements without an end tag.
+from prosegauge.functions.phrases import with_blanks
+
+# Elements that end a line, elements that hold no prose, elements without an end tag. dialog, tbody, thead and tfoot are ours.
 BLOCKS = frozenset("address article aside blockquote br dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table tbody td tfoot th thead tr ul".split())
+#: What a head may hold; any other element ends it, written end tag or not.
+HEAD = frozenset("base basefont bgsound head html link meta noscript script style template title".split())
 SKIPPED = frozenset("script style noscript template code kbd samp textarea input select option svg math".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _CLOSES_P = BLOCKS - {"br"}
@@ -45,7 +49,8 @@ class _Flattener(HTMLParser):
         a = {k: (v or "") for k, v in attrs}
         if tag in ("head", "title"):
             self.in_head = tag == "head" or self.in_head
-        elif tag == "body":
+        elif self.in_head and tag not in HEAD:
+            self._close("head")
             self.in_head = False
         if self.li and self.li[-1] is None:
             self.li[-1] = tag in ("strong", "b")
@@ -107,8 +112,9 @@ def flatten(pages: DataFrame) -> DataFrame:
         for s in batches:
             yield pd.DataFrame([flatten_html(h) for h in s], columns=["text", "segments", "li_total", "li_bold"])
 
-    out = pages.withColumn("_page", of("html"))
-    return out.withColumns({x: F.col(f"_page.{x}") for x in ("text", "segments", "li_total", "li_bold")}).drop("_page")
+    names = ["text", "segments", "li_total", "li_bold"]
+    out = pages.drop(*names).select(F.struct("*").alias("row"), of.asNondeterministic()("html").alias("page"))
+    return out.select("row.*", *[F.col(f"page.{x}").alias(x) for x in names])
 
 
 def segment_rows(flat: DataFrame, keys: list[str]) -> DataFrame:
@@ -154,8 +160,8 @@ def origin(url: Column) -> Column:
 
 def normalised(url: Column) -> Column:
     """Trimmed http(s) URLs as they are, a bare host with https:// before it, anything else empty."""
-    u = F.regexp_replace(F.coalesce(url, F.lit("")), r"\A\s+|\s+\z", "")
-    bare = u.rlike(r"(?i)\A[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{2,}(?:[/:?#]\S*)?\z")
+    u = F.regexp_replace(F.coalesce(url, F.lit("")), with_blanks(r"\A\s+|\s+\z"), "")
+    bare = u.rlike(r"(?i)\A[\w.-]+\.[a-z]{2,}(?:[/:?#]|\z)")
     return F.when(u.rlike(r"(?i)\Ahttps?://"), u).when(bare, F.concat(F.lit("https://"), u)).otherwise("")
 
 

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from prosegauge.operators import detect
+from prosegauge.operators.catalog import ALL
 from prosegauge.operators.grade import grade
-from prosegauge.sources.pages import allowed, flatten
+from prosegauge.operators.page_scan import scan_pages
+from prosegauge.sources.pages import allowed
 
 VERSIONS = "page_id long, version_ts timestamp, url string, html string"
 
@@ -29,8 +30,7 @@ def graded_pages(pages: DataFrame, origins: DataFrame | None = None, disabled: D
     """Pages of allowed origins (all, without origins) flattened, scanned and graded; disabled(pattern_id) is read anew at every call."""
     own = allowed(pages, origins) if origins is not None else pages
     off = {r.pattern_id for r in disabled.select("pattern_id").distinct().collect()} if disabled is not None else set()
-    ids = [i for i in detect.default_ids() if i not in off]
-    return grade(detect.scan(flatten(own), ids)).drop("html")
+    return grade(scan_pages(own, [i for i in ALL.default_ids() if i not in off])).drop("html")
 
 
 def newest(rows: DataFrame) -> DataFrame:
@@ -39,23 +39,45 @@ def newest(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
-def upsert_grades(stream: DataFrame, table: str, checkpoint: str, origins: DataFrame | None = None, disabled_path: str | None = None):
-    """Start a query that keeps the newest grade of each page: every micro-batch is written to a folder of its own below table.
+GRADES = "page_id long, version_ts timestamp, url string, n_matches int, eligible boolean, fired_count int, tier string"
+#: Parts that the table of grades is dealt into by page.
+BUCKETS = 64
+
 
-    A batch that is run again after a failure replaces its own folder. Read
-    the result with current().
+def upsert_grades(stream: DataFrame, table: str, checkpoint: str, origins: DataFrame | None = None, disabled_path: str | None = None):
+    """Start a query that keeps the newest grade of each page in table, a folder all executors reach.
+
+    A page's bucket follows from its id. A micro-batch writes, below a folder of
+    its own, the buckets that it touches, whole: what they held before and the
+    new grades, one row a page. So the newest folder of a bucket is all that
+    counts, reading doesn't get slower with the number of batches, and older
+    folders can be deleted. A batch that is run again after a failure replaces
+    its own folder. Read the result with current().
     """
+    bucket = F.pmod(F.xxhash64("page_id"), F.lit(BUCKETS)).cast("int").alias("bucket")
+
     def write(batch: DataFrame, batch_id: int) -> None:
-        off = batch.sparkSession.read.parquet(disabled_path) if disabled_path else None
-        out = graded_pages(newest(batch), origins, off).select("page_id", "version_ts", "url", "n_matches", "eligible", "fired_count", "tier")
-        out.write.mode("overwrite").parquet(f"{table}/batch={batch_id}")
+        spark = batch.sparkSession
+        off = spark.read.parquet(disabled_path) if disabled_path else None
+        out = graded_pages(newest(batch), origins, off).select("page_id", "version_ts", "url", "n_matches", "eligible", "fired_count", "tier", bucket)
+        if batch_id:
+            touched = F.broadcast(batch.select(bucket).distinct())  # BUCKETS rows at most
+            out = newest(out.unionByName(_held(spark, table, batch_id).join(touched, "bucket", "left_semi")))
+        out.write.mode("overwrite").partitionBy("bucket").parquet(f"{table}/batch={batch_id}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _held(spark: SparkSession, table: str, before: int | None = None) -> DataFrame:
+    rows = spark.read.schema(f"{GRADES}, batch long, bucket int").parquet(table)
+    rows = rows if before is None else rows.where(F.col("batch") < before)
+    last = rows.groupBy("bucket").agg(F.max("batch").alias("batch"))  # from folder names, BUCKETS rows at most
+    return rows.join(F.broadcast(last), ["bucket", "batch"]).drop("batch")
+
+
 def current(spark: SparkSession, table: str) -> DataFrame:
     """The newest grade of each page that upsert_grades() has written."""
-    return newest(spark.read.parquet(table).drop("batch"))
+    return _held(spark, table).drop("bucket")
 
 
 def monitor(stream: DataFrame, width: str = "10 minutes", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
@@ -64,3 +86,14 @@ def monitor(stream: DataFrame, width: str = "10 minutes", slide: str | None = No
     graded = graded_pages(stream.withWatermark("version_ts", late))
     sums = graded.groupBy(at.alias("w")).agg(F.count("*").alias("n_pages"), F.sum("n_matches").alias("n_matches"), F.sum("fired_count").alias("fired"))
     return sums.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "n_pages", "n_matches", "fired")
+
+
+def pattern_monitor(stream: DataFrame, width: str = "10 minutes", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
+    """Hits of each detector, and pages with one, by window of version_ts; a detector without hits in a window has no row there."""
+    at = F.window("version_ts", width, slide) if slide else F.window("version_ts", width)
+    scanned = scan_pages(stream.withWatermark("version_ts", late))
+    ids = F.array(*map(F.lit, ALL.ids))
+    own = F.transform(F.array_distinct(F.transform("found", lambda m: m["ordinal"])), lambda i: F.struct(F.get(ids, i).alias("pattern_id"), F.size(F.filter("found", lambda m: m["ordinal"] == i)).alias("n")))
+    rows = scanned.select("version_ts", F.explode(own).alias("c"))
+    sums = rows.groupBy(at.alias("w"), "c.pattern_id").agg(F.sum("c.n").alias("hits"), F.count("*").alias("n_pages"))
+    return sums.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "pattern_id", "hits", "n_pages")
