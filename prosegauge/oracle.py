@@ -174,7 +174,7 @@ regioned AS (SELECT *, sum(brk) OVER (PARTITION BY k ORDER BY match_id) AS regio
 regions AS (SELECT k, region, any_value(t) AS t, min(a) AS a, max(b) AS b, count(*) AS n_matches FROM regioned GROUP BY k, region),
 wide AS (
   SELECT k, region, t, n_matches,
-    a - CASE WHEN regexp_matches(substring(t, 1, a), '\S\s+\S*\z') OR regexp_matches(substring(t, 1, a), '\A\S+\s+\z') THEN length(regexp_extract(substring(t, 1, a), '(?:\S+\s+){{0,{words}}}\S*\z')) ELSE 0 END AS s,
+    a - CASE WHEN regexp_matches(substring(t, a, 2), '\A\S\s') THEN length(regexp_extract(substring(t, 1, a), '(?:\S+\s+){{0,{words - 1}}}\S+\z')) WHEN regexp_matches(substring(t, 1, a), '\S\s+\S*\z') OR regexp_matches(substring(t, 1, a), '\A\S+\s+\z') THEN length(regexp_extract(substring(t, 1, a), '(?:\S+\s+){{0,{words}}}\S*\z')) ELSE 0 END AS s,
     b + length(regexp_extract(substring(t, b + 1), '\A(?:\s*\S+){{0,{words}}}')) AS e
   FROM regions),
 reach AS (SELECT *, max(e) OVER (PARTITION BY k ORDER BY region ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM wide),

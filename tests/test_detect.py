@@ -1,12 +1,19 @@
 """Detectors, overlaps, contexts: our own sentences and what is found in them."""
 
 import random
+import re
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from prosegauge.functions import finders
+from prosegauge.functions.phrases import phrase
+from prosegauge.jobs import corpus
 from prosegauge.operators import catalog, detect
+from prosegauge.operators.grade import grade
+from prosegauge.operators.page_scan import node_rows, scan_pages
+from prosegauge.sources.seeds import SENTENCES
 
 # (detector, sentence, finds, items of each counted find)
 CASES = [
@@ -90,12 +97,68 @@ CASES = [
     ("staccato-fragments", "Bold. Clear. Ready now.", 1, [3]),
     ("staccato-fragments", "See Dr. Then St. Now vol.", 0, []),
     ("no-chain", "éno rush, éno noise", 0, []),
+    ("no-chain", "There is no a, no ", 1, [1]),
+    ("not-just", "It's a lamp, not a mirror.", 1, None),
+    ("not-just", "The dog's a friend, not the owner", 1, None),
+    ("not-just", "’s a lamp, not a mirror.", 0, None),
+    ("did-not-chain", "She did not wait; she left.", 0, []),
+    ("whole", "That was a whole day.", 0, None),
+    ("dont-verb-it", "Don't fear it. We fear nothing.", 0, None),
+    ("sit-with", "They sit with friends.", 0, None),
+    ("is-the-entire", "She read the entire book.", 0, None),
+    ("the-entire-is", "The entire plan of ours for the next two years is new.", 0, None),
+    ("punchline", "A punchline came.", 0, None),
+    ("not-nothing", "There is nothing.", 0, None),
+    ("is-the-whole", "Here lies the whole list.", 0, None),
+    ("thats-the-part", "The part fits.", 0, None),
+    ("the-only-i-trust", "The only tool is here.", 0, None),
+    ("take-my-word", "They take my word.", 0, None),
+    ("fits-in-your-head", "The hat fits your head.", 0, None),
+    ("colon-triple", "We need two: red paint and blue paint.", 0, None),
+    ("heres-the-twist", "Here's the twisted road.", 0, None),
+    ("x-is-dead", "The old deadline is near.", 0, None),
+    ("thats-why-mattered", "That is why they left. It mattered.", 0, None),
+    ("stranded-auxiliary", "Some left; the others never did it.", 0, None),
+    ("chat-boilerplate", "He certainly came.", 0, None),
+    ("scene-setting", "In the world of birds, we wait.", 0, None),
+    ("journey-metaphor", "They went on a journey.", 0, None),
+    ("dive-in", "A deep lake.", 0, None),
+    ("hype-buzzwords", "The game changed.", 0, None),
+    ("conclusion-wrapper", "The book in summary, was good.", 0, None),
+    ("cataphoric-teaser", "Here is what they sell: bread.", 1, None),
+    ("hook-opener", "It is the worst weather of all.", 0, None),
+    ("false-authority", "The study shows it.", 0, None),
+    ("corporate-buzzwords", "A framework of steel.", 0, None),
+    ("fiction-slop", "He spoke in a whisper.", 0, None),
+    ("something-for-everyone", "There is something for you.", 0, None),
+    ("verb-inflation", "An initiative began.", 0, None),
+    ("hedge-stack", "It may rain.", 0, None),
+    ("pseudo-wisdom", "Everything takes time.", 0, None),
+    ("note-that", "It is a note that fell.", 0, None),
+    ("testament", "The old testament.", 0, None),
+    ("crucial-role", "A role was played.", 0, None),
+    ("landscape", "A green landscape.", 0, None),
+    ("vague-experts", "The experts met.", 0, None),
+    ("despite-challenges", "Despite the rain, we go.", 0, None),
+    ("participle-tail", "It fell, highlighting nothing.", 0, None),
+    ("promo", "The bird nestled.", 0, None),
+    ("copulative-avoidance", "She serves tea.", 0, None),
+    ("vague-association", "The association met.", 0, None),
+    ("canned-notability", "It gained weight.", 0, None),
+    ("topic-announcement", "The topic changed.", 0, None),
+    ("ineffability", "A thing that no bird eats.", 0, None),
+    ("transition-openers", "It was, moreover, wet.", 0, None),
+    ("shapes-discussions", "It started a fire.", 0, None),
+    ("primary-source", "The official opened it.", 0, None),
+    ("literary-slop", "A star of lights.", 0, None),
+    ("performative-honesty", "To be sure, it rained.", 0, None),
+    ("staccato-fragments", "Bold. Clear.", 0, []),
 ]
 
 
 @pytest.mark.parametrize(("pattern_id", "text", "n", "items"), CASES)
 def test_cases(pattern_id, text, n, items):
-    found = finders.find(text, [pattern_id])
+    found = finders.find_by_id(text, [pattern_id])
     assert len(found) == n
     if items is not None:
         assert [f.item_count for f in found] == items
@@ -111,8 +174,8 @@ def test_every_detector_has_a_case_and_a_row(spark):
 
 def test_blanks_edges_and_prefix():
     assert [(f.start, f.end) for f in finders.find("in order to go", ["verb-inflation"])] == [(0, 11)]
-    assert finders.find("Right. Moreover, so.", ["transition-openers"])[0][:2] == (5, 16)
-    assert finders.find("Done.\nTurns out", ["turns-out"])[0][:2] == (4, 15)
+    assert finders.find_by_id("Right. Moreover, so.", ["transition-openers"])[0][:2] == (5, 16)
+    assert finders.find_by_id("Done.\nTurns out", ["turns-out"])[0][:2] == (4, 15)
 
 
 def test_resolve_keeps_the_earliest_then_the_longest():
@@ -140,7 +203,7 @@ def test_scan_rows_contexts(spark):
     assert sorted(r.n_matches for r in scanned.collect()) == [0, 0, 1, 1]
     m = detect.match_rows(scanned, ["doc_id"]).first()
     assert (m.pattern_id, m.snippet, m.match_id) == ("fits-in-your-head", "It just works", 0)
-    c = detect.contexts(scanned, ["doc_id"]).first()
+    c = detect.contexts(docs, ["doc_id"]).first()
     assert c.context.split()[0] == "w18" and c.context.split()[-1] == "v11" and c.n_matches == 1
     counts = detect.per_pattern(scanned, ["doc_id"]).first().per_pattern
     assert len(counts) == 63 and sum(counts.values()) == 1
@@ -161,17 +224,17 @@ def test_whole_texts_are_scanned(spark):
     scanned = detect.scan(docs)
     m = detect.match_rows(scanned, ["doc_id"]).collect()
     assert [(r.pattern_id, r.start) for r in m] == [("fits-in-your-head", 600_000)] and not scanned.first().truncated
-    assert detect.contexts(scanned, ["doc_id"]).first()["end"] == len(text)
+    assert detect.contexts(docs, ["doc_id"]).first()["end"] == len(text)
 
 
 @pytest.mark.parametrize("pattern_id", ["is-real", "dont-verb-it", "not-just"])
 def test_far_finders_find_what_the_regex_finds(pattern_id):
     words = ["is", "real", "the", "a", "and", "not", "it", "estate", "don't", "do not", "do", "just", "of", "but", "also", "only", ",", ".", "\n", "Verb", "is real", "and it", "don't do it", ", do it", ". just do it", "not just"]
-    rng, n = random.Random(7), 0
+    rng, n, whole = random.Random(7), 0, finders.python_regex(catalog.compiled(pattern_id).java)
     for _ in range(4000):
         text = "".join(rng.choice(words) + rng.choice(["", " ", " ", " "]) for _ in range(rng.randint(4, 40)))
-        spans = [m.span() for m in finders._regex(pattern_id).finditer(text)]
-        assert [f[:2] for f in finders.find(text, [pattern_id])] == spans
+        spans = [m.span() for m in whole.finditer(text)]
+        assert [f[:2] for f in finders.find_by_id(text, [pattern_id])] == spans
         n += len(spans)
     assert n > 20
 
@@ -179,15 +242,69 @@ def test_far_finders_find_what_the_regex_finds(pattern_id):
 @pytest.mark.parametrize(("unit", "pattern_id"), [("is real ", "is-real"), ("don't do it ", "dont-verb-it"), ("not only ", "not-just")])
 def test_sentences_without_end_are_searched_once(unit, pattern_id):
     text, began = "But and. " + unit * 100_000, time.time()  # the anchors are there, the ends are not
-    finders.find(text, [pattern_id])
+    finders.find_by_id(text, [pattern_id])
     assert time.time() - began < 10
 
 
-@pytest.mark.parametrize("unit", ["a ", "no ", "word, ", "it is a real ", "perhaps x "])
+@pytest.mark.parametrize("unit", ["a ", "no ", "no a, ", "word, ", "it is a real ", "perhaps x ", "Don't do it ", "did not ", "in a ", "x.", "? "])
 def test_hostile_texts_end(unit):
+    """All default detectors together, within what each of them may take."""
     text, began = (unit * (200_000 // len(unit))), time.time()
-    finders.find(text, detect.default_ids())
-    assert time.time() - began < 30
+    finders.find_by_id(text, detect.default_ids())
+    assert time.time() - began < 3
+
+
+def test_contradictory_edges_are_refused():
+    with pytest.raises(ValueError, match="phrases of their own"):
+        phrase("(is|<['’]s>) the")
+
+
+def test_each_seed_holds_its_detector():
+    for pattern_id, text in zip(catalog.ALL.ids, SENTENCES, strict=True):
+        assert pattern_id in {catalog.ALL.ids[f.ordinal] for f in finders.find("Some words.\n" + text, catalog.ALL.chosen(catalog.ALL.ids))}
+
+
+def test_chains_and_runs_against_plain_regexes():
+    """Linear searches against what the definitions' regexes find."""
+    rng = random.Random(3)
+    words = ["no ", "no-", "did not ", "didn't ", "rush", ", ", "; ", "and ", "or ", "x", "a. ", "Yes. ", "Maybe ", "? ", "\n", " - ", "  ", "Bold. ", "...", "— "]
+    for _ in range(3000):
+        text = "".join(rng.choice(words) for _ in range(rng.randrange(3, 30)))
+        for pattern_id in ("no-chain", "did-not-chain"):
+            spans = [finders._trimmed(text, *m.span(), left=False) for m in finders.python_regex(catalog.compiled(pattern_id).java).finditer(text)]
+            assert [f[:2] for f in finders.find_by_id(text, [pattern_id])] == spans
+        assert [*finders._closed(text, "[.!?]+", 4)] == [m.span() for m in re.finditer(r"[^.!?\n]{1,4}[.!?]+", text)]
+
+
+def test_one_python_evaluation_a_plan(spark):
+    docs = spark.createDataFrame([(1, "It just works.")], "doc_id long, text string")
+    web = spark.createDataFrame([(1, "http://a.org", "<p>It just works.</p>")], "page_id long, url string, html string")
+    own = {
+        "matches": corpus.match_table(docs), "contexts": detect.contexts(docs, ["doc_id"]), "densest": corpus.densest(detect.scan(docs)), "counts": corpus.counts(docs, ["doc_id"]),
+        "match_at": detect.matches_at(docs.select("doc_id", F.lit(3).alias("pos")), detect.match_rows(detect.scan(docs), ["doc_id"])), "nodes": node_rows(scan_pages(web), ["page_id"]),
+    }
+    for name, frame in own.items():
+        plan = frame._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        assert len(re.findall(r"ArrowEvalPython|MapInPandas", plan)) == 1, name
+        assert frame.count() >= 1
+
+
+def test_a_users_detectors(spark):
+    own = catalog.ALL.added(catalog.Detector("boats", "own", "boats", specs=("(boat|ship)[s]",)), catalog.Detector("digits", "own", "digits", "function", function=lambda t: [(i, i + 1, None) for i, c in enumerate(t) if c.isdigit()]))
+    docs = spark.createDataFrame([(1, "Two ships, 1 boat, it just works."), (2, None)], "doc_id long, text string")
+    counted = {r.pattern_id: r.hits for r in corpus.counts(docs, [], own.ids, own).collect() if r.hits}
+    assert counted == {"boats": 2, "digits": 1, "fits-in-your-head": 1}
+    assert {(r["group"], r.pattern_id): (r.hits, r.docs) for r in corpus.rollup(detect.scan(docs, own.ids, among=own), own).collect()}["own", None] == (3, 1)
+    with pytest.raises(ValueError, match="same pattern_id"):
+        own.added(catalog.Detector("whole", "own", ""))
+
+
+def test_sinks(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "en", "It just works in connection with it."), (2, None, "x")], "doc_id long, lang string, text string")
+    corpus.write_matches(corpus.match_table(docs), str(tmp_path / "m"))
+    assert {(r["group"], r.lang) for r in spark.read.parquet(str(tmp_path / "m")).collect()} == {("tic", "en"), ("wiki", "en")}
+    corpus.write_grades(grade(docs), str(tmp_path / "g"))
+    assert spark.read.parquet(str(tmp_path / "g")).where("tier = 'low'").count() == 2
 
 
 def test_empty_table(spark):
@@ -202,4 +319,4 @@ def test_a_phrase_as_columns_finds_the_same(spark):
     texts = ["In order to utilize it, prior to that.", "none", "", None, "a number of é things in order  to"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
     for r in docs.select("text", phrase_spans(docs.text, own).alias("s")).collect():
-        assert [(x.start, x.end) for x in r.s or []] == [f[:2] for f in finders.find(r.text, ["verb-inflation"])]
+        assert [(x.start, x.end) for x in r.s or []] == [f[:2] for f in finders.find_by_id(r.text, ["verb-inflation"])]

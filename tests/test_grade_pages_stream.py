@@ -38,6 +38,33 @@ def test_flatten():
     assert pages.flatten_html(None) == ("", [], 0, 0)
 
 
+def test_an_unclosed_head_ends_at_the_body():
+    for head in ("<html><head><title>T</title>", "<head><meta charset=utf-8><title>T</title>", "<html><head><title>T</title><body>", "<title>T</title>"):
+        assert pages.flatten_html(head + "<h1>Hello</h1><p>there")[0] == "Hello\nthere"
+
+
+def test_unicode_blanks_part_sentences_and_words_of_openers(spark):
+    rows = [(1, "One is here.\u00a0Two is there.\u2003However's odd. ’Moreover so. However, yes. " + "It\u00a0is late. " * 10)]
+    r = grade(spark.createDataFrame(rows, "doc_id long, text string")).first()
+    assert r.n_sentences == 15
+    long = spark.createDataFrame([(1, rows[0][1] + "word " * 150)], "doc_id long, text string")
+    by = {s.key: s for s in grade(long).first().signals}
+    assert by["transitions"].value == 1 / 16 and by["expletives"].value == 10 / 16 and by["expletives"].display == "63% of the sentences"
+
+
+def test_pages_in_one_pass_agree_with_joins(spark):
+    from prosegauge.operators import detect
+    from prosegauge.operators.page_scan import node_rows, scan_pages
+
+    html = ["<p>It just <b>works</b>, and it <i>just works</i>.</p><p>It just</p><p>works, in order to</p>", "<div hidden>it just works</div><p>In <i>order</i> to go", None, ""]
+    table = spark.createDataFrame([(i, f"http://a{i}.org", h) for i, h in enumerate(html)], "page_id long, url string, html string")
+    flat = pages.flatten(table)
+    joined = pages.in_segments(detect.match_rows(detect.scan(flat), ["page_id"]), pages.segment_rows(flat, ["page_id"]))
+    own = node_rows(scan_pages(table), ["page_id"])
+    names = own.columns
+    assert sorted(map(tuple, own.collect())) == sorted(map(tuple, joined.select(*names).collect())) and own.count() == 5
+
+
 def test_urls(spark):
     rows = [(1, "HTTPS://u:p@Ex.org:443/a"), (2, "http://ex.org:8080?q"), (3, "ftp://x"), (4, None), (5, " ex.org/p ")]
     df = spark.createDataFrame(rows, "page_id long, url string")
@@ -65,6 +92,21 @@ def test_stream(spark, tmp_path):
     q.awaitTermination()
     got = stream.current(spark, str(tmp_path / "out")).collect()
     assert [(r.page_id, r.n_matches) for r in got] == [(1, 1)]
+    # Later batches replace a page's grade, older versions don't, and other pages stay.
+    for k, (page, at, html) in enumerate([(1, t + timedelta(seconds=9), "<p>Fine.</p>"), (1, t, "<p>It just works.</p>"), (3, t, "<p>In order to.</p>")]):
+        spark.createDataFrame([(page, at, "http://a.org", html)], stream.VERSIONS).write.mode("append").parquet(str(tmp_path / "in"))
+        stream.upsert_grades(stream.versions(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "c"), spark.createDataFrame([("http://a.org",)], "origin string")).awaitTermination()
+    assert sorted((r.page_id, r.n_matches) for r in stream.current(spark, str(tmp_path / "out")).collect()) == [(1, 0), (3, 1)]
+
+
+def test_pattern_monitor_counts_by_window(spark, tmp_path):
+    t = datetime(2024, 1, 1)
+    rows = [(1, t, "http://a.org", "<p>It just works. It just works.</p>"), (2, t + timedelta(minutes=1), "http://a.org", "<p>It just works in order to.</p>"), (3, t + timedelta(minutes=30), "http://a.org", "<p>x</p>")]
+    spark.createDataFrame(rows, stream.VERSIONS).write.parquet(str(tmp_path / "in"))
+    frame = stream.pattern_monitor(stream.versions(spark, str(tmp_path / "in")), late="0 seconds")
+    frame.writeStream.format("parquet").outputMode("append").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    got = {(r.pattern_id, r.hits, r.n_pages) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {("fits-in-your-head", 3, 2), ("verb-inflation", 1, 1)}
 
 
 def test_corpus_counts_against_matches(spark):
