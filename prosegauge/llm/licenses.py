@@ -19,24 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .decontaminate import WORD, fold
+from .license_texts import TEMPLATES
 
 #: Phrases and their labels.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
-#: Templates by label, with the wording that the notices of these licenses share.
-TEMPLATES = {
-    "mit": ["<<opt>>released|licensed|distributed|available<</opt>> under <<opt>>the terms of<</opt>> the mit license", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software"],
-    "apache-2.0": ["<<opt>>this <<var:3>> is<</opt>> licensed under the apache license <<opt>>version<</opt>> 2.0", "you may not use this file except in compliance with the license you may obtain a copy of the license at <<opt>>http|https<</opt>> www apache org licenses license 2 0"],
-    "gpl-2.0": ["<<opt>>this <<var:3>> is<</opt>> <<opt>>licensed|released|distributed<</opt>> under <<opt>>the terms of<</opt>> the gnu general public license <<opt>>as published by the free software foundation<</opt>> <<opt>>either<</opt>> version 2"],
-    "gpl-3.0": ["<<opt>>this <<var:3>> is<</opt>> <<opt>>licensed|released|distributed<</opt>> under <<opt>>the terms of<</opt>> the gnu general public license <<opt>>as published by the free software foundation<</opt>> <<opt>>either<</opt>> version 3"],
-    "cc-by-4.0": ["<<opt>>this <<var:3>> is<</opt>> licensed under <<opt>>a|the<</opt>> cc by 4.0", "licensed under <<opt>>a|the<</opt>> creative commons attribution 4.0 <<opt>>international<</opt>> license"],
-    "cc-by-sa-4.0": ["<<opt>>this <<var:3>> is<</opt>> licensed under <<opt>>a|the<</opt>> cc by sa 4.0", "licensed under <<opt>>a|the<</opt>> creative commons attribution sharealike 4.0 <<opt>>international<</opt>> license"],
-    "cc-by-nc-4.0": ["<<opt>>this <<var:3>> is<</opt>> licensed under <<opt>>a|the<</opt>> cc by nc 4.0", "licensed under <<opt>>a|the<</opt>> creative commons attribution noncommercial 4.0 <<opt>>international<</opt>> license"],
-    "bsd": ["redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"],
-    "isc": ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"],
-    "mpl-2.0": ["this source code form is subject to the terms of the mozilla public license v <<opt>>version<</opt>> 2.0"],
-    "unlicense": ["this is free and unencumbered software released into the public domain"],
-}
 _MARK = re.compile(r"<<(/?opt|var:\d+)>>|([^<\s]+)")
 
 
@@ -120,6 +107,23 @@ def accepts(a: Automaton, words: list[str], start: int) -> int | None:
     return end
 
 
+def regex(markup: str) -> tuple[str, int]:
+    """(RE2 regex over words set between single blanks, mandatory words) of a template: what its automaton accepts, for the SQL check."""
+    out, depth, mandatory = "", 0, 0
+    for m in _MARK.finditer(markup):
+        if m[1] == "opt":
+            out, depth = out + "(?:", depth + 1
+        elif m[1] == "/opt":
+            out, depth = out + ")?", depth - 1
+        elif m[1]:
+            out += f"(?:[^ ]+ ){{0,{m[1][4:]}}}"
+        else:
+            rows = [WORD.findall(fold(x)) for x in m[2].split("|")]
+            out += "(?:" + "|".join(" ".join(words) + " " for words in rows) + ")"
+            mandatory += 0 if depth else len(rows[0])
+    return f" {out}", mandatory
+
+
 class Scanner:
     """All templates and phrases over a document. A template is tried wherever a word stands that it can begin with."""
 

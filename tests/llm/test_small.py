@@ -1,6 +1,7 @@
 """Each operator on small tables: nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns; brute force where SQL can't say."""
 
 import random
+import re
 import zlib
 
 import numpy as np
@@ -335,3 +336,44 @@ def test_pipeline_near_duplicates_reach_0_8(spark):
     for (x, a), (y, b) in zip(rows[::2], rows[1::2], strict=True):
         assert x in left and (y in left) == (similarity(shingles(a), shingles(b)) < 0.8)
     assert 500 not in left and {501, 503} <= left and 502 not in left
+
+
+def plain_text(markup, keep, rng):
+    """A text that a template stands for: with or without its optional parts, some words for its replaceable ones."""
+    out, depth, skip = [], 0, 0
+    for m in licenses._MARK.finditer(markup):
+        if m[1] == "opt":
+            depth += 1
+            skip = skip or (0 if keep else depth)
+        elif m[1] == "/opt":
+            skip = 0 if skip == depth else skip
+            depth -= 1
+        elif not skip:
+            out.append(" ".join(["holder"] * rng.randrange(1, int(m[1][4:]) + 1)) if m[1] else rng.choice(m[2].split("|")).title())
+    return rng.choice([" ", "\n", ", "]).join(out)
+
+
+def test_licenses_against_regexes_and_whole_texts(spark):
+    rng, texts = random.Random(13), []
+    for label, templates in licenses.TEMPLATES.items():
+        for t in templates:
+            for keep in (True, False):
+                own = f"Copyright 2020 A. Holder. {plain_text(t, keep, rng)} end"
+                words = own.split()
+                at = words[rng.randrange(5, len(words) - 1)]
+                texts += [(label, own), (None, own.replace(at, "altered", 1))]
+    rows = [(i, x) for i, (_, x) in enumerate(texts)] + [(9000, None), (9001, ""), (9002, "cc by cc by. CC-BY"), (9003, "The MIT License the mit license")]
+    got = {r.doc_id: r.license for r in licenses.scan(spark.createDataFrame(rows, DOCS)).collect()}
+    for i, (label, _) in enumerate(texts):
+        assert label is None or label in got[i].labels
+    compiled = [(label, *licenses.regex(t)) for label, ts in licenses.TEMPLATES.items() for t in ts]
+    for i, x in rows:
+        words = decontaminate.WORD.findall(decontaminate.fold(x or ""))
+        joined = f" {' '.join(words)} "
+        places = [(k, label) for p, label in licenses.PHRASES.items() for k in range(len(words)) if words[k : k + len(p.split())] == p.split()]
+        hits = [(label, n) for label, rx, n in compiled if re.search(rx, joined)]
+        best = max((n for _, n in hits), default=0)
+        want = (len(words), len(places), min(places)[0] if places else None, max(places)[0] if places else None, sorted({x for _, x in places}), sorted({x for _, x in places} | {x for x, _ in hits}))
+        r = got[i]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, list(r.base_labels), list(r.labels)) == want
+        assert r.score == (1 - 1 / (1 + best) if best else 0.5 if places else 0.0)
