@@ -79,14 +79,14 @@ WITH d AS (
 t AS (SELECT doc_id, w, ' ' || array_to_string(w, ' ') || ' ' AS j FROM d),
 phrases(phrase, n, label) AS (VALUES {phrases}),
 places AS (
-  SELECT doc_id, label, i - 1 AS at FROM (SELECT doc_id, w, phrase, n, label, unnest(range(1, len(w) + 1)) AS i FROM t, phrases WHERE contains(j, phrase))
+  SELECT doc_id, label, i - 1 AS place FROM (SELECT doc_id, w, phrase, n, label, unnest(range(1, len(w) + 1)) AS i FROM t, phrases WHERE contains(j, phrase))
   WHERE array_to_string(w[i : i + n - 1], ' ') = phrase),
 templates(label, rx, n) AS (VALUES {templates}),
 matched AS (SELECT doc_id, label, n FROM t, templates WHERE regexp_matches(j, rx)),
 every AS (SELECT doc_id, label FROM places UNION SELECT doc_id, label FROM matched)
 SELECT d.doc_id, len(w) AS n_words, coalesce(p.n_base, 0) AS n_base, p.first_word, p.last_word, coalesce(p.base_labels, '') AS base_labels, coalesce(b.labels, '') AS labels,
   CASE WHEN m.most IS NOT NULL THEN 1 - 1 / (1 + m.most) WHEN p.n_base > 0 THEN 0.5 ELSE 0.0 END AS score
-FROM d LEFT JOIN (SELECT doc_id, count(*) AS n_base, min(at) AS first_word, max(at) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM places GROUP BY doc_id) p USING (doc_id)
+FROM d LEFT JOIN (SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM places GROUP BY doc_id) p USING (doc_id)
   LEFT JOIN (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS labels FROM every GROUP BY doc_id) b USING (doc_id) LEFT JOIN (SELECT doc_id, CAST(max(n) AS DOUBLE) AS most FROM matched GROUP BY doc_id) m USING (doc_id)
 """
 
