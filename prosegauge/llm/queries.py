@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, decontaminate, huffman, langid, licenses, line_dedup, simhash, token_counts, toxicity
+from . import ann, bpe, clustering, decontaminate, huffman, langid, licenses, line_dedup, prefix_trie, simhash, token_counts, toxicity
 from .common import fresh_path, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -166,3 +166,78 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     counted = token_counts.count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model"))
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
+
+
+@query
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster of every vector after five rounds from forty starting vectors."""
+    return clustering.digest(clustering.cluster(read(spark, sf_dir, "embeddings"), k=40, rounds=5, dims=64, scale=256, salt="2"))
+
+
+def _centroids_sql(k: int = 40, rounds: int = 5, dims: int = 64) -> str:
+    """The rounds one after the other, over distinct vectors: assigned by the smallest (distance, number), means floored exactly."""
+    far = f"list_sum(list_transform(range(1, {dims + 1}), lambda i: (v.q[i] - c.q[i]) * (v.q[i] - c.q[i])))"
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"m{r} AS MATERIALIZED (SELECT v.q, v.n, min(struct_pack(d := CAST({far} AS BIGINT), c := c.c)) AS best FROM v, c{r} c GROUP BY v.q, v.n)")
+        if r < rounds:
+            mean = "CAST((s - ((s % w) + w) % w) // w AS BIGINT)"
+            sums = f"SELECT best.c AS c, i, sum(q[i] * n) AS s, sum(n) AS w FROM m{r}, (SELECT unnest(range(1, {dims + 1})) AS i) GROUP BY ALL"
+            steps.append(f"c{r + 1} AS MATERIALIZED (SELECT o.c, coalesce(z.q, o.q) AS q FROM c{r} o LEFT JOIN (SELECT c, list({mean} ORDER BY i) AS q FROM ({sums}) GROUP BY c) z ON z.c = o.c)")
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+  WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dims}),
+v AS MATERIALIZED (SELECT q, count(*) AS n FROM kept GROUP BY q),
+c0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY h) - 1 AS INTEGER) AS c, q FROM (SELECT sha256('2:' || vec_id) AS h, q FROM kept ORDER BY h LIMIT {k})),
+{", ".join(steps)},
+own AS (SELECT best.c AS c, CAST(sum(best.d * n) AS BIGINT) AS cluster_inertia FROM m{rounds} GROUP BY ALL)
+SELECT kept.vec_id, m.best.c AS cluster, m.best.d AS distance, own.cluster_inertia, (SELECT CAST(sum(best.d * n) AS BIGINT) FROM m{rounds}) AS inertia,
+  sha256(array_to_string(list_transform(c.q, lambda x: CAST(x AS VARCHAR)), ',')) AS centroid_sha256
+FROM kept JOIN m{rounds} m USING (q) JOIN own ON own.c = m.best.c JOIN c{rounds} c ON c.c = m.best.c
+"""
+
+
+ORACLE_SQL["op11_centroids"] = _centroids_sql()
+
+
+# @query
+def op12_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probability of every document under a bigram model of those that are not held out."""
+    return interpolation.score(read(spark, sf_dir, "documents"), order=2, folds=10)
+
+
+@query
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the trie of conversations, each of which opens like the first of its hundred."""
+    turns, convs = prefix_trie.borrowed(prefix_trie.ordered(read(spark, sf_dir, "conversations")))
+    return prefix_trie.trie(turns, convs)
+
+
+#: The polynomial's division, bit by bit, over the digits of a number.
+_CRC32 = "xor(list_reduce(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)), lambda a, b: list_reduce(range(8), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, xor(a, b)), CAST(4294967295 AS BIGINT)), 4294967295)"
+#: Paths as texts; a subtree is what members pass through from a node on.
+ORACLE_SQL["op13_prefix_trie"] = """
+WITH turns AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) - 1 AS pos,
+    length(coalesce(role, '')) || ':' || coalesce(role, '') || length(coalesce(text, '')) || ':' || coalesce(text, '') AS said, length(coalesce(text, '')) AS n
+  FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (SELECT conv_id, %s %% 6 AS h FROM (SELECT DISTINCT conv_id FROM turns)),
+rebuilt AS (
+  SELECT c.conv_id, t.pos, said, n FROM convs c JOIN turns t ON t.conv_id = c.conv_id - c.conv_id %% 100 AND t.pos < c.h
+  UNION ALL SELECT c.conv_id, t.pos, said, n FROM convs c JOIN turns t ON t.conv_id = c.conv_id AND t.pos >= c.h),
+path AS (
+  SELECT conv_id, row_number() OVER w AS depth, string_agg(said, '') OVER w AS key, n FROM rebuilt WINDOW w AS (PARTITION BY conv_id ORDER BY pos)
+  UNION ALL SELECT conv_id, 0, '', 0 FROM convs),
+last AS (SELECT conv_id, max(depth) AS len FROM path GROUP BY conv_id),
+node AS MATERIALIZED (
+  SELECT depth, key, min(conv_id) AS conv_id, any_value(n) AS n, count(*) AS n_convs, string_agg(CASE WHEN len = depth THEN conv_id END, ',' ORDER BY conv_id) AS ends, max(len) AS deepest
+  FROM path JOIN last USING (conv_id) GROUP BY depth, key),
+parts AS (SELECT DISTINCT a.depth, a.key, b.key AS up FROM path a JOIN path b ON a.conv_id = b.conv_id AND b.depth = a.depth - 1),
+below AS (SELECT DISTINCT a.depth, a.key, b.depth AS d2, b.key AS k2 FROM path a JOIN path b ON a.conv_id = b.conv_id AND b.depth >= a.depth),
+sums AS (
+  SELECT b.depth, b.key, CAST(count(*) FILTER (WHERE d2 = b.depth + 1) AS BIGINT) AS n_children, CAST(count(*) FILTER (WHERE x.deepest = x.depth) AS BIGINT) AS n_leaves, CAST(sum((x.n_convs - 1) * x.n) AS BIGINT) AS saved_tokens
+  FROM below b JOIN node x ON x.depth = b.d2 AND x.key = b.k2 GROUP BY b.depth, b.key)
+SELECT node.conv_id, CAST(node.depth AS BIGINT) AS depth, u.conv_id AS parent_conv_id, node.n_convs, n_children, n_leaves, saved_tokens, sha256(coalesce(node.ends, '')) AS ends_sha256
+FROM node JOIN sums USING (depth, key) LEFT JOIN parts USING (depth, key) LEFT JOIN node u ON u.depth = node.depth - 1 AND u.key = parts.up
+""" % _CRC32
