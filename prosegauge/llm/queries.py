@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, clustering, decontaminate, huffman, langid, licenses, line_dedup, prefix_trie, simhash, token_counts, toxicity
+from . import ann, bpe, clustering, decontaminate, huffman, interpolation, langid, licenses, line_dedup, prefix_trie, simhash, token_counts, toxicity
 from .common import fresh_path, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -201,7 +201,7 @@ FROM kept JOIN m{rounds} m USING (q) JOIN own ON own.c = m.best.c JOIN c{rounds}
 ORACLE_SQL["op11_centroids"] = _centroids_sql()
 
 
-# @query
+@query
 def op12_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log-probability of every document under a bigram model of those that are not held out."""
     return interpolation.score(read(spark, sf_dir, "documents"), order=2, folds=10)
