@@ -1,5 +1,6 @@
 """The pipeline's stages on small tables: nulls, empty texts, repeated rows, clashing columns, empty tables."""
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -64,3 +65,56 @@ def test_run_on_the_smallest_tables(spark):
     n = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
     got = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()
     assert 0.8 * n <= len(got) <= n and len({r.doc_id for r in got}) == len(got)
+
+
+def near_copy_components(texts, least=0.8):
+    """Brute force: every two texts' five-word shingles."""
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    ids: dict[tuple, int] = {}
+    flat = [[ids.setdefault(g, len(ids)) for g in s] for s in sets]
+    m = np.zeros((len(texts), len(ids)), np.float32)
+    for i, f in enumerate(flat):
+        m[i, f] = 1
+    both, n = m @ m.T, m.sum(1)
+    near = both >= least * (n[:, None] + n[None, :] - both) - 1e-3
+    root = np.arange(len(texts))
+    while True:
+        new = np.where(near, root[None, :], len(texts)).min(1)
+        if (new == root).all():
+            return root.tolist()
+        root = new
+
+
+@pytest.mark.parametrize("size", [150, 1500])
+def test_near_copies_of_one_text_lose_no_link(spark, size, monkeypatch):
+    from prosegauge.llm import near_copies
+
+    monkeypatch.setattr(near_copies, "APART", 16)  # several blocks
+    monkeypatch.setattr(near_copies, "ALL", 64)
+    rng = np.random.default_rng(size)
+    base, texts = [f"w{x}" for x in rng.integers(0, 5000, 300)], []
+    for i in range(size):
+        words = list(base)
+        for at in rng.choice(300, 4, replace=False):
+            words[at] = f"e{i}x{at}"
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = dict(map(tuple, near_copies.near_copies(docs).collect()))
+    want = near_copy_components(texts)
+    assert [got[i] for i in range(size)] == want and len(set(want)) < size / 3
+
+
+def test_a_group_that_hardly_links_is_held_in_full(spark, monkeypatch):
+    from prosegauge.llm import near_copies
+
+    monkeypatch.setattr(near_copies, "APART", 8)
+    monkeypatch.setattr(near_copies, "ALL", 16)
+    rng = np.random.default_rng(8)
+    base, texts = [f"w{x}" for x in rng.integers(0, 5000, 200)], []
+    for i in range(90):
+        words = list(base)
+        for at in rng.choice(40, 8, replace=False) * 5:  # mostly just below the similarity
+            words[at] = f"e{i % 30}x{at}"
+        texts.append(" ".join(words))
+    got = dict(map(tuple, near_copies.near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()))
+    assert [got[i] for i in range(90)] == near_copy_components(texts)
