@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prosegauge.llm import bpe, decontaminate, langid, line_dedup, near_copies
-from prosegauge.llm.common import read, settle
+from prosegauge.llm.common import lookup, read, settle, unused
 
 #: A document whose likeliest language has a lower calibrated probability has no clear language.
 LEAST_CLEAR = 0.3
@@ -53,7 +53,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     without words are copies of each other. Rows with a null doc_id stay.
     """
     found = settle(near_copies.near_copies(docs.select("doc_id", "text"), width=5, least=0.8), "near-duplicates")
-    out = docs.join(found.where("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    goes, rows = unused(docs.columns, "goes", "row")
+    again = found.where("doc_id <> component_id").select(F.col("doc_id"), F.lit(True).alias(goes)).distinct()
+    out = lookup(docs.select("doc_id", F.struct("*").alias(rows)), "doc_id", again, by=[rows]).where(F.col(goes).isNull()).select(f"{rows}.*")
     if found.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").isEmpty():
         return out
     one = out.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min_by(F.struct("*"), F.coalesce("text", F.lit(""))).alias("_row"))
