@@ -123,7 +123,9 @@ def encode(docs: DataFrame, path: str, head_bytes: int = HEAD_BYTES, pieces: Dat
     small_batches(docs.sparkSession)
     table = word_table(docs, path)
     kind = _kind(path)
-    held = docs.sparkSession.sparkContext.broadcast(_head(table, kind, head_bytes))
+    head = _head(table, kind, head_bytes)
+    whole, held = head.whole, docs.sparkSession.sparkContext.broadcast(head)
+    del head  # the driver needs it no more; asking held for its value would read it back
     schema = "doc_id long, ids array<int>" + ("" if pieces is None else ", decoded string")
     vocab = _held_pieces(pieces) if pieces is not None else None
 
@@ -143,7 +145,7 @@ def encode(docs: DataFrame, path: str, head_bytes: int = HEAD_BYTES, pieces: Dat
                 own, k = spread(starts, ids, places)
                 yield rows(doc_ids, own, per_document(sizes, k))
 
-    if held.value.whole:
+    if whole:
         return docs.mapInArrow(direct, schema)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, list[str], np.ndarray, Chunk]]:
