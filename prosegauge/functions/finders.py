@@ -23,6 +23,8 @@ COMMON_OPENERS = frozenset("i it the a an this that we you they he she there but
 ABBREVIATIONS = frozenset("dr mr mrs ms prof sr jr st inc ltd co corp vs etc approx est fig vol".split())
 _INK = re.compile(f"[^{JAVA_BLANK[1:-1]}]+")
 _HEAD, _LETTER, _GRAM = re.compile("[A-Za-z'’-]+"), re.compile("[A-Za-z]"), re.compile("[a-z0-9'’-]+")
+_RUN = re.compile(f"{JAVA_BLANK}+")
+_LONG_RUN = re.compile(f"{JAVA_BLANK}{{11,}}")
 _BLANKS = "".join(c for c in map(chr, range(0x10000)) if re.fullmatch(JAVA_BLANK, c))
 
 
@@ -165,24 +167,65 @@ def _again(d: Detector, _: tuple[str, ...], text: str) -> Iterator[tuple]:
 
 @lru_cache(maxsize=2)
 def _chain_parts(d: Detector) -> tuple[re.Pattern, ...]:
+    """An item's head at a word's edge; what joins items and the next head, without the blanks before it; a separator; a head."""
     head = CHAIN_HEADS[d.pattern_id]
-    return tuple(re.compile(with_blanks(r), re.IGNORECASE | re.ASCII) for r in (EDGE + head, CHAIN_PARTS + head, "[,.;:!?\n–—…]", CHAIN_PARTS, head))
+    joint = f"(?=((?P<sign>[,;&–—])\\s*(?:(?:and|or)\\s+)?{head}|(?<=\\s)(?:and|or|--?)\\s+{head}))"
+    return tuple(re.compile(with_blanks(r), re.IGNORECASE | re.ASCII) for r in (EDGE + head, joint, CHAIN_PARTS, head))
 
 
-def _chain(d: Detector, specs: tuple[str, ...], text: str) -> Iterator[tuple]:
-    """Chains are looked for only where a second item's head comes within reach, so that heads without one cost nothing."""
-    heads, joint, stop, parts, head = _chain_parts(d)
-    joints, stops, pos = _Ahead(joint, text), _Ahead(stop, text), 0
+class _Joint(NamedTuple):
+    first: int  # where the blanks before it begin
+    last: int  # the last place where the item before it may end
+    end: int
+
+
+def _chain(d: Detector, _: tuple[str, ...], text: str) -> Iterator[tuple]:
+    """What the phrase's regex finds, in linear time: joints are looked up, so that an item's body is never tried end by end.
+
+    An item's body takes as much as it can, up to 400 characters or a stop: the first joint is the last within reach, later ones begin where a body ends.
+    """
+    heads, joint, parts, head = _chain_parts(d)
+    joints = []
+    for m in joint.finditer(text):
+        at = m.start()
+        while at and text[at - 1] in _BLANKS and (not joints or at > joints[-1].last):
+            at -= 1
+        joints.append(_Joint(at, m.start() if m["sign"] else m.start() - 1, m.end(1)))
+    if not joints:
+        return
+    stops, lasts, pos = _Places(_fixed("[,.;:!?\n–—…]"), text), [j.last for j in joints], 0
+
+    def reach(body: int) -> int:
+        return min(body + 400, len(text), stops.at(body))
+
     for h in heads.finditer(text):
         if h.start() < pos:
             continue
-        j = joints.at(h.end())
-        if not j:
-            return
-        s = stops.at(h.end())
-        if j.start() - h.end() <= 400 and (not s or s.start() >= j.start() or s.start() < j.end()) and (m := _regex(d, specs).match(text, h.start())):
-            pos = m.end()
-            yield *_trimmed(text, *m.span(), left=False), sum(bool(head.match(x.strip(_BLANKS))) for x in parts.split(m[0]))
+        end, items = h.end(), 1
+        while True:
+            most = reach(end)
+            i = bisect_left(lasts, most)  # the joint whose blanks the body may end in
+            if not (i < len(joints) and joints[i].first <= most):
+                i -= 1
+                # Only the first item gives way for a joint that its body could run over.
+                if items > 1 or i < 0 or lasts[i] < end:
+                    break
+            end, items = joints[i].end, items + 1
+        if items > 1:
+            pos = reach(end)
+            own = _RUN.sub(" ", text[h.start() : pos])
+            yield *_trimmed(text, h.start(), pos, left=False), sum(bool(head.match(x.strip(_BLANKS))) for x in parts.split(own))
+
+
+class _Places:
+    """The first place of a sign from a position on."""
+
+    def __init__(self, regex: re.Pattern, text: str):
+        self.all, self.end = [m.start() for m in regex.finditer(text)], len(text)
+
+    def at(self, pos: int) -> int:
+        i = bisect_left(self.all, pos)
+        return self.all[i] if i < len(self.all) else self.end
 
 
 def _questions(d: Detector, specs: tuple[str, ...], text: str) -> Iterator[tuple]:
@@ -259,6 +302,47 @@ def _needs(d: Detector) -> tuple[tuple[str, tuple[str, ...]], ...]:
     return tuple((spec, phrase(spec, fold=d.fold).anchors) for spec in d.specs)
 
 
+#: Kinds that search a text whose blank runs are cut.
+_BY_REGEX = frozenset(["phrase", "far", "again", "questions"])
+_BOUND = re.compile(r"\{\d*,?(\d+)\}")
+
+
+@lru_cache(maxsize=4096)
+def _told_apart(d: Detector, specs: tuple[str, ...]) -> int:
+    """How many blanks in a row, from either side, these phrases can tell from more."""
+    return max([4, *(int(n) + 1 for n in _BOUND.findall(_regex(d, specs).pattern))])
+
+
+class _Shortened:
+    """A text whose long blank runs keep `each` blanks at either end, and their first and last line break between.
+
+    No phrase that counts up to `each` characters can tell it from the text. Places are carried back by the sorted table of what is kept.
+    """
+
+    def __init__(self, text: str, runs: list[tuple[int, int]], each: int):
+        kept, at = [], 0
+        for start, end in runs:
+            if end - start > 2 * each + 2:
+                a, b = start + each, end - each
+                lines = sorted({text.find("\n", a, b), text.rfind("\n", a, b)} - {-1})
+                for x, y in [*((i, i + 1) for i in lines), (b, b)]:
+                    kept.append((at, a))
+                    at, a = x, y
+                at = b
+        kept.append((at, len(text)))
+        self.text = text if len(kept) == 1 else "".join(text[a:b] for a, b in kept)
+        self.froms, self.tos, n = [], [], 0
+        for a, b in kept:
+            if b > a:
+                self.froms.append(n)
+                self.tos.append(a)
+                n += b - a
+
+    def back(self, at: int) -> int:
+        i = bisect_right(self.froms, at) - 1
+        return self.tos[i] + at - self.froms[i] if i >= 0 else at
+
+
 def find(text: str | None, chosen: Iterable[tuple[int, Detector]]) -> list[Find]:
     """All that these (ordinal, detector) find, in their order, overlaps included.
 
@@ -267,6 +351,7 @@ def find(text: str | None, chosen: Iterable[tuple[int, Detector]]) -> list[Find]
     if not text:
         return []
     low, out, seen = text.lower(), [], {}
+    runs, views = [m.span() for m in _LONG_RUN.finditer(text)], {}
 
     def there(anchors: Iterable[str]) -> bool:
         for a in anchors:
@@ -281,7 +366,13 @@ def find(text: str | None, chosen: Iterable[tuple[int, Detector]]) -> list[Find]
         if d.must_hold and not there(d.must_hold) or d.and_one_of and not there(d.and_one_of):
             continue
         specs = tuple([spec for spec, anchors in _needs(d) if not anchors or there(anchors)])
-        if specs or not d.specs:
+        if not specs and d.specs:
+            continue
+        if runs and d.kind in _BY_REGEX:
+            each = _told_apart(d, specs)
+            view = views[each] = views.get(each) or _Shortened(text, runs, each)
+            out += [Find(view.back(s), view.back(e), n, ordinal) for s, e, n in _KINDS[d.kind](d, specs, view.text)]
+        else:
             out += [Find(*found, ordinal) for found in _KINDS[d.kind](d, specs, text)]
     return out
 
