@@ -39,6 +39,12 @@ def with_blanks(raw: str) -> str:
     return "".join(out)
 
 
+BLANK, BLANKS, NO_BLANKS = r"\s", r"\s+", r"\s*"
+WORD_END, WORD_START = "(?![A-Za-z0-9_])", "(?<![A-Za-z0-9_])"
+#: A word's sign, a word that may hold hyphens and apostrophes, an apostrophe.
+WORD_SIGN, COMPOUND, QUOTE = r"\w", r"[\w'’-]+", "['’]"
+
+
 # Combinators for what the notation's words can't say. Each gives a raw part.
 def run(low: int, high: int, stops: str, lazy: bool = False) -> str:
     """low to high characters other than these."""
@@ -46,6 +52,26 @@ def run(low: int, high: int, stops: str, lazy: bool = False) -> str:
     return f"[^{inner}]{{{low},{high}}}{'?' if lazy else ''}"
 
 
+def gap(stops: str, lazy: bool = True) -> str:
+    """Any number of characters other than these."""
+    return run(0, 0, stops).split("{")[0] + ("*?" if lazy else "*")
+
+
+def made_of(signs: str, low: int, high: int) -> str:
+    """low to high of these signs."""
+    return f"[{signs}]{{{low},{high}}}"
+
+
+def several(item: str, low: int, high: int) -> str:
+    """low to high items parted by blanks, as few as do."""
+    return f"{item}(?:{BLANKS}{item}){{{low - 1},{high - 1}}}?"
+
+
+def led_by(most: int) -> str:
+    """Up to so many words before what follows, as few as do."""
+    return f"(?:{WORD_SIGN}+{BLANKS}){{0,{most}}}?"
+
+
 def one_of(*parts: str) -> str:
     return f"(?:{'|'.join(parts)})"
 
@@ -64,10 +90,6 @@ def ahead(*parts: str, but: bool = False) -> str:
     return f"(?{'!' if but else '='}{''.join(parts)})"
 
 
-BLANK, BLANKS, NO_BLANKS = r"\s", r"\s+", r"\s*"
-WORD_END, WORD_START = "(?![A-Za-z0-9_])", "(?<![A-Za-z0-9_])"
-
-
 def _dialects(raw: str) -> tuple[str, str]:
     """A raw part for Java and Python, and for RE2 with its own word edge."""
     re2 = raw
