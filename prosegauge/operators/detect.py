@@ -11,10 +11,11 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prosegauge.functions import finders
+from prosegauge.functions.spans import covering
 
 from .catalog import ALL, Catalogue
 
@@ -38,6 +39,30 @@ def nested(found: Iterable[finders.Find]) -> list[dict]:
     return [dict(zip(_NAMES, f, strict=True)) for f in found]
 
 
+def resolved(found: Column) -> Column:
+    """FOUND in order of start, then the longest, then the detectors' order; each is kept that begins no earlier than the last kept ended.
+
+    Built-in functions alone: one sort, and one fold whose state is the last
+    kept end and a byte a find (a fold copies its state at each step, so it
+    holds no finds), then a filter by these bytes.
+    """
+    each = F.array_sort(F.transform(found, lambda f: F.struct(f["start"].alias("start"), (-f["end"]).alias("back"), f["ordinal"].alias("ordinal"), f["item_count"].alias("item_count"))))
+    yes, no = F.lit(b"1"), F.lit(b"0")
+    state = lambda end, marks: F.struct(end.alias("end"), marks.alias("marks"))
+    step = lambda a, f: F.when(f["start"] >= a["end"], state(-f["back"], F.concat(a["marks"], yes))).otherwise(state(a["end"], F.concat(a["marks"], no)))
+    marks = lambda own: F.aggregate(own, state(F.lit(-1), F.lit(b"")), step, lambda a: a["marks"])
+    chosen = lambda x: F.filter(x["own"], lambda _, i: F.substring(x["marks"], i + 1, F.lit(1)) == yes)
+    # Each value is bound before it is used for all finds, so that it is worked out once.
+    bound = F.transform(F.array(each), lambda own: chosen_of(own, marks, chosen))
+    out = F.transform(F.element_at(bound, 1), lambda f: F.struct(f["start"].alias("start"), (-f["back"]).alias("end"), f["item_count"].alias("item_count"), f["ordinal"].alias("ordinal")))
+    return F.when(F.size(found) > 1, out).otherwise(found).cast(FOUND)
+
+
+def chosen_of(own: Column, marks, chosen) -> Column:
+    """chosen() of a struct of own and its marks."""
+    return F.element_at(F.transform(F.array(F.struct(own.alias("own"), marks(own).alias("marks"))), chosen), 1)
+
+
 def scan(docs: DataFrame, pattern_ids: Iterable[str] | None = None, cap: int | None = None, overlaps: bool = False, among: Catalogue = ALL) -> DataFrame:
     """docs with found (FOUND), truncated and n_matches. Whole texts are scanned, or only their first `cap` characters.
 
@@ -51,10 +76,10 @@ def scan(docs: DataFrame, pattern_ids: Iterable[str] | None = None, cap: int | N
     @F.pandas_udf(FOUND)
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
-            each = (finders.find(t, chosen) for t in s)
-            yield pd.Series([nested(x if overlaps else finders.resolve(x)) for x in each], dtype=object)
+            yield pd.Series([nested(finders.find(t, chosen)) for t in s], dtype=object)
 
     out = docs.withColumn("found", of.asNondeterministic()(F.col("text") if cap is None else F.substring("text", 1, cap)))
+    out = out if overlaps else out.withColumn("found", resolved(F.col("found")))
     return out.withColumn("truncated", F.lit(False) if cap is None else F.coalesce(F.char_length("text") > cap, F.lit(False))).withColumn("n_matches", F.size("found"))
 
 
@@ -80,9 +105,7 @@ def labelled(matches: DataFrame, among: Catalogue = ALL) -> DataFrame:
 
 def matches_at(probes: DataFrame, matches: DataFrame, key: str = "doc_id") -> DataFrame:
     """probes(key, pos) with the match that covers pos, or nulls: start <= pos < end. Resolved matches don't overlap, so there is one at most."""
-    p, m = probes.alias("p"), matches.alias("m")
-    on = (F.col(f"p.{key}") == F.col(f"m.{key}")) & (F.col("p.pos") >= F.col("m.start")) & (F.col("p.pos") < F.col("m.end"))
-    return p.join(m, on, "left").select("p.*", "m.match_id", "m.pattern_id", "m.start", "m.end")
+    return covering(probes, matches.select(key, "start", "end", "match_id", "pattern_id"), key, "left").select(*probes.columns, "match_id", "pattern_id", "start", "end")
 
 
 def context_windows(text: str | None, found: list[finders.Find], words: int = CONTEXT_WORDS) -> list[dict]:

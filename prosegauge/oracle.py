@@ -240,8 +240,8 @@ triads AS (
   FROM triples GROUP BY k)"""
 
 
-def graded_ctes(source: str) -> str:
-    """CTEs over source(k, t): sized(k, n_words, n_sentences, eligible, ...), signals(k, key, applicable, fired, value), graded(k, eligible, n_words, n_sentences, applicable_count, fired_count, tier)."""
+def graded_ctes(source: str, li_total: str = "NULL", li_bold: str = "NULL") -> str:
+    """CTEs over source(k, t), its list items told from k by li_total and li_bold: sized(k, n_words, n_sentences, eligible, ...), signals(k, key, applicable, fired, value), graded(k, eligible, n_words, n_sentences, applicable_count, fired_count, tier)."""
     contrasts = _LEFTMOST.replace("{spans}", _contrasts())
     opening = "replace(regexp_replace(regexp_extract(lower(s), '\\A\\w+(?:\\s+|[''’])\\w+'), '\\s+', ' '), '’', '''')"
     one = lambda key, value, applies, fires: f"SELECT k, '{key}' AS key, {applies} AS applicable, coalesce(({applies}) AND {fires}, false) AS fired, CAST({value} AS DOUBLE) AS value FROM sized WHERE eligible"
@@ -261,7 +261,7 @@ counted AS (
     CAST(regexp_matches(t, '[‘’“”]') AS INT) + CAST(contains(t, '…') OR contains(t, '...') AS INT) + CAST(contains(t, '—') AS INT) AS signs
   FROM parts),
 sized AS MATERIALIZED (
-  SELECT c.*, coalesce(u.contrasts, 0) AS contrasts, coalesce(x.triads, 0) AS triads, n_words >= 150 AND n_sentences >= 8 AS eligible,
+  SELECT c.*, coalesce(u.contrasts, 0) AS contrasts, coalesce(x.triads, 0) AS triads, CAST({li_total.replace("k", "c.k")} AS INTEGER) AS li_total, CAST({li_bold.replace("k", "c.k")} AS INTEGER) AS li_bold, n_words >= 150 AND n_sentences >= 8 AS eligible,
     CASE WHEN len(sw) >= 2 THEN list_stddev_pop(sw) / list_avg(sw) END AS scv, CASE WHEN len(pw) >= 2 THEN list_stddev_pop(pw) / list_avg(pw) END AS pcv
   FROM counted c LEFT JOIN turns u ON c.k = u.k LEFT JOIN triads x ON c.k = x.k),
 signals AS MATERIALIZED (
@@ -269,7 +269,7 @@ signals AS MATERIALIZED (
   UNION ALL {one('em-dash', 'dashes * 1000.0 / n_words', 'true', 'dashes * 1000.0 / n_words > 10')} UNION ALL {one('transitions', 'trans / n_sentences', 'true', 'trans / n_sentences > 0.1')}
   UNION ALL {one('expletives', 'expl / n_sentences', 'true', 'expl / n_sentences > 0.1')} UNION ALL {one('rule-of-three', 'triads * 1000.0 / n_words', 'true', '(triads >= 2 AND triads * 1000.0 / n_words > 5)')}
   UNION ALL {one('antithesis', 'contrasts * 1000.0 / n_words', 'true', '(contrasts >= 3 AND contrasts * 1000.0 / n_words > 5)')} UNION ALL {one('typography', 'signs', 'true', 'signs >= 3')}
-  UNION ALL {one('bold-list', 'NULL', 'false', 'false')}),
+  UNION ALL {one('bold-list', 'CASE WHEN li_total >= 3 THEN li_bold / li_total END', 'coalesce(li_total >= 3, false)', 'li_bold / li_total > 0.5')}),
 graded AS MATERIALIZED (
   SELECT z.k, z.eligible, CAST(z.n_words AS INTEGER) AS n_words, CAST(z.n_sentences AS INTEGER) AS n_sentences, CAST(coalesce(g.applicable, 0) AS INTEGER) AS applicable_count, CAST(coalesce(g.fired, 0) AS INTEGER) AS fired_count,
     CASE WHEN coalesce(g.fired, 0) >= 7 THEN 'high' WHEN coalesce(g.fired, 0) >= 5 THEN 'elevated' WHEN coalesce(g.fired, 0) >= 3 THEN 'some' ELSE 'low' END AS tier

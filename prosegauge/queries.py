@@ -46,10 +46,19 @@ def shared(spark: SparkSession, name: str) -> str:
     place = spark.conf.get("spark.checkpoint.dir", None)
     if not place:
         local = spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master
-        place = tempfile.mkdtemp(prefix="spark-prosegauge-") if local else spark.conf.get("spark.sql.warehouse.dir")
+        if not local:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        place = tempfile.mkdtemp(prefix="spark-prosegauge-")
     return f"{place.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df from a table in the shared folder: read more than once, worked out once."""
+    path = shared(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 _SEEDED = f"SELECT doc_id AS k, text AS t FROM ({seeded_sql()})"
 _MATCHES = f"WITH {found_ctes(_SEEDED)}"
 _DOCS = f"docs AS (SELECT *, len(regexp_extract_all(text, '\\S+')) AS n_words FROM ({seeded_sql()}))"
@@ -181,6 +190,18 @@ def group_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE_SQL["group_split"] = f"{_PER_DOC} SELECT doc_id, n_matches, false AS truncated, n_matches - n_wiki AS n_tic, n_wiki FROM per"
 
 
+@query
+def capped_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches in each document's first 2,000 characters, as a user asks for them who wants no more read, and whether it is longer."""
+    found = detect.scan(documents(spark, sf_dir), cap=2000)
+    return corpus.group_split(found, ["doc_id", "n_matches", "truncated"])
+
+
+ORACLE_SQL["capped_matches"] = f"""WITH {found_ctes(f"SELECT k, substring(t, 1, 2000) AS t FROM ({_SEEDED})")}, whole AS ({_SEEDED}),
+per AS (SELECT k, CAST(count(*) AS INTEGER) AS n, CAST(count(*) FILTER (WHERE grp = 'wiki') AS INTEGER) AS n_wiki FROM kept JOIN cat USING (o) GROUP BY k)
+SELECT k AS doc_id, coalesce(n, 0) AS n_matches, length(t) > 2000 AS truncated, coalesce(n - n_wiki, 0) AS n_tic, coalesce(n_wiki, 0) AS n_wiki FROM whole LEFT JOIN per USING (k)"""
+
+
 @query
 def contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keyword-in-context extracts of all matches."""
@@ -241,13 +262,21 @@ _GRADES = f"WITH {graded_ctes(_SEEDED)}"
 
 @query
 def signal_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The value, and firing, of every signal of every eligible document."""
-    graded = grade.grade(documents(spark, sf_dir))
-    rows = grade.signal_rows(graded, ["doc_id", "n_words", "n_sentences"])
-    return rows.select("doc_id", "n_words", "n_sentences", "key", "applicable", "fired", F.round("value", 6).alias("value"))
+    """The value, firing, label and display of every signal of every eligible document; of its list items, numbers that follow from its id."""
+    docs = documents(spark, sf_dir).withColumns({"li_total": F.pmod("doc_id", F.lit(9)).cast("int"), "li_bold": F.pmod("doc_id", F.lit(4)).cast("int")})
+    rows = grade.signal_rows(grade.grade(docs.withColumn("li_bold", F.least("li_bold", "li_total"))), ["doc_id", "n_words", "n_sentences"])
+    return rows.select("doc_id", "n_words", "n_sentences", "key", "label", "applicable", "fired", F.round("value", 6).alias("value"), "display")
 
 
-ORACLE_SQL["signal_values"] = f"{_GRADES} SELECT k AS doc_id, n_words, n_sentences, key, applicable, fired, round(value, 6) AS value FROM signals JOIN graded USING (k)"
+_LABELS = "CASE key " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in grade.LABELS.items()) + " END"
+#: Halves are rounded up before they are printed.
+_TENTH, _PERCENT = "printf('%.1f in 1,000 words', floor(value * 10 + 0.5) / 10)", "CAST(floor(value * 100 + 0.5) AS INTEGER)"
+ORACLE_SQL["signal_values"] = f"""WITH {graded_ctes(_SEEDED, "k % 9", "least(k % 4, k % 9)")}
+SELECT s.k AS doc_id, g.n_words, g.n_sentences, key, {_LABELS} AS label, applicable, fired, round(value, 6) AS value,
+  CASE WHEN NOT applicable THEN 'doesn''t apply' WHEN key IN ('burstiness', 'para-uniform') THEN printf('variation %.2f', floor(value * 100 + 0.5) / 100)
+    WHEN key IN ('transitions', 'expletives') THEN {_PERCENT} || '% of the sentences' WHEN key = 'em-dash' THEN {_TENTH} WHEN key = 'rule-of-three' THEN z.triads || ' triads, ' || {_TENTH}
+    WHEN key = 'antithesis' THEN z.contrasts || ' contrasts, ' || {_TENTH} WHEN key = 'typography' THEN CAST(value AS INTEGER) || ' of 3 signs' ELSE {_PERCENT} || '% of ' || z.li_total || ' items' END AS display
+FROM signals s JOIN graded g USING (k) JOIN sized z USING (k)"""
 
 
 @query
@@ -379,10 +408,10 @@ def page_match_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def segment_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where the third character of every second node of a page lies in its text; -1 for a node that isn't there."""
-    nodes = pages.segment_rows(pages.flatten(web_pages(spark, sf_dir)), ["page_id"])
-    own = table(spark, sf_dir, "pages").select("page_id", F.explode(F.sequence(F.lit(0), F.lit(20), F.lit(2))).alias("seg_idx"), F.lit(3).alias("offset"))
-    return pages.buffer_offsets(own, nodes)
+    """Where the third character of every node of a page lies in its text; -1 for the node after the last, which isn't there."""
+    flat = written(pages.flatten(web_pages(spark, sf_dir)).select("page_id", "segments"), "segments")
+    own = flat.select("page_id", F.explode(F.sequence(F.lit(0), F.size("segments"))).alias("seg_idx"), F.lit(3).alias("offset"))
+    return pages.buffer_offsets(own, pages.segment_rows(flat, ["page_id"]))
 
 
 @query

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prosegauge.functions.phrases import with_blanks
+from prosegauge.functions.spans import covering
 
 # Elements that end a line, elements that hold no prose, elements without an end tag. dialog, tbody, thead and tfoot are ours.
 BLOCKS = frozenset("address article aside blockquote br dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table tbody td tfoot th thead tr ul".split())
@@ -34,6 +35,7 @@ class _Flattener(HTMLParser):
         self.out, self.size, self.segments = [], 0, []
         self.open: list[tuple[str, bool]] = []  # tag, whether what is inside is left out
         self.in_head = False
+        self.same_node = False  # whether only character data came since the last piece of it
         self.li: list[bool | None] = []  # for open items: None until their first element
         self.li_total = self.li_bold = 0
 
@@ -46,7 +48,7 @@ class _Flattener(HTMLParser):
         return self.in_head or bool(self.open and self.open[-1][1])
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        a = {k: (v or "") for k, v in attrs}
+        a, self.same_node = {k: (v or "") for k, v in attrs}, False
         if tag in ("head", "title"):
             self.in_head = tag == "head" or self.in_head
         elif self.in_head and tag not in HEAD:
@@ -79,7 +81,8 @@ class _Flattener(HTMLParser):
 
     def _close(self, tag: str) -> None:
         if not any(t == tag for t, _ in self.open):
-            return
+            return  # an end tag of nothing parts no text
+        self.same_node = False
         while True:
             own, silent = self.open.pop()
             if own == "li" and self.li:
@@ -90,10 +93,18 @@ class _Flattener(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
-        if data and not self._silent():
+        if not data or self._silent():
+            return
+        if self.same_node:  # a stray < or an end tag of nothing: the parser gives one text in pieces
+            self.segments[-1]["len"] += len(data)
+        else:
             self.segments.append({"buf_start": self.size, "len": len(data), "parent_tag": self.open[-1][0] if self.open else None})
-            self.out.append(data)
-            self.size += len(data)
+        self.out.append(data)
+        self.size += len(data)
+        self.same_node = True
+
+    def handle_comment(self, data: str) -> None:
+        self.same_node = False
 
 
 def flatten_html(html: str | None) -> tuple[str, list[dict], int, int]:
@@ -125,18 +136,14 @@ def segment_rows(flat: DataFrame, keys: list[str]) -> DataFrame:
 def in_segments(matches: DataFrame, segments: DataFrame, key: str = "page_id") -> DataFrame:
     """matches with first_seg, first_at, last_seg, last_at: the nodes that hold a match's start and last character.
 
-    Two interval joins on the page's key. A match of no length, or one that
+    Two interval joins on the page's key and bins of places. A match of no length, or one that
     begins or ends on a newline that flattening put in, has no node and drops out.
     """
-    def side(name: str, at: str) -> DataFrame:
-        return segments.select(F.col(key).alias(f"_{name}"), F.col("seg_idx").alias(f"{name}_seg"), F.col("buf_start").alias(f"_{at}"), F.col("len").alias("_len"))
-
-    out = matches.where("end > start")
-    for name, pos in (("first", F.col("start")), ("last", F.col("end") - 1)):
-        s = side(name, "from")
-        on = (out[key] == s[f"_{name}"]) & (pos >= s["_from"]) & (pos < s["_from"] + s["_len"])
-        out = out.join(s, on).withColumn(f"{name}_at", pos - F.col("_from")).drop(f"_{name}", "_from", "_len")
-    return out
+    out = matches.where("end > start").withColumnsRenamed({"start": "_start", "end": "_end"})
+    for name, pos in (("first", F.col("_start")), ("last", F.col("_end") - 1)):
+        nodes = segments.select(key, F.col("seg_idx").alias(f"{name}_seg"), F.col("buf_start").alias("start"), (F.col("buf_start") + F.col("len")).alias("end"))
+        out = covering(out.withColumn("pos", pos), nodes, key).withColumn(f"{name}_at", F.col("pos") - F.col("start")).drop("pos", "start", "end")
+    return out.withColumnsRenamed({"_start": "start", "_end": "end"})
 
 
 def buffer_offsets(probes: DataFrame, segments: DataFrame, key: str = "page_id") -> DataFrame:

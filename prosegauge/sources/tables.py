@@ -4,17 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Bytes that a task is meant to read.
-TASK_BYTES = 128 << 20
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table's rows. One of few files, and of fewer tasks than there are cores, is dealt over all cores.
+    """A table's rows. One that is read in fewer tasks than there are cores is dealt over all cores.
 
     A Parquet file is split between row groups only, so one file is often one
-    task. Tables of many files, or of many bytes, are read as they are.
+    task. Tables of more tasks, and so of many bytes or files, are read as they are.
     """
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if len(df.inputFiles()) < cores and size < cores * TASK_BYTES else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
