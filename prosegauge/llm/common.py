@@ -19,12 +19,14 @@ SALTS = 256
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, else (local sessions only) a fresh temporary one."""
+    """The folder all executors share: spark.checkpoint.dir, else (local sessions only) a fresh temporary one; an error on a cluster without one."""
     sc = spark.sparkContext
     place = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not place:
         local = sc.master.startswith("local") and not sc.master.startswith("local-cluster")
-        place = tempfile.mkdtemp(prefix="spark-prosegauge-") if local else spark.conf.get("spark.sql.warehouse.dir") + "/_shared"
+        if not local:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        place = tempfile.mkdtemp(prefix="spark-prosegauge-")
         sc.setCheckpointDir(place)
     return place.rstrip("/")
 
