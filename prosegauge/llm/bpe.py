@@ -29,6 +29,8 @@ from .words import Chunk, per_document, spread, word_tokenizer
 
 #: Bytes of the table that every task gets.
 HEAD_BYTES = 96 << 20
+#: Stretches planned for a chunk while the head is in a worker's memory too.
+STRETCHES = 1_500_000
 _BUNDLES = "chunk long, mark long, doc_ids array<long>, sizes array<long>, places binary"
 _TAIL = "chunk long, mark long, at int, word string"
 
@@ -136,7 +138,7 @@ def encode(docs: DataFrame, path: str, head_bytes: int = HEAD_BYTES, pieces: Dat
 
     def direct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head = held.value
-        for c in word_tokenizer(path).chunks(batches):
+        for c in word_tokenizer(path).chunks(batches, STRETCHES):
             at, tail = _found(head, c.words)
             if tail:
                 raise RuntimeError("the documents changed between two passes; write them to a table first")
@@ -151,7 +153,7 @@ def encode(docs: DataFrame, path: str, head_bytes: int = HEAD_BYTES, pieces: Dat
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, list[str], np.ndarray, Chunk]]:
         """(number, digest, rarer words, places of all words, chunk) of each chunk of a task."""
         part = TaskContext.get().partitionId()
-        for seq, c in enumerate(word_tokenizer(path).chunks(batches)):
+        for seq, c in enumerate(word_tokenizer(path).chunks(batches, STRETCHES)):
             at, tail = _found(held.value, c.words)
             yield (part << 24) + seq, _digest(tail), tail, at, c
 
