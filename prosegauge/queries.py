@@ -14,6 +14,7 @@ from prosegauge.operators import catalog, detect, grade
 from prosegauge.operators.catalog import TIC, Detector
 from prosegauge.operators.page_scan import node_rows, scan_pages
 from prosegauge.oracle import found_ctes, graded_ctes, windows_ctes
+from prosegauge.oracle_pages import flat_ctes, seeded_html_sql
 from prosegauge.sources import pages
 from prosegauge.sources.seeds import HTML, seeded, seeded_html, seeded_sql
 from prosegauge.sources.tables import table
@@ -392,6 +393,13 @@ def origin_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.tiers(grade.grade(own), ["origin"])
 
 
+_PAGES = flat_ctes(f"SELECT page_id AS id, html FROM ({seeded_html_sql()})")
+_LISTED = tuple(f"(SELECT f.{x} FROM flat f WHERE f.id = k)" for x in ("li_total", "li_bold"))
+ORACLE_SQL["origin_tiers"] = f"""WITH {_PAGES}, urls AS ({ORACLE_SQL["page_urls"]}), prose AS ({seeded_sql("(SELECT id, t AS text FROM flat)", "id")}),
+{graded_ctes("SELECT id AS k, text AS t FROM prose", *_LISTED)}
+SELECT origin, eligible, tier, count(*) AS n_docs, CAST(sum(fired_count) AS BIGINT) AS fired FROM graded JOIN urls ON page_id = k GROUP BY ALL"""
+
+
 @query
 def page_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Size of each page's visible text, its nodes, and its list items."""
@@ -399,6 +407,9 @@ def page_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat.select("page_id", F.char_length("text").alias("n_chars"), F.size("segments").alias("n_segments"), "li_total", "li_bold")
 
 
+ORACLE_SQL["page_lists"] = f"WITH {_PAGES} SELECT id AS page_id, n_chars, n_segments, li_total, li_bold FROM flat"
+
+
 @query
 def page_match_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The text nodes in which each match of a page begins and ends."""
@@ -406,6 +417,11 @@ def page_match_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return node_rows(scan_pages(own), ["page_id"])
 
 
+ORACLE_SQL["page_match_nodes"] = f"""WITH {_PAGES}, {found_ctes("SELECT id AS k, t FROM flat JOIN pages ON page_id = id WHERE regexp_matches(url, '(?i)^https?:')")}
+SELECT kept.k AS page_id, match_id, pattern_id, s AS start, e AS "end", a.seg_idx AS first_seg, s - a.buf_start AS first_at, b.seg_idx AS last_seg, e - 1 - b.buf_start AS last_at
+FROM kept JOIN cat USING (o) JOIN nodes a ON a.id = k AND s >= a.buf_start AND s < a.buf_start + a.len JOIN nodes b ON b.id = k AND e - 1 >= b.buf_start AND e - 1 < b.buf_start + b.len WHERE e > s"""
+
+
 @query
 def segment_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where the third character of every node of a page lies in its text; -1 for the node after the last, which isn't there."""
@@ -414,6 +430,10 @@ def segment_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.buffer_offsets(own, pages.segment_rows(flat, ["page_id"]))
 
 
+ORACLE_SQL["segment_offsets"] = f"""WITH {_PAGES}, probes AS (SELECT id, unnest(range(0, n_segments + 1)) AS seg_idx FROM flat)
+SELECT id AS page_id, CAST(seg_idx AS INTEGER) AS seg_idx, 3 AS "offset", CAST(coalesce(buf_start + least(3, len), -1) AS INTEGER) AS buf_offset FROM probes LEFT JOIN nodes USING (id, seg_idx)"""
+
+
 @query
 def allowed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether a page's origin is allowed: the list has the origins of every third page."""
