@@ -16,8 +16,8 @@ from prosegauge.sources.pages import PAGE, flatten_html
 from .catalog import ALL, Catalogue
 from .detect import FOUND, nested, resolved
 
-def scan_pages(pages: DataFrame, pattern_ids: Iterable[str] | None = None, among: Catalogue = ALL) -> DataFrame:
-    """pages with text, segments, li_total, li_bold, found and n_matches from html. Extra columns stay; those are replaced."""
+def scan_pages(pages: DataFrame, pattern_ids: Iterable[str] | None = None, among: Catalogue = ALL, overlaps: bool = False) -> DataFrame:
+    """pages with text, segments, li_total, li_bold, found and n_matches from html. Extra columns stay; those are replaced. overlaps: as in detect.scan()."""
     chosen = among.chosen(pattern_ids)
 
     @F.pandas_udf(PAGE.replace("text string", f"text string, found {FOUND}"))
@@ -31,7 +31,8 @@ def scan_pages(pages: DataFrame, pattern_ids: Iterable[str] | None = None, among
 
     names = ["text", "segments", "li_total", "li_bold", "found"]
     out = pages.drop(*names, "n_matches").select(F.struct("*").alias("row"), of.asNondeterministic()("html").alias("page"))
-    return out.select("row.*", *[F.col(f"page.{x}").alias(x) for x in names]).withColumn("found", resolved(F.col("found"))).withColumn("n_matches", F.size("found"))
+    out = out.select("row.*", *[F.col(f"page.{x}").alias(x) for x in names])
+    return (out if overlaps else out.withColumn("found", resolved(F.col("found")))).withColumn("n_matches", F.size("found"))
 
 
 def node_rows(scanned: DataFrame, keys: list[str], among: Catalogue = ALL) -> DataFrame:

@@ -447,32 +447,81 @@ ORACLE_SQL["allowed_pages"] = f"""WITH own AS ({ORACLE_SQL["page_urls"]})
 SELECT page_id, coalesce(origin IN (SELECT origin FROM own WHERE page_id % 3 = 0 AND origin IS NOT NULL), false) AS allowed FROM own"""
 
 
-def page_versions(spark: SparkSession, sf_dir: str) -> str:
-    """A folder of page versions: each page, and two seconds later the page with a heading, spread over ten hours."""
+#: What each version of a page begins with, and how many seconds after the first it comes: two in one burst, one later, two later still.
+VERSIONS = (("", 0), ("<body><h1>Moving forward</h1>", 2), ("<body><p>It just works.</p>", 60), ("<body><p>In order to go.</p>", 300), ("<body><h1>Timing is everything.</h1>", 303))
+
+
+def page_versions(spark: SparkSession, sf_dir: str, n: int = 2) -> str:
+    """A folder of page versions: the first n of VERSIONS of each page, spread over ten hours."""
     path = shared(spark, "versions")
-    own = web_pages(spark, sf_dir).select("page_id", F.timestamp_seconds(F.lit(1_700_000_000) + F.col("page_id") * 977 % 36000).alias("version_ts"), "url", "html")
-    later = own.withColumn("version_ts", F.col("version_ts") + F.expr("INTERVAL 2 SECONDS")).withColumn("html", F.concat(F.lit("<body><h1>Moving forward</h1>"), "html"))
-    own.unionByName(later).write.parquet(path)
+    own = web_pages(spark, sf_dir).select("page_id", (F.lit(1_700_000_000) + F.col("page_id") * 977 % 36000).alias("at"), "url", "html")
+    each = F.explode(F.array(*[F.struct(F.lit(head).alias("head"), F.lit(after).alias("after")) for head, after in VERSIONS[:n]]))
+    rows = own.withColumn("v", each).select("page_id", F.timestamp_seconds(F.col("at") + F.col("v.after")).alias("version_ts"), "url", F.concat("v.head", "html").alias("html"))
+    rows.write.parquet(path)
     return path
 
 
+def _versions_sql(n: int = 2) -> str:
+    """CTEs: versions(id, page_id, version_s, url, html) as page_versions() writes them, and the last second of them all."""
+    heads = ", ".join(f"({i}, '{head}', {after})" for i, (head, after) in enumerate(VERSIONS[:n]))
+    return f"""versions AS MATERIALIZED (SELECT page_id * {n} + i AS id, page_id, 1700000000 + page_id * 977 % 36000 + after AS version_s, url, head || html AS html FROM ({seeded_html_sql()}) p CROSS JOIN (VALUES {heads}) v(i, head, after)),
+ended AS (SELECT max(version_s) AS last_s FROM versions)"""
+
+
+#: A CTE after flat_ctes(), of its own scope: grades(k, eligible, fired_count, tier, ...).
+_FLAT_GRADES = f"grades AS MATERIALIZED (WITH {graded_ctes('SELECT id AS k, t FROM flat', *_LISTED)} SELECT * FROM graded)"
+
+
+def _newest_sql(chosen: str, pattern_ids: list[str] | None = None, n: int = 2) -> str:
+    """The newest of the chosen versions of each page, scanned and graded."""
+    return f"""WITH {_versions_sql(n)}, newest AS (SELECT * FROM ({chosen}) QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY version_s DESC) = 1),
+{flat_ctes("SELECT id, html FROM newest")}, {found_ctes("SELECT id AS k, t FROM flat", pattern_ids)}, {_FLAT_GRADES},
+hits AS (SELECT k, CAST(count(*) AS INTEGER) AS n FROM kept GROUP BY k)
+SELECT page_id, version_s, url, coalesce(hits.n, 0) AS n_matches, eligible, fired_count, tier FROM newest JOIN grades ON grades.k = newest.id LEFT JOIN hits ON hits.k = newest.id"""
+
+
+def _in_seconds(grades: DataFrame) -> DataFrame:
+    return grades.select("page_id", F.unix_timestamp("version_ts").alias("version_s"), "url", "n_matches", "eligible", "fired_count", "tier")
+
+
 @query
 def stream_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest grade of each page, from a stream of its versions written batch by batch."""
     grades = shared(spark, "grades")
     q = stream.upsert_grades(stream.versions(spark, page_versions(spark, sf_dir)), grades, shared(spark, "state"))
     q.awaitTermination()
-    return stream.current(spark, grades)
+    return _in_seconds(stream.current(spark, grades))
+
+
+ORACLE_SQL["stream_grades"] = _newest_sql("SELECT * FROM versions")
+
+
+@query
+def stream_settled_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The grade of each page's last closed burst of changes, of three, in one query from versions to grades."""
+    grades, rows = shared(spark, "grades"), stream.versions(spark, page_versions(spark, sf_dir, len(VERSIONS)))
+    stream.upsert_grades(stream.settled(rows, late="0 seconds"), grades, shared(spark, "state")).awaitTermination()
+    return _in_seconds(stream.current(spark, grades))
+
+
+_SETTLED = """SELECT id, page_id, version_s, url, html FROM (SELECT *, lead(version_s) OVER (PARTITION BY page_id ORDER BY version_s) AS next_s FROM versions), ended
+  WHERE version_s + 5 <= coalesce(next_s, version_s + 5) AND version_s + 5 <= last_s"""
+ORACLE_SQL["stream_settled_grades"] = _newest_sql(_SETTLED, n=len(VERSIONS))
 
 
 @query
 def stream_allowed_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same of the origins of every third page, with the wiki group switched off by a settings table that each batch reads anew."""
+    """The same of the origins of every third page, with the wiki group switched off by a settings table after all batches: no page is read again."""
     grades, settings = shared(spark, "grades"), shared(spark, "settings")
-    catalog.catalog(spark).where("is_wiki").select("pattern_id").write.parquet(settings)
     listed = table(spark, sf_dir, "pages").where("page_id % 3 = 0").select(pages.origin(F.col("url")).alias("origin")).where("origin IS NOT NULL")
-    stream.upsert_grades(stream.versions(spark, page_versions(spark, sf_dir), maxFilesPerTrigger=2), grades, shared(spark, "state"), listed, settings).awaitTermination()
-    return stream.current(spark, grades)
+    stream.upsert_grades(stream.versions(spark, page_versions(spark, sf_dir), maxFilesPerTrigger=2), grades, shared(spark, "state"), listed).awaitTermination()
+    catalog.catalog(spark).where("is_wiki OR NOT default_enabled").select("pattern_id").write.parquet(settings)
+    on = detect.ids_of(catalog.enabled(spark, spark.read.parquet(settings)))
+    return _in_seconds(stream.current(spark, grades, on))
+
+
+_TICS_ON = [d.pattern_id for d in catalog.DETECTORS if d.group == TIC and d.default_on]
+ORACLE_SQL["stream_allowed_grades"] = _newest_sql(f"SELECT versions.* FROM versions JOIN ({ORACLE_SQL['allowed_pages']}) a USING (page_id) WHERE allowed", _TICS_ON)
 
 
 def _drained(frame: DataFrame, spark: SparkSession) -> DataFrame:
@@ -482,16 +531,44 @@ def _drained(frame: DataFrame, spark: SparkSession) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(out)
 
 
+def _window_s(frame: DataFrame) -> DataFrame:
+    """frame with its windows' edges in seconds."""
+    return frame.withColumns({f"{x}_s": F.unix_timestamp(x) for x in ("window_start", "window_end")}).drop("window_start", "window_end")
+
+
 @query
 def stream_monitor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages, matches and signals in windows of ten minutes that the watermark has closed."""
-    return _drained(stream.monitor(stream.versions(spark, page_versions(spark, sf_dir)), late="0 seconds"), spark)
+    return _window_s(_drained(stream.monitor(stream.versions(spark, page_versions(spark, sf_dir)), late="0 seconds"), spark))
+
+
+_ALL_VERSIONS = f"WITH {_versions_sql()}, {flat_ctes('SELECT id, html FROM versions')}, {found_ctes('SELECT id AS k, t FROM flat')}"
+ORACLE_SQL["stream_monitor"] = f"""{_ALL_VERSIONS}, {_FLAT_GRADES},
+hits AS (SELECT k, count(*) AS n FROM kept GROUP BY k)
+SELECT w AS window_start_s, w + 600 AS window_end_s, count(*) AS n_pages, CAST(sum(coalesce(hits.n, 0)) AS BIGINT) AS n_matches, CAST(sum(fired_count) AS BIGINT) AS fired
+FROM (SELECT *, version_s // 600 * 600 AS w FROM versions, ended) v JOIN grades ON grades.k = v.id LEFT JOIN hits ON hits.k = v.id WHERE w + 600 <= last_s GROUP BY w"""
 
 
 @query
 def stream_pattern_monitor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits of each detector in windows of ten minutes that the watermark has closed."""
-    return _drained(stream.pattern_monitor(stream.versions(spark, page_versions(spark, sf_dir)), late="0 seconds"), spark)
+    return _window_s(_drained(stream.pattern_monitor(stream.versions(spark, page_versions(spark, sf_dir)), late="0 seconds"), spark))
+
+
+@query
+def stream_sliding_monitor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same in windows that begin every five minutes, so that each page counts in two."""
+    return _window_s(_drained(stream.pattern_monitor(stream.versions(spark, page_versions(spark, sf_dir)), slide="5 minutes", late="0 seconds"), spark))
+
+
+def _windows_sql(slide: int) -> str:
+    return f"""{_ALL_VERSIONS}, in_windows AS (SELECT id, unnest(range(version_s // {slide} * {slide} - 600 + {slide}, version_s + 1, {slide})) AS w FROM versions)
+SELECT w AS window_start_s, w + 600 AS window_end_s, pattern_id, count(*) AS hits, count(DISTINCT k) AS n_pages
+FROM kept JOIN cat USING (o) JOIN in_windows ON in_windows.id = k, ended WHERE w + 600 <= last_s GROUP BY w, pattern_id"""
+
+
+ORACLE_SQL["stream_pattern_monitor"] = _windows_sql(600)
+ORACLE_SQL["stream_sliding_monitor"] = _windows_sql(300)
 
 
 @query

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterable
+
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from prosegauge.operators.catalog import ALL
+from prosegauge.operators.detect import FOUND, resolved
 from prosegauge.operators.grade import grade
 from prosegauge.operators.page_scan import scan_pages
 from prosegauge.sources.pages import allowed
@@ -26,11 +31,10 @@ def settled(stream: DataFrame, gap: str = "5 seconds", late: str = "1 minute") -
     return bursts.select("page_id", "v.version_ts", "v.url", "v.html")
 
 
-def graded_pages(pages: DataFrame, origins: DataFrame | None = None, disabled: DataFrame | None = None) -> DataFrame:
-    """Pages of allowed origins (all, without origins) flattened, scanned and graded; disabled(pattern_id) is read anew at every call."""
+def graded_pages(pages: DataFrame, origins: DataFrame | None = None, pattern_ids: Iterable[str] | None = None, overlaps: bool = False) -> DataFrame:
+    """Pages of allowed origins (all, without origins) flattened, scanned and graded; pattern_ids and overlaps as in scan_pages()."""
     own = allowed(pages, origins) if origins is not None else pages
-    off = {r.pattern_id for r in disabled.select("pattern_id").distinct().collect()} if disabled is not None else set()
-    return grade(scan_pages(own, [i for i in ALL.default_ids() if i not in off])).drop("html")
+    return grade(scan_pages(own, pattern_ids, overlaps=overlaps)).drop("html")
 
 
 def newest(rows: DataFrame) -> DataFrame:
@@ -39,45 +43,80 @@ def newest(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
-GRADES = "page_id long, version_ts timestamp, url string, n_matches int, eligible boolean, fired_count int, tier string"
-#: Parts that the table of grades is dealt into by page.
+GRADES = f"page_id long, version_ts timestamp, url string, found {FOUND}, eligible boolean, fired_count int, tier string"
+_MANIFEST = "batch long, slots array<int>, written array<long>"
+#: Parts that a table of grades is dealt into by page; a batch rewrites those that it touches, so choose so many that a part is some tens of megabytes.
 BUCKETS = 64
+#: Folders of a bucket, written in turn: a reader has as many batches, less one, to finish.
+SLOTS = 3
 
 
-def upsert_grades(stream: DataFrame, table: str, checkpoint: str, origins: DataFrame | None = None, disabled_path: str | None = None):
-    """Start a query that keeps the newest grade of each page in table, a folder all executors reach.
+def upsert_grades(stream: DataFrame, table: str, checkpoint: str, origins: DataFrame | None = None, buckets: int = BUCKETS) -> StreamingQuery:
+    """Start a query that keeps the newest grade of each page in table, a folder all executors reach; read it with current().
 
-    A page's bucket follows from its id. A micro-batch writes, below a folder of
-    its own, the buckets that it touches, whole: what they held before and the
-    new grades, one row a page. So the newest folder of a bucket is all that
-    counts, reading doesn't get slower with the number of batches, and older
-    folders can be deleted. A batch that is run again after a failure replaces
-    its own folder. Read the result with current().
+    Give it settled(versions) to grade a page once its burst of changes has
+    closed, or versions to grade each batch's newest. Raw finds of all
+    detectors are kept, overlaps included, so that settings count when the
+    table is read: a change needs no page again. One table has one checkpoint.
     """
-    bucket = F.pmod(F.xxhash64("page_id"), F.lit(BUCKETS)).cast("int").alias("bucket")
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        off = spark.read.parquet(disabled_path) if disabled_path else None
-        out = graded_pages(newest(batch), origins, off).select("page_id", "version_ts", "url", "n_matches", "eligible", "fired_count", "tier", bucket)
-        if batch_id:
-            touched = F.broadcast(batch.select(bucket).distinct())  # BUCKETS rows at most
-            out = newest(out.unionByName(_held(spark, table, batch_id).join(touched, "bucket", "left_semi")))
-        out.write.mode("overwrite").partitionBy("bucket").parquet(f"{table}/batch={batch_id}")
-
+    start = [(-1, [SLOTS - 1] * buckets, [-1] * buckets)]
+    stream.sparkSession.createDataFrame(start, _MANIFEST).coalesce(1).write.mode("ignore").parquet(f"{table}/manifest/turn=0")
+    write = lambda batch, batch_id: write_batch(batch, batch_id, table, origins)
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _held(spark: SparkSession, table: str, before: int | None = None) -> DataFrame:
-    rows = spark.read.schema(f"{GRADES}, batch long, bucket int").parquet(table)
+def write_batch(batch: DataFrame, batch_id: int, table: str, origins: DataFrame | None = None) -> None:
+    """Merge one micro-batch of page versions into a table of grades.
+
+    A page's bucket follows from its id. The buckets that the batch touches are
+    written whole, each to the slot after its live one; then a manifest, one
+    row that names every bucket's live slot and who wrote it, takes the place
+    of the one before the last. So folders and listings stay bounded by
+    buckets x slots however many batches come, readers see all of a batch or
+    nothing, and a batch that is run again after a failure starts from the
+    manifest before it and writes the same slots.
+    """
+    spark, rows, staged = batch.sparkSession, f"{table}/rows", f"{table}/staged"
+    last, names = _manifest(spark, table, batch_id), [f.name for f in StructType.fromDDL(GRADES)]
+    bucket = F.pmod(F.xxhash64("page_id"), F.lit(len(last.slots))).cast("int").alias("bucket")
+    # Written first, so that the stream's state and the scan run once, and lost executors cost no second scan.
+    graded_pages(newest(batch), origins, ALL.ids, overlaps=True).select(*names, bucket).write.mode("overwrite").parquet(staged)
+    graded = spark.read.schema(f"{GRADES}, bucket int").parquet(staged)
+    touched = sorted(r.bucket for r in graded.select("bucket").distinct().collect())  # numbers of buckets
+    if not touched:
+        return
+    slots, written = list(last.slots), list(last.written)
+    for b in touched:
+        slots[b], written[b] = (slots[b] + 1) % SLOTS, batch_id
+    out = newest(graded.unionByName(_held(spark, table, last).where(F.col("bucket").isin(touched))))
+    out = out.withColumns({"written": F.lit(batch_id).cast("long"), "slot": F.get(F.array(*map(F.lit, slots)), F.col("bucket"))}).repartition("bucket")
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "slot").parquet(rows)
+    spark.createDataFrame([(batch_id, slots, written)], _MANIFEST).coalesce(1).write.mode("overwrite").parquet(f"{table}/manifest/turn={1 - last.turn}")
+
+
+def _manifest(spark: SparkSession, table: str, before: int | None = None) -> Row:
+    """The last manifest (of a batch before `before`): one row of two at most."""
+    rows = spark.read.schema(f"{_MANIFEST}, turn int").option("ignoreMissingFiles", "true").parquet(f"{table}/manifest")
     rows = rows if before is None else rows.where(F.col("batch") < before)
-    last = rows.groupBy("bucket").agg(F.max("batch").alias("batch"))  # from folder names, BUCKETS rows at most
-    return rows.join(F.broadcast(last), ["bucket", "batch"]).drop("batch")
+    return max(rows.collect(), key=lambda r: r.batch)
+
+
+def _held(spark: SparkSession, table: str, live: Row) -> DataFrame:
+    """Rows of the live slots, and their bucket. A slot that was written anew since the manifest was read is an error, not a gap."""
+    schema = f"{GRADES}, written long, bucket int, slot int"
+    if max(live.written) < 0:
+        return spark.createDataFrame([], schema).drop("written", "slot")
+    of = lambda values: F.get(F.array(*map(F.lit, values)), F.col("bucket"))
+    rows = spark.read.schema(schema).parquet(f"{table}/rows").where(F.col("slot") == of(live.slots))
+    anew = F.raise_error(F.lit("the table of grades has changed while it was read: read it again")).cast("boolean")
+    return rows.where(F.when(F.col("written") > of(live.written), anew).otherwise(F.col("written") == of(live.written))).drop("written", "slot")
 
 
-def current(spark: SparkSession, table: str) -> DataFrame:
-    """The newest grade of each page that upsert_grades() has written."""
-    return _held(spark, table).drop("bucket")
+def current(spark: SparkSession, table: str, pattern_ids: Iterable[str] | None = None) -> DataFrame:
+    """The newest grade of each page that upsert_grades() has written, with found (resolved among pattern_ids, by default those on by default) and n_matches."""
+    on = [i for i, _ in ALL.chosen(pattern_ids)]
+    rows = _held(spark, table, _manifest(spark, table)).drop("bucket")
+    return rows.withColumn("found", resolved(F.filter("found", lambda f: f["ordinal"].isin(on)))).withColumn("n_matches", F.size("found"))
 
 
 def monitor(stream: DataFrame, width: str = "10 minutes", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
