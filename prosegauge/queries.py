@@ -451,16 +451,27 @@ SELECT page_id, coalesce(origin IN (SELECT origin FROM own WHERE page_id % 3 = 0
 VERSIONS = (("", 0), ("<body><h1>Moving forward</h1>", 2), ("<body><p>It just works.</p>", 60), ("<body><p>In order to go.</p>", 300), ("<body><h1>Timing is everything.</h1>", 303))
 
 
+def _versions_of(own: DataFrame, n: int) -> DataFrame:
+    """The first n of VERSIONS of each page, spread over ten hours."""
+    own = own.select("page_id", (F.lit(1_700_000_000) + F.col("page_id") * 977 % 36000).alias("at"), "url", "html")
+    each = F.explode(F.array(*[F.struct(F.lit(head).alias("head"), F.lit(after).alias("after")) for head, after in VERSIONS[:n]]))
+    return own.withColumn("v", each).select("page_id", F.timestamp_seconds(F.col("at") + F.col("v.after")).alias("version_ts"), "url", F.concat("v.head", "html").alias("html"))
+
+
 def page_versions(spark: SparkSession, sf_dir: str, n: int = 2) -> str:
-    """A folder of page versions: the first n of VERSIONS of each page, spread over ten hours."""
+    """A folder of page versions."""
     path = shared(spark, "versions")
-    own = web_pages(spark, sf_dir).select("page_id", (F.lit(1_700_000_000) + F.col("page_id") * 977 % 36000).alias("at"), "url", "html")
-    each = F.explode(F.array(*[F.struct(F.lit(head).alias("head"), F.lit(after).alias("after")) for head, after in VERSIONS[:n]]))
-    rows = own.withColumn("v", each).select("page_id", F.timestamp_seconds(F.col("at") + F.col("v.after")).alias("version_ts"), "url", F.concat("v.head", "html").alias("html"))
-    rows.write.parquet(path)
+    _versions_of(web_pages(spark, sf_dir), n).write.parquet(path)
     return path
 
 
+def version_stream(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
+    """A stream of page versions, formed as pages are read, so that they are nowhere written n times."""
+    name = f"{sf_dir}/pages.parquet"
+    own = spark.readStream.schema(spark.read.parquet(name).schema).parquet(f"{name}*")  # a pattern, as the table may be one file
+    return _versions_of(seeded_html(own), n)
+
+
 def _versions_sql(n: int = 2) -> str:
     """CTEs: versions(id, page_id, version_s, url, html) as page_versions() writes them, and the last second of them all."""
     heads = ", ".join(f"({i}, '{head}', {after})" for i, (head, after) in enumerate(VERSIONS[:n]))
@@ -499,8 +510,14 @@ ORACLE_SQL["stream_grades"] = _newest_sql("SELECT * FROM versions")
 @query
 def stream_settled_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The grade of each page's last closed burst of changes, of three, in one query from versions to grades."""
-    grades, rows = shared(spark, "grades"), stream.versions(spark, page_versions(spark, sf_dir, len(VERSIONS)))
-    stream.upsert_grades(stream.settled(rows, late="0 seconds"), grades, shared(spark, "state")).awaitTermination()
+    grades, rows = shared(spark, "grades"), version_stream(spark, sf_dir, len(VERSIONS))
+    before = spark.conf.get(stream.MERGE_FIRST)
+    spark.conf.set(stream.MERGE_FIRST, "true")  # a query keeps what is set when it starts
+    try:
+        q = stream.upsert_grades(stream.settled(rows, late="0 seconds"), grades, shared(spark, "state"))
+    finally:
+        spark.conf.set(stream.MERGE_FIRST, before)
+    q.awaitTermination()
     return _in_seconds(stream.current(spark, grades))
 
 

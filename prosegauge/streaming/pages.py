@@ -24,6 +24,10 @@ def versions(spark: SparkSession, path: str, **options) -> DataFrame:
     return spark.readStream.schema(VERSIONS).options(**options).parquet(path)
 
 
+#: The setting that merges a page's bursts within a task before they are shuffled; worth setting where versions of a page come together.
+MERGE_FIRST = "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition"
+
+
 def settled(stream: DataFrame, gap: str = "5 seconds", late: str = "1 minute") -> DataFrame:
     """The last version of each burst of changes: a page's versions less than `gap` apart are one. Later than `late`, they are dropped."""
     last = F.max_by(F.struct("url", "html", "version_ts"), "version_ts").alias("v")
