@@ -118,38 +118,40 @@ def run_rows(docs: DataFrame, keys: list[str], pattern_ids: Iterable[str] | None
     # In a step of its own: beside an explode, ids would be given after it.
     numbered = docs.select(F.struct(*keys).alias("keys"), F.monotonically_increasing_id().alias("row_id"), "text")
     cut = numbered.select("keys", "row_id", F.posexplode(_pieces(F.col("text"), ends)).alias("stretch", "p"))
-    # An explode, not a filter: the optimiser would evaluate what a filter looks at twice.
+    # An explode of one list or none, not a filter: the optimiser would evaluate what a filter looks at twice.
     held = F.array_compact(F.array(*[F.when(F.col("p.many") | _may_hold(items(F.col("p.piece"))), F.lit(o)) for o, items, _ in kinds]))
-    dealt = cut.withColumn("ordinal", F.explode(held)).repartition("row_id", "stretch")
+    holding = cut.withColumn("held", F.explode(_bound(held, lambda h: F.when(F.size(h) > 0, F.array(h)))))
+    # A fixed number: pieces are few bytes but many rows, and would be put together by their bytes.
+    n_tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = holding.repartition(n_tasks, "row_id", "stretch").withColumn("ordinal", F.explode("held"))
     items = F.coalesce(*[F.when(F.col("ordinal") == o, items(F.col("p.piece")).cast(_ITEMS)) for o, items, _ in kinds])
     whole = ["row_id", "stretch", "ordinal"]
-    sentences = dealt.select("keys", *whole, F.col("p.at").alias("at"), F.posexplode(items).alias("i", "x"))
+    sentences = dealt.select("keys", *whole, F.col("p.at").alias("at"), F.col("p.many").alias("many"), F.posexplode(items).alias("i", "x"))
 
     own = Window.partitionBy(*whole).orderBy("i")
     placed = sentences.withColumn("from", F.col("at") + F.sum("x.n").over(own).cast("int") - F.col("x.n")).where("x.sign IS NOT NULL")
-    placed = placed.select("keys", *whole, "i", (F.col("from") + F.col("x.start")).alias("start"), (F.col("from") + F.col("x.stop")).alias("end"), "x.lead", "x.tail", F.col("x.sign").alias("sign"))
+    placed = placed.select("keys", *whole, "many", "i", (F.col("from") + F.col("x.start")).alias("start"), (F.col("from") + F.col("x.stop")).alias("end"), "x.lead", "x.tail", F.col("x.sign").alias("sign"))
     linked = (F.col("start") - F.lag("end").over(own) <= _GAP) & F.arrays_overlap("sign", F.lag("sign").over(own))
     islands = placed.withColumn("new", F.when(linked, 0).otherwise(1)).withColumn("island", F.sum("new").over(own))
     first, last = (lambda c: F.min_by(c, "i")), (lambda c: F.max_by(c, "i"))
     islands = islands.groupBy(*whole, "island").agg(
-        F.first("keys").alias("keys"), F.min("start").alias("start"), F.max("end").alias("end"), first("lead").alias("lead"), last("tail").alias("tail"),
+        F.first("keys").alias("keys"), F.first("many").alias("many"), F.min("start").alias("start"), F.max("end").alias("end"), first("lead").alias("lead"), last("tail").alias("tail"),
         first("sign").alias("head"), last("sign").alias("sign"), F.count("*").alias("n"),
     )
     by_island = Window.partitionBy(*whole)
-    edged = islands.withColumn("edge", (F.col("island") == 1) | (F.col("island") == F.max("island").over(by_island)))
-
+    edge = F.col("many") & ((F.col("island") == 1) | (F.col("island") == F.max("island").over(by_island)))
     least = F.coalesce(*[F.when(F.col("ordinal") == o, F.lit(n)) for o, _, n in kinds])
-    common = F.col("ordinal").isin([o for o, d in ALL.chosen(RUNS) if d.kind == "anaphora"]) & F.get("sign", F.lit(0)).isin(sorted(COMMON_OPENERS))
-    columns = ["keys", "row_id", "ordinal", "start", "end", "lead", "tail", "sign", "n"]
-    inner = edged.where(~F.col("edge") & (F.col("n") >= least)).select(*columns)
+    # Edges of a text are one group, inner runs stay with their stretch.
+    kept = islands.withColumn("place", F.when(edge, F.lit(-1)).otherwise(F.col("stretch"))).where((F.col("place") < 0) | (F.col("n") >= least))
 
-    whole_text = Window.partitionBy("row_id", "ordinal").orderBy("start")
+    beside = Window.partitionBy("row_id", "ordinal", "place").orderBy("start")
     # Two islands of one stretch were held against each other already.
-    meets = (F.lag("stretch").over(whole_text) != F.col("stretch")) & (F.col("start") - F.lag("end").over(whole_text) <= _GAP) & F.arrays_overlap("head", F.lag("sign").over(whole_text))
-    met = edged.where("edge").withColumn("new", F.when(meets, 0).otherwise(1)).withColumn("run", F.sum("new").over(whole_text))
-    outer = met.groupBy("row_id", "ordinal", "run").agg(
+    meets = (F.lag("stretch").over(beside) != F.col("stretch")) & (F.col("start") - F.lag("end").over(beside) <= _GAP) & F.arrays_overlap("head", F.lag("sign").over(beside))
+    met = kept.withColumn("new", F.when(meets, 0).otherwise(1)).withColumn("run", F.sum("new").over(beside))
+    runs = met.groupBy("row_id", "ordinal", "place", "run").agg(
         F.first("keys").alias("keys"), F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("lead", "start").alias("lead"), F.max_by("tail", "start").alias("tail"),
-        F.max_by("sign", "start").alias("sign"), F.sum("n").alias("n"),
+        F.get(F.first("sign"), F.lit(0)).alias("word"), F.sum("n").alias("n"),
     )
-    runs = inner.unionByName(outer.where(F.col("n") >= least).select(*columns)).where(~common)
+    common = F.col("ordinal").isin([o for o, d in ALL.chosen(RUNS) if d.kind == "anaphora"]) & F.col("word").isin(sorted(COMMON_OPENERS))
+    runs = runs.where((F.col("n") >= least) & ~F.coalesce(common, F.lit(False)))
     return runs.select("keys.*", "row_id", "ordinal", (F.col("start") + F.col("lead")).alias("start"), (F.col("end") - F.col("tail")).alias("end"), F.col("n").cast("int").alias("item_count"))

@@ -13,6 +13,7 @@ from prosegauge.jobs import corpus
 from prosegauge.operators import catalog, detect, grade
 from prosegauge.operators.catalog import TIC, Detector
 from prosegauge.operators.page_scan import node_rows, scan_pages
+from prosegauge.operators.runs import RUNS, run_rows
 from prosegauge.oracle import found_ctes, graded_ctes, windows_ctes
 from prosegauge.oracle_pages import flat_ctes, seeded_html_sql
 from prosegauge.sources import pages
@@ -86,13 +87,26 @@ ORACLE_SQL["pattern_hits"] = f"WITH {found_ctes(_SEEDED, PLAIN)} {_HITS}"
 
 @query
 def every_pattern_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same of all 63 detectors, those that are off by default too."""
-    return _hits(detect.scan(documents(spark, sf_dir), catalog.ALL.ids, overlaps=True))
+    """The same of all 63 detectors, those that are off by default too; runs of sentences come from sentence rows."""
+    docs = documents(spark, sf_dir)
+    runs = run_rows(docs, ["doc_id"]).groupBy("row_id", "ordinal").agg(F.count("*").alias("hits"), F.sum(F.col("end") - F.col("start")).alias("n_chars"))
+    runs = runs.groupBy(F.get(F.array(*map(F.lit, catalog.ALL.ids)), F.col("ordinal")).alias("pattern_id")).agg(F.sum("hits").alias("hits"), F.count("*").alias("docs"), F.sum("n_chars").alias("n_chars"))
+    return _hits(detect.scan(docs, [i for i in catalog.ALL.ids if i not in RUNS], overlaps=True)).unionByName(runs)
 
 
 ORACLE_SQL["every_pattern_hits"] = f"WITH {found_ctes(_SEEDED, catalog.ALL.ids)} {_HITS}"
 
 
+@query
+def sentence_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every run of sentences that echo, begin alike or are very short, overlaps included, without a Python worker."""
+    runs = run_rows(documents(spark, sf_dir), ["doc_id"])
+    return runs.select("doc_id", F.get(F.array(*map(F.lit, catalog.ALL.ids)), F.col("ordinal")).alias("pattern_id"), "start", "end", "item_count")
+
+
+ORACLE_SQL["sentence_runs"] = f'WITH {found_ctes(_SEEDED, RUNS)} SELECT k AS doc_id, pattern_id, s AS start, e AS "end", n AS item_count FROM spans JOIN cat USING (o)'
+
+
 @query
 def plain_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every match of the plain detectors, overlaps resolved."""

@@ -4,6 +4,8 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from prosegauge.functions import finders
 from prosegauge.operators.catalog import ALL
 from prosegauge.operators.runs import RUNS, run_rows
@@ -48,3 +50,24 @@ def test_empty_table_and_one_detector(spark):
 def test_no_python_and_no_window_over_texts(spark):
     plan = run_rows(spark.createDataFrame([(1, "a")], "k int, text string"), ["k"])._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_one_text_of_50_mb_over_many_tasks(spark):
+    """A text of 50 MB: no task holds more than a share of its sentences, and a run that spans very many stretches is one find."""
+    block = "".join(f"We went on to the {x} mill{' by day' * 150}. " for x in ("old", "new")) + "Perhaps. " * 4 + "x y z w. " * 2
+    text = F.expr(f"concat(repeat('{block}', {50_000_000 // len(block)}), repeat('Now. ', 20000))")
+    docs = spark.range(1).select(F.col("id").alias("k"), text.alias("text"))
+    tasks = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("runs", "one long text")
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    try:
+        rows = {r.ordinal: r for r in run_rows(docs, ["k"]).groupBy("ordinal").agg(F.count("*").alias("n"), F.max("item_count").alias("most"), F.max("end").alias("end")).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    stages = [tasks.getStageInfo(s) for j in tasks.getJobIdsForGroup("runs") for s in tasks.getJobInfo(j).stageIds]
+    assert max(s.numTasks for s in stages if s) >= 8
+    by_id = {ALL.ids[o]: r for o, r in rows.items()}
+    n = 50_000_000 // len(block)
+    assert by_id["echo-triad"].n >= n
+    assert (by_id["staccato-fragments"].n, by_id["staccato-fragments"].most) == (n + 1, 20000)
+    assert by_id["staccato-fragments"].end == len(block) * n + 20000 * 5 - 1
