@@ -14,7 +14,7 @@ from prosegauge.functions.spans import BIN
 from prosegauge.sources.pages import PAGE, flatten_html
 
 from .catalog import ALL, Catalogue
-from .detect import FOUND, nested, resolved
+from .detect import FOUND, nested, parts
 
 def scan_pages(pages: DataFrame, pattern_ids: Iterable[str] | None = None, among: Catalogue = ALL, overlaps: bool = False) -> DataFrame:
     """pages with text, segments, li_total, li_bold, found and n_matches from html. Extra columns stay; those are replaced. overlaps: as in detect.scan()."""
@@ -24,15 +24,16 @@ def scan_pages(pages: DataFrame, pattern_ids: Iterable[str] | None = None, among
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in batches:
             rows = []
-            for html in s:
-                text, segments, total, bold = flatten_html(html)
-                rows.append((text, nested(finders.find(text, chosen)), segments, total, bold))
+            for part in parts(s):
+                flat = [flatten_html(html) for html in part]
+                for (text, segments, total, bold), found in zip(flat, finders.find_all([x[0] for x in flat], chosen), strict=True):
+                    rows.append((text, nested(found if overlaps else finders.resolve(found)), segments, total, bold))
             yield pd.DataFrame(rows, columns=["text", "found", "segments", "li_total", "li_bold"])
 
     names = ["text", "segments", "li_total", "li_bold", "found"]
     out = pages.drop(*names, "n_matches").select(F.struct("*").alias("row"), of.asNondeterministic()("html").alias("page"))
     out = out.select("row.*", *[F.col(f"page.{x}").alias(x) for x in names])
-    return (out if overlaps else out.withColumn("found", resolved(F.col("found")))).withColumn("n_matches", F.size("found"))
+    return out.withColumn("n_matches", F.size("found"))
 
 
 def node_rows(scanned: DataFrame, keys: list[str], among: Catalogue = ALL) -> DataFrame:
