@@ -31,6 +31,8 @@ from .words import Chunk, per_document, spread, word_tokenizer
 HEAD_BYTES = 96 << 20
 #: Stretches planned for a chunk while the head is in a worker's memory too.
 STRETCHES = 1_500_000
+#: Words of the head whose ids are put in order at once: their places take eight bytes an id, three times over.
+ORDERED = 1 << 16
 _BUNDLES = "chunk long, mark long, doc_ids array<long>, sizes array<long>, places binary"
 _TAIL = "chunk long, mark long, at int, word string"
 
@@ -77,7 +79,7 @@ def _head(table: DataFrame, kind: str, most: int) -> Head:
     step = np.dtype(kind).itemsize
     table = table.withColumn("h", F.xxhash64("word"))
     twice = [r.h for r in table.groupBy("h").count().where("count > 1").select("h").toLocalIterator()]  # 64 bits: hardly ever any
-    sizes = table.groupBy("n").agg(F.sum(F.length("ids") + 12).alias("bytes")).toPandas().sort_values("n", ascending=False)
+    sizes = table.groupBy("n").agg(F.sum(F.length("ids") + 12).alias("bytes"), F.count("*").alias("words")).toPandas().sort_values("n", ascending=False)
     fits = sizes["bytes"].cumsum() <= most
     least = int(sizes["n"][fits].min()) if fits.any() else None
 
@@ -88,13 +90,24 @@ def _head(table: DataFrame, kind: str, most: int) -> Head:
                 yield pd.DataFrame({"h": [pdf["h"].to_numpy("<i8").tobytes()], "k": [sizes.tobytes()], "ids": [b"".join(pdf["ids"])]})
 
     own = table.where(F.col("n") >= least) if least is not None else table.where("false")
-    rows = own.select("h", "ids").mapInPandas(packed, "h binary, k binary, ids binary").toPandas()
-    h, k, ids = (np.frombuffer(b"".join(rows[c]), t) for c, t in (("h", "<i8"), ("k", "<u4"), ("ids", kind)))
-    del rows
+    n, most_ids = int(sizes["words"][fits].sum()), int(sizes["bytes"][fits].sum() - 12 * sizes["words"][fits].sum()) // step
+    h, k, ids = np.empty(n, "<i8"), np.empty(n, "<u4"), np.empty(most_ids, kind)
+    at = at_ids = 0
+    # A part at a time, each into its place: the driver never holds the words twice.
+    for r in own.select("h", "ids").mapInPandas(packed, "h binary, k binary, ids binary").toLocalIterator():
+        for place, values, out in ((at, np.frombuffer(r.h, "<i8"), h), (at, np.frombuffer(r.k, "<u4"), k), (at_ids, np.frombuffer(r.ids, kind), ids)):
+            out[place : place + len(values)] = values
+        at, at_ids = at + len(r.h) // 8, at_ids + len(r.ids) // step
     starts = np.r_[0, np.cumsum(k, dtype=np.int64)]
     order = np.argsort(h, kind="stable")
     alone = order[~np.isin(h[order], np.array(twice, np.int64))] if twice else order
-    flat, k = spread(starts, ids, alone)
+    k = k[alone]
+    flat, done = np.empty(int(k.sum()), kind), 0
+    for i in range(0, len(alone), ORDERED):
+        part, _ = spread(starts, ids, alone[i : i + ORDERED])
+        flat[done : done + len(part)] = part
+        done += len(part)
+    del ids, starts, order
     return Head(h[alone], np.r_[0, np.cumsum(k)].astype(np.int32 if len(flat) < 1 << 31 else np.int64), flat, bool(fits.all()) and len(alone) == len(h))
 
 
