@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from prosegauge.functions import finders
 from prosegauge.operators.catalog import ALL
-from prosegauge.operators.runs import RUNS, run_rows
+from prosegauge.operators.runs import RUNS, all_runs, run_rows
 
 PARTS = ["Now", "Bold", "no", "the", "Dr", "J", "perhaps", "we went to the mill", "she went to the barn", "a b c d e", "12", "'’-", "x" * 45, "y " * 220, "😀", "İ", "K", "é"]
 GAPS = [". ", "! ", "?", "...", ".\n", "\n", "\n\n", "  ", " ", "?! ", ".    ", " ", " .", ". ", ". ", "."]
@@ -71,3 +71,26 @@ def test_one_text_of_50_mb_over_many_tasks(spark):
     assert by_id["echo-triad"].n >= n
     assert (by_id["staccato-fragments"].n, by_id["staccato-fragments"].most) == (n + 1, 20000)
     assert by_id["staccato-fragments"].end == len(block) * n + 20000 * 5 - 1
+
+
+@pytest.mark.parametrize("whole", [0, 60, 1 << 20])
+def test_all_runs_whatever_is_searched_whole(spark, whole):
+    """Texts searched where they lie, texts dealt as stretches, and both; null, empty and repeated rows too."""
+    own = [(i, t) for i, t in enumerate(texts(300))] + [(0, "Bold. Clear. Now."), (0, "Bold. Clear. Now."), (900, None), (901, "")]
+    docs = spark.createDataFrame(own, "k int, text string").repartition(3)
+    assert found(all_runs(docs, ["k"], whole=whole)) == brute(own)
+
+
+def test_ordinary_texts_meet_no_shuffle(spark):
+    plan = all_runs(spark.createDataFrame([(1, "a")], "k int, text string"), ["k"])._jdf.queryExecution().sparkPlan().toString()
+    here, rows = plan.split("ArrowEvalPython")[0], plan
+    assert "Exchange" not in here and "Window" not in here and "Generate" in here and rows.count("ArrowEvalPython") == 1
+
+
+def test_only_neighbours_that_may_echo_are_compared():
+    """Four words that come again in a sentence further off, or within one, make no sentence worth a look."""
+    text = "We went to the mill today. Nobody else was there then. " * 50
+    assert finders._alike(text.lower()) == []
+    assert finders._alike("one two three four one two three four. five.") == []
+    assert finders._alike("x. a b c d e. b c d e f. y") == [1, 2]
+    assert finders._alike("a b c d\n.\na b c d") == [0, 3]
