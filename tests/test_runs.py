@@ -6,9 +6,10 @@ import pytest
 
 from pyspark.sql import functions as F
 
+from prosegauge import queries
 from prosegauge.functions import finders
 from prosegauge.operators.catalog import ALL
-from prosegauge.operators.runs import RUNS, all_runs, run_rows
+from prosegauge.operators.runs import RUNS, all_runs, long_texts, run_rows
 
 PARTS = ["Now", "Bold", "no", "the", "Dr", "J", "perhaps", "we went to the mill", "she went to the barn", "a b c d e", "12", "'’-", "x" * 45, "y " * 220, "😀", "İ", "K", "é"]
 GAPS = [". ", "! ", "?", "...", ".\n", "\n", "\n\n", "  ", " ", "?! ", ".    ", " ", " .", ". ", ". ", "."]
@@ -87,6 +88,16 @@ def test_ordinary_texts_meet_no_shuffle(spark):
     assert "Exchange" not in here and "Window" not in here and "Generate" in here and rows.count("ArrowEvalPython") == 1
 
 
+def test_hits_with_texts_searched_whole_or_not(spark, tmp_path, monkeypatch):
+    spark.createDataFrame(list(enumerate(texts(300))), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    hits = lambda: sorted(map(tuple, queries.every_pattern_hits(spark, str(tmp_path)).collect()))
+    expected = hits()
+    assert {"echo-triad", "sentence-anaphora", "staccato-fragments"} < {r[0] for r in expected}
+    monkeypatch.setattr(queries, "WHOLE", 300)
+    monkeypatch.setattr(queries, "long_texts", lambda docs: long_texts(docs, 300))
+    assert hits() == expected
+
+
 def test_only_neighbours_that_may_echo_are_compared():
     """Four words that come again in a sentence further off, or within one, make no sentence worth a look."""
     text = "We went to the mill today. Nobody else was there then. " * 50
