@@ -29,8 +29,10 @@ from .words import Chunk, per_document, spread, word_tokenizer
 
 #: Bytes of the table that every task gets.
 HEAD_BYTES = 96 << 20
-#: Stretches planned for a chunk while the head is in a worker's memory too.
-STRETCHES = 1_500_000
+#: Stretches planned for a chunk; all words of a chunk are in a worker's memory, with the head.
+STRETCHES = 500_000
+#: Stretches whose ids are put in order at once, or one document's: their places take eight bytes an id, three times over.
+AT_ONCE = 100_000
 #: Words of the head whose ids are put in order at once: their places take eight bytes an id, three times over.
 ORDERED = 1 << 16
 _BUNDLES = "chunk long, mark long, doc_ids array<long>, sizes array<long>, places binary"
@@ -54,7 +56,7 @@ def word_table(docs: DataFrame, path: str) -> DataFrame:
     """(word, n, ids binary) of all distinct words of docs(doc_id, text), each encoded once; in the shared folder."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for c in word_tokenizer(path).chunks(batches):
+        for c in _chunks(path, batches):
             of_stretch = np.bincount(c.places, minlength=len(c.starts) - 1)
             n = np.bincount(c.inner, np.repeat(of_stretch, np.diff(c.starts)), len(c.words))
             yield pa.RecordBatch.from_arrays([c.words, pa.array(n.astype(np.int64))], ["word", "n"])
@@ -122,6 +124,27 @@ def _found(head: Head, words: pa.StringArray) -> tuple[np.ndarray, list[str]]:
     return at, words[~there].tolist()
 
 
+def _chunks(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
+    """Chunks of documents; what Arrow keeps of one goes back to the system before the next."""
+    for c in word_tokenizer(path).chunks(batches, STRETCHES):
+        yield c
+        del c
+        pa.default_memory_pool().release_unused()
+
+
+def _encoded(path: str, head: Head, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """(doc_ids, ids, how many each has) of some documents each, by a head that holds all words."""
+    for c in _chunks(path, batches):
+        at, tail = _found(head, c.words)
+        if tail:
+            raise RuntimeError("the documents changed between two passes; write them to a table first")
+        starts, ids = stretch_ids(c, *spread(head.starts, head.ids, at))
+        for doc_ids, sizes, places in c.slices(AT_ONCE):
+            own, k = spread(starts, ids, places)
+            yield doc_ids, own, per_document(sizes, k)
+        del c  # before the next one is made
+
+
 def encode(docs: DataFrame, path: str, head_bytes: int = HEAD_BYTES, pieces: DataFrame | None = None) -> DataFrame:
     """(doc_id, ids array<int>) per row of docs(doc_id, text), as the tokenizers library gives them without added tokens.
 
@@ -150,15 +173,8 @@ def encode(docs: DataFrame, path: str, head_bytes: int = HEAD_BYTES, pieces: Dat
         return pa.RecordBatch.from_pydict(out if vocab is None else out | {"decoded": _texts(vocab.value, lists)})
 
     def direct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head = held.value
-        for c in word_tokenizer(path).chunks(batches, STRETCHES):
-            at, tail = _found(head, c.words)
-            if tail:
-                raise RuntimeError("the documents changed between two passes; write them to a table first")
-            starts, ids = stretch_ids(c, *spread(head.starts, head.ids, at))
-            for doc_ids, sizes, places in c.slices():
-                own, k = spread(starts, ids, places)
-                yield rows(doc_ids, own, per_document(sizes, k))
+        for doc_ids, own, k in _encoded(path, held.value, batches):
+            yield rows(doc_ids, own, k)
 
     if whole:
         return docs.mapInArrow(direct, schema)
@@ -166,7 +182,7 @@ def encode(docs: DataFrame, path: str, head_bytes: int = HEAD_BYTES, pieces: Dat
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, list[str], np.ndarray, Chunk]]:
         """(number, digest, rarer words, places of all words, chunk) of each chunk of a task."""
         part = TaskContext.get().partitionId()
-        for seq, c in enumerate(word_tokenizer(path).chunks(batches, STRETCHES)):
+        for seq, c in enumerate(_chunks(path, batches)):
             at, tail = _found(held.value, c.words)
             yield (part << 24) + seq, _digest(tail), tail, at, c
 
@@ -177,7 +193,7 @@ def encode(docs: DataFrame, path: str, head_bytes: int = HEAD_BYTES, pieces: Dat
 
     def bundled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, mark, _, at, c in cut(batches):
-            for doc_ids, sizes, places in c.slices():
+            for doc_ids, sizes, places in c.slices(AT_ONCE):
                 own, k = spread(c.starts, at[c.inner], places)
                 row = {"chunk": chunk, "mark": mark, "doc_ids": doc_ids.to_pylist(), "sizes": per_document(sizes, k).tolist(), "places": pack(own)}
                 yield pa.RecordBatch.from_pylist([row], pa.schema([("chunk", pa.int64()), ("mark", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("places", pa.binary())]))
