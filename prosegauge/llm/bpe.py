@@ -33,8 +33,10 @@ HEAD_BYTES = 96 << 20
 STRETCHES = 500_000
 #: Stretches whose ids are put in order at once, or one document's: their places take eight bytes an id, three times over.
 AT_ONCE = 100_000
-#: Words of the head whose ids are put in order at once: their places take eight bytes an id, three times over.
+#: Words of the head whose ids are put in place at once: their places take eight bytes an id, three times over.
 ORDERED = 1 << 16
+#: Bytes of the head planned for a part that comes to the driver.
+PART_BYTES = 4 << 20
 _BUNDLES = "chunk long, mark long, doc_ids array<long>, sizes array<long>, places binary"
 _TAIL = "chunk long, mark long, at int, word string"
 
@@ -93,24 +95,20 @@ def _head(table: DataFrame, kind: str, most: int) -> Head:
 
     own = table.where(F.col("n") >= least) if least is not None else table.where("false")
     n, most_ids = int(sizes["words"][fits].sum()), int(sizes["bytes"][fits].sum() - 12 * sizes["words"][fits].sum()) // step
-    h, k, ids = np.empty(n, "<i8"), np.empty(n, "<u4"), np.empty(most_ids, kind)
+    h, starts, ids = np.empty(n, "<i8"), np.zeros(n + 1, np.int32 if most_ids < 1 << 31 else np.int64), np.empty(most_ids, kind)
     at = at_ids = 0
-    # A part at a time, each into its place: the driver never holds the words twice.
-    for r in own.select("h", "ids").mapInPandas(packed, "h binary, k binary, ids binary").toLocalIterator():
-        for place, values, out in ((at, np.frombuffer(r.h, "<i8"), h), (at, np.frombuffer(r.k, "<u4"), k), (at_ids, np.frombuffer(r.ids, kind), ids)):
-            out[place : place + len(values)] = values
-        at, at_ids = at + len(r.h) // 8, at_ids + len(r.ids) // step
-    starts = np.r_[0, np.cumsum(k, dtype=np.int64)]
-    order = np.argsort(h, kind="stable")
-    alone = order[~np.isin(h[order], np.array(twice, np.int64))] if twice else order
-    k = k[alone]
-    flat, done = np.empty(int(k.sum()), kind), 0
-    for i in range(0, len(alone), ORDERED):
-        part, _ = spread(starts, ids, alone[i : i + ORDERED])
-        flat[done : done + len(part)] = part
-        done += len(part)
-    del ids, starts, order
-    return Head(h[alone], np.r_[0, np.cumsum(k)].astype(np.int32 if len(flat) < 1 << 31 else np.int64), flat, bool(fits.all()) and len(alone) == len(h))
+    # Spark orders them; a part at a time comes into its place, so that the driver never holds the words twice.
+    parts = 1 + int(sizes["bytes"][fits].sum()) // PART_BYTES
+    for r in own.select("h", "ids").repartitionByRange(parts, "h").sortWithinPartitions("h").mapInPandas(packed, "h binary, k binary, ids binary").toLocalIterator():
+        own_h, own_ids = np.frombuffer(r.h, "<i8"), np.frombuffer(r.ids, kind)
+        own_starts = np.r_[0, np.cumsum(np.frombuffer(r.k, "<u4"), dtype=np.int64)]
+        alone = np.flatnonzero(~np.isin(own_h, np.array(twice, np.int64))) if twice else np.arange(len(own_h))
+        for i in range(0, len(alone), ORDERED):
+            some = alone[i : i + ORDERED]
+            part, k = spread(own_starts, own_ids, some)
+            h[at : at + len(some)], starts[at + 1 : at + len(some) + 1], ids[at_ids : at_ids + len(part)] = own_h[some], at_ids + np.cumsum(k), part
+            at, at_ids = at + len(some), at_ids + len(part)
+    return Head(h[:at], starts[: at + 1], ids[:at_ids], bool(fits.all()) and at == n)
 
 
 def _found(head: Head, words: pa.StringArray) -> tuple[np.ndarray, list[str]]:

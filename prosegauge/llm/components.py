@@ -25,7 +25,7 @@ def components(links: DataFrame) -> DataFrame:
     labels = labels.checkpoint()
     while True:
         near = lookup(both.withColumnRenamed("b", "node"), "node", labels, "inner").groupBy("a").agg(F.min("root").alias("m"))
-        step = labels.join(near, labels.node == near.a, "left").select("node", F.col("root").alias("old"), F.least("root", "m").alias("mid")).checkpoint()
+        step = labels.join(near.hint("merge"), labels.node == near.a, "left").select("node", F.col("root").alias("old"), F.least("root", "m").alias("mid")).checkpoint()
         nxt = lookup(step, "mid", step.select(F.col("node").alias("mid"), F.col("mid").alias("up")), "inner")
         nxt = nxt.select("node", "old", F.least("mid", "up").alias("root")).checkpoint()
         moved = nxt.where("root <> old").limit(1).count()

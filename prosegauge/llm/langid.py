@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import unused
+from .common import settle, unused
 
 #: Buckets; learning rows of a language in the sample; passes over the sample.
 BUCKETS, SAMPLE, EPOCHS = 1 << 16, 800, 3
@@ -105,27 +105,24 @@ def drawn(keys: DataFrame, label: str, rows: int) -> DataFrame:
 def sample(learn: DataFrame, idf: np.ndarray, rows: int = SAMPLE) -> list[tuple[str, np.ndarray, np.ndarray]]:
     """About `rows` different texts of each language, or all it has: (lang, buckets, features), in the order of their hashes.
 
-    A text comes to the driver as its features, of which there are BUCKETS at most, however long it is.
+    A text comes to the driver as its buckets and their counts, of which there are BUCKETS at most, however long it is;
+    they are written to the shared folder and read part by part.
     """
     keys = learn.select(F.xxhash64("text").alias("h"), "lang").groupBy("h").agg(F.min("lang").alias("lang"))
     keys = drawn(keys, "lang", rows).select("h", F.col("lang").alias("l"))
     texts = learn.select(F.xxhash64("text").alias("h"), "text").join(F.broadcast(keys), "h").groupBy("h", "l").agg(F.min("text").alias("text"))
-    held = learn.sparkSession.sparkContext.broadcast(idf)
 
-    @F.pandas_udf("at binary, x binary")
+    @F.pandas_udf("at binary, n binary")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in batches:
-            own = [_features(t, held.value) for t in s]
-            yield pd.DataFrame([(at.astype("<i4").tobytes(), x.astype("<f8").tobytes()) for at, x in own], columns=["at", "x"])
-
-    found = texts.select("h", "l", of("text").alias("f")).collect()
-    return [(r.l, np.frombuffer(r.f["at"], "<i4"), np.frombuffer(r.f["x"], "<f8")) for r in sorted(found, key=lambda r: r.h)]
-
-
-def _features(text: str, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    g = grams(text)
-    at, n = np.unique(g, return_counts=True)
-    return at, SCALE * n / max(1, len(g)) * idf[at]
+            own = [np.unique(grams(t), return_counts=True) for t in s]
+            yield pd.DataFrame([(at.astype("<u2").tobytes(), n.astype("<u4").tobytes()) for at, n in own], columns=["at", "n"])
+
+    found = []
+    for r in settle(texts.select("h", "l", of("text").alias("f")).select("h", "l", "f.*"), "sample").toLocalIterator():
+        at, n = np.frombuffer(r.at, "<u2").astype(np.int32), np.frombuffer(r.n, "<u4").astype(np.int64)
+        found.append((r.h, r.l, at, SCALE * n / max(1, n.sum()) * idf[at]))
+    return [x[1:] for x in sorted(found, key=lambda x: x[0])]
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:

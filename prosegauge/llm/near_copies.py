@@ -108,7 +108,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
         for x, y in batches:
             yield pd.Series([similarity(unpacked(s), unpacked(t)) >= least for s, t in zip(x, y, strict=True)], dtype=bool)
 
-    rows = pairs.join(sets.select(F.col("node").alias("b"), F.col("own").alias("y")), "b")
+    rows = pairs.join(sets.select(F.col("node").alias("b"), F.col("own").alias("y")).hint("merge"), "b")
     rows = lookup(rows, "a", sets.select(F.col("node").alias("a"), F.col("own").alias("x")), "inner", by=["b"])
     return rows.where(alike("x", "y")).select("a", "b")
 
@@ -126,7 +126,7 @@ def _held_apart(members: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     at = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     few = own.where("root <> main").select("band", at("rows").alias("i"), F.explode(spread("columns")).alias("j"), F.lit(True).alias("few"), "node", "root", "keys")
     many = own.select("band", F.explode(spread("rows")).alias("i"), at("columns").alias("j"), F.lit(False).alias("few"), "node", "root", "keys")
-    rows = few.unionByName(many).join(sets, "node")
+    rows = few.unionByName(many).join(sets.hint("merge"), "node")
 
     def of(table: pa.Table) -> pa.Table:
         band = table.column("band")[0].as_py()
@@ -207,8 +207,8 @@ def near_copies(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFram
     stars = buckets.select("a", F.col("node").alias("b"))
     near = settle(same.union(stars).union(ball_links(settle(heads, "heads"))).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "stars")
     asked = buckets.select("node").union(near.select("a")).union(near.select("b")).distinct()
-    sets = settle(_sets(docs, asked.join(nodes, "node").select("rep", "node"), width), "sets")
-    roots = settle(asked.join(components(settle(_verified(near, sets, least), "links")), "node", "left").select("node", F.coalesce("root", "node").alias("root")), "roots")
+    sets = settle(_sets(docs, asked.join(nodes.hint("merge"), "node").select("rep", "node"), width), "sets")
+    roots = settle(asked.join(components(settle(_verified(near, sets, least), "links")).hint("merge"), "node", "left").select("node", F.coalesce("root", "node").alias("root")), "roots")
     open_, turn = buckets.select("band", "node"), 0
     while True:
         # Buckets that hold several components; the others are done.
@@ -220,12 +220,12 @@ def near_copies(docs: DataFrame, width: int = 5, least: float = 0.8) -> DataFram
             break
         pairs = own.where("root <> c_root").select(F.col("c_node").alias("a"), F.col("node").alias("b")).distinct()
         joined = _joined(roots, settle(_verified(pairs, sets, least), "links"))
-        left = joined.join(open_.select("node").distinct(), "node", "left_semi").select("root").distinct().count()
+        left = joined.join(open_.select("node").distinct().hint("merge"), "node", "left_semi").select("root").distinct().count()
         roots, turn = joined, turn + 1
         if apart - left < WORTH * apart:
             own = lookup(open_, "node", roots, "inner", by=["band"])
             several = own.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("band")
-            own = lookup(own, "band", several, "inner", by=["node"]).join(nodes.select("node", F.col("bands").alias("keys")), "node")
+            own = lookup(own, "band", several, "inner", by=["node"]).join(nodes.select("node", F.col("bands").alias("keys")).hint("merge"), "node")
             roots = _joined(roots, settle(_held_apart(settle(own, "apart"), sets, least), "links"))
             break
     of = settle(lookup(marked.select("doc_id", "node"), "node", roots, "left").select("doc_id", F.coalesce("root", "node").alias("root")), "roots")
@@ -237,6 +237,6 @@ def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
     if links.isEmpty():
         return roots
     at = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root"))
-    found = components(links.join(at("a"), "a").join(at("b"), "b").select(F.col("a_root").alias("a"), F.col("b_root").alias("b")))
+    found = components(links.join(at("a").hint("merge"), "a").join(at("b").hint("merge"), "b").select(F.col("a_root").alias("a"), F.col("b_root").alias("b")))
     out = lookup(roots, "root", found.select(F.col("node").alias("root"), F.col("root").alias("up")), by=["node"])
     return settle(out.select("node", F.coalesce("up", "root").alias("root")), "roots")
